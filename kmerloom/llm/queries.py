@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import encoding, heavy, packing
+from kmerloom.llm import encoding, heavy, packing, seen
 from kmerloom.tables import table
 
 CAPACITY, SHARE_PER_MILLE, TOP = 1024, 2, 100
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return seen.seen_before(table(spark, d, "parse_results"), "arrival_no", "run_id", "kmers")
+
+
+def p3_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of wrong answers: of certainly absent keys, how many the filters claim to know."""
+    return seen.seen_before(table(spark, d, "parse_results"), "arrival_no", "run_id", "kmers", audit=True)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy.at_least_share(table(spark, d, "kmer_counts"), "canonical", "multiplicity", SHARE_PER_MILLE).select(F.col("value").alias("canonical"))
 
@@ -46,12 +55,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found, "p3_audit": p3_audit,
     "p4_found": p4_found, "p4_counts_top": p4_counts_top, "p4_rows_top": p4_rows_top,
     "p6_ids": p6_ids,
     "p7_assigned": p7_assigned, "p7_fill": p7_fill,
 }
 
 ORACLE = {
+    "p3_found": """
+        SELECT arrival_no, pos FROM (
+            SELECT arrival_no, pos, kmer, row_number() OVER (PARTITION BY run_id, kmer ORDER BY arrival_no, pos) AS turn
+            FROM (SELECT arrival_no, run_id, unnest(kmers) AS kmer, CAST(generate_subscripts(kmers, 1) - 1 AS INTEGER) AS pos FROM parse_results))
+        WHERE turn > 1 AND kmer IS NOT NULL""",
     "p4_found": """
         SELECT canonical FROM kmer_counts WHERE canonical IS NOT NULL GROUP BY canonical
         HAVING coalesce(sum(multiplicity), 0) * 1000 >= 2 * (SELECT coalesce(sum(multiplicity), 0) FROM kmer_counts) AND sum(multiplicity) > 0""",
