@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm import encoding, heavy, packing, seen
+from kmerloom.llm import encoding, heavy, packing, seen, sketches
 from kmerloom.tables import table
 
 CAPACITY, SHARE_PER_MILLE, TOP = 1024, 2, 100
 
 
+GROUPS = ["day", "run_id", "sample_id", "lane"]
+#: Day, each group, and the combinations; the finest is GROUPS itself.
+NEAR_SETS = [["run_id", "sample_id"], ["run_id", "sample_id", "lane"], GROUPS]
+FAR_SETS = [[], ["day"], ["run_id"], ["sample_id"], ["lane"], ["day", "run_id"], ["day", "sample_id"], ["day", "lane"], ["run_id", "lane"], ["sample_id", "lane"]]
+
+
+def _counted(rows: DataFrame, hashes: Column) -> DataFrame:
+    """Distinct counts of every set: the finest sketches meet by run and sample, so that their sets need no more shuffle."""
+    fine = sketches.merged_sketches(sketches.partial_sketches(rows, GROUPS, hashes), GROUPS, ["run_id", "sample_id"])
+    partial = sketches.rolled_up(fine, GROUPS, [*NEAR_SETS, *FAR_SETS])
+    named = ["grouping", *GROUPS]
+    return sketches.estimated(sketches.merged_sketches(partial, named, named), named)
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct k-mers of parse_results per day, group and combination of groups."""
+    rows = table(spark, d, "parse_results").withColumn("day", F.to_date("parsed_at"))
+    return _counted(rows, sketches.hashed("kmers"))
+
+
+def p1_canonical_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct canonical k-mers of kmers, by day and groups of their read's latest load."""
+    newest = F.max(F.struct("loaded_at", "sequenced_at", "run_id", "sample_id", "lane")).alias("r")
+    reads = table(spark, d, "seq_reads").groupBy("read_id").agg(newest).select("read_id", F.to_date("r.sequenced_at").alias("day"), "r.run_id", "r.sample_id", "r.lane")
+    kmers = table(spark, d, "kmers").where("canonical is not null").select("read_id", F.xxhash64("canonical").alias("h"))
+    return _counted(kmers.join(reads, "read_id"), F.array("h"))
+
+
+def p1_day_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """For each run and day, the k-mers shared with the run's day before, in either of them, and new on that day."""
+    rows = table(spark, d, "parse_results").withColumn("day", F.to_date("parsed_at"))
+    days = sketches.merged_sketches(sketches.partial_sketches(rows, ["run_id", "day"], sketches.hashed("kmers")), ["run_id", "day"], ["run_id", "day"])
+    before = F.lag("sketch").over(Window.partitionBy("run_id").orderBy("day"))
+    return sketches.compared(days.withColumn("before", before), ["run_id", "day"], "sketch", "before")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.seen_before(table(spark, d, "parse_results"), "arrival_no", "run_id", "kmers")
 
@@ -55,6 +91,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_counts": p1_counts, "p1_canonical_counts": p1_canonical_counts, "p1_day_overlap": p1_day_overlap,
     "p3_found": p3_found, "p3_audit": p3_audit,
     "p4_found": p4_found, "p4_counts_top": p4_counts_top, "p4_rows_top": p4_rows_top,
     "p6_ids": p6_ids,
