@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm import encoding, heavy, packing, seen, sketches
+from kmerloom.llm import encoding, heavy, packing, seen, sketches, spans
 from kmerloom.tables import table
 
 CAPACITY, SHARE_PER_MILLE, TOP = 1024, 2, 100
@@ -47,6 +47,15 @@ def p1_day_overlap(spark: SparkSession, d: str) -> DataFrame:
     return sketches.compared(days.withColumn("before", before), ["run_id", "day"], "sketch", "before")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "parse_results"), "read_id", "reads")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """For each read, how many of its bases are shared."""
+    return spans.shared_shares(table(spark, d, "parse_results"), "read_id", "reads")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.seen_before(table(spark, d, "parse_results"), "arrival_no", "run_id", "kmers")
 
@@ -92,13 +101,28 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_counts": p1_counts, "p1_canonical_counts": p1_canonical_counts, "p1_day_overlap": p1_day_overlap,
+    "p2_found": p2_found, "p2_shares": p2_shares,
     "p3_found": p3_found, "p3_audit": p3_audit,
     "p4_found": p4_found, "p4_counts_top": p4_counts_top, "p4_rows_top": p4_rows_top,
     "p6_ids": p6_ids,
     "p7_assigned": p7_assigned, "p7_fill": p7_fill,
 }
 
+_SPANS = """
+    WITH r AS (SELECT DISTINCT read_id, reads FROM parse_results WHERE reads IS NOT NULL AND read_id IS NOT NULL),
+    w AS (SELECT DISTINCT read_id, i, substring(reads, i, 64) AS s FROM (SELECT read_id, reads, unnest(range(1, length(reads) - 62)) AS i FROM r)),
+    v AS (SELECT * FROM w WHERE regexp_full_match(s, '[ACGT]+')),
+    two AS (SELECT s FROM v GROUP BY s HAVING min(read_id) <> max(read_id)),
+    hit AS (SELECT DISTINCT read_id, i - 1 AS a FROM v SEMI JOIN two USING (s)),
+    o AS (SELECT *, CASE WHEN a <= lag(a) OVER (PARTITION BY read_id ORDER BY a) + 64 THEN 0 ELSE 1 END AS opens FROM hit),
+    g AS (SELECT *, sum(opens) OVER (PARTITION BY read_id ORDER BY a) AS run FROM o),
+    f AS (SELECT read_id, CAST(min(a) AS INTEGER) AS span_start, CAST(max(a) + 64 AS INTEGER) AS span_end FROM g GROUP BY read_id, run)"""
+
 ORACLE = {
+    "p2_found": f"{_SPANS} SELECT read_id, span_start, span_end FROM f",
+    "p2_shares": f"""{_SPANS}, n AS (SELECT read_id, sum(span_end - span_start) AS shared FROM f GROUP BY read_id)
+        SELECT read_id, CAST(coalesce(max(length(reads)), 0) AS INTEGER) AS bases, CAST(coalesce(any_value(shared), 0) AS BIGINT) AS shared_bases
+        FROM parse_results LEFT JOIN n USING (read_id) WHERE read_id IS NOT NULL GROUP BY read_id""",
     "p3_found": """
         SELECT arrival_no, pos FROM (
             SELECT arrival_no, pos, kmer, row_number() OVER (PARTITION BY run_id, kmer ORDER BY arrival_no, pos) AS turn
