@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm import encoding, heavy, packing, seen, sketches, spans
+from kmerloom.llm import encoding, heavy, packing, seen, sketches, spans, truncation
 from kmerloom.tables import table
 
 CAPACITY, SHARE_PER_MILLE, TOP = 1024, 2, 100
@@ -99,6 +99,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return total.select("containers", "tokens", "fullest", F.ceil(F.col("tokens") / CAPACITY).alias("least_containers"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents"), "doc_id", "source", "text").select(F.col("key").alias("doc_id"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts off."""
+    return truncation.shares(table(spark, d, "documents"), "doc_id", "source", "text")
+
+
 QUERIES = {
     "p1_counts": p1_counts, "p1_canonical_counts": p1_canonical_counts, "p1_day_overlap": p1_day_overlap,
     "p2_found": p2_found, "p2_shares": p2_shares,
@@ -106,6 +115,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_counts_top": p4_counts_top, "p4_rows_top": p4_rows_top,
     "p6_ids": p6_ids,
     "p7_assigned": p7_assigned, "p7_fill": p7_fill,
+    "p8_found": p8_found, "p8_shares": p8_shares,
 }
 
 _SPANS = """
