@@ -1,24 +1,368 @@
-"""The core queries: each takes (spark, sf_dir) and returns a DataFrame; ORACLE has the SQL that gives the same rows."""
+"""The core queries: each takes (spark, sf_dir) and returns a DataFrame. kmerloom.oracle has SQL for the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerloom.operators import records
-from kmerloom.tables import table
+from kmerloom.functions import bases as B
+from kmerloom.operators import evaluate, kmers, mutations, reads, records, solidity, spectrum
+from kmerloom.oracle import ORACLE as ORACLE
+from kmerloom.plans import correction
+from kmerloom.sources import fastq
+from kmerloom.streaming import counts as stream
+from kmerloom.tables import shared_folder, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    return reads.latest(table(spark, d, "seq_reads"))
+
+
+def _read_and_spectrum(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _reads(spark, d).select("read_id", "seq")
+    return rows, correction.trusted_spectrum(rows)
+
+
+# Reads
+
+
+@query
+def reads_latest(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d)
+
+
+@query
+def read_lengths_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return reads.offsets(_reads(spark, d))
+
+
+@query
+def read_length_max(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d).agg(F.max(F.length("seq")).alias("longest"))
+
+
+@query
+def read_partition_ntile(spark: SparkSession, d: str) -> DataFrame:
+    return reads.even_ranges(_reads(spark, d), 12)
+
+
+@query
+def read_range(spark: SparkSession, d: str) -> DataFrame:
+    """The 500 records from number 250 on."""
+    placed = reads.with_running(_reads(spark, d).select("read_id", "header", "seq"), "read_id", into="ordinal")
+    return placed.where("ordinal >= 250 and ordinal < 750")
+
+
+@query
+def read_count(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d).agg(F.count("*").alias("n_reads"))
+
+
+@query
+def id_suffix_parse(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d).select("read_id", B.id_suffix(F.col("header")).alias("row_index"))
+
+
+@query
+def id_suffix_join(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed reads looked up by the number in a read's header."""
+    rows = _reads(spark, d).select("read_id", B.id_suffix(F.col("header")).alias("row_index"))
+    other = table(spark, d, "parse_results").groupBy(F.col("read_id").alias("row_index")).agg(F.max("reads").alias("reads"))
+    return rows.join(other, "row_index").select("read_id", "row_index", "reads")
+
+
+@query
+def fastq_file_stems(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "runs").select("run_id", B.file_stem(F.col("fastq_file")).alias("stem"))
+
+
+@query
+def seq_decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    digits = B.encode_digits(F.col("seq"))
+    return _reads(spark, d).where("seq is not null").select("read_id", digits.alias("digits"), B.decode_digits(digits).alias("decoded"))
+
+
+@query
+def read_reverse_complement(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d).where("seq is not null").select("read_id", B.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query
+def replace_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The i-th read with the i-th valid quality of raw_records; the longer side is cut."""
+    good, _ = records.load_records(table(spark, d, "raw_records").select("record_id", "raw_line"))
+    quality = good.select("record_id", F.col("parsed.quality").alias("new_qual"))
+    return reads.zipped(_reads(spark, d).select("read_id", "header", "seq"), "read_id", quality, "record_id").select("read_id", "header", "seq", "new_qual")
+
+
+@query
+def fastq_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Reads written as FASTQ and read again."""
+    spark.dataSource.register(fastq.FastqDataSource)
+    rows = _reads(spark, d).where("length(seq) = length(qual) and length(seq) > 0 and header is not null")
+    path = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
+    rows.select(F.col("read_id").cast("string").alias("header"), "seq", "qual").write.format("fastq").mode("append").save(path)
+    return spark.read.format("fastq").option("split", 1 << 20).load(path).select(F.col("header").cast("bigint").alias("read_id"), "seq", "qual")
+
+
+# K-mers
+
+
+@query
+def kmer_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = kmers.keyed(kmers.windows(_reads(spark, d)))
+    return rows.select("read_id", "pos", "kmer", F.when(F.col("key").isNotNull(), B.canonical(F.col("kmer"))).alias("canonical"), "key")
+
+
+@query
+def kmer_counts_forward(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.counted_forward(_reads(spark, d))
+
+
+@query
+def kmer_counts_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.counted(_reads(spark, d))
+
+
+@query
+def kmer_counts_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Partial counts of whole runs, merged."""
+    return kmers.merged(table(spark, d, "kmer_counts"))
+
+
+@query
+def kmer_nonunique(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.counted(_reads(spark, d), least=2)
+
+
+@query
+def repeated_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """Forward k-mers seen again, with the number of repetitions."""
+    return kmers.counted_forward(_reads(spark, d)).where("n >= 2").select("kmer", (F.col("n") - 1).alias("repeats"))
+
+
+@query
+def kmer_decoded(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "kmers").where("key is not null").select("key", "canonical").distinct()
+    return rows.select("key", B.key_kmer(F.col("key")).alias("decoded"), (B.kmer_key(F.col("canonical")) == F.col("key")).alias("same"))
+
+
+@query
+def kmer_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct k-mers, one base on and one base back."""
+    km = F.col("kmer")
+    return table(spark, d, "kmers").where("canonical is not null").select("kmer").distinct().select("kmer", B.forward_base(km, F.lit("A")).alias("on"), B.backward_base(km, F.lit("T")).alias("back"))
+
+
+@query
+def kmer_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return spectrum.histogram(kmers.counted(_reads(spark, d), least=2))
+
+
+@query
+def kmer_density(spark: SparkSession, d: str) -> DataFrame:
+    return spectrum.density(spectrum.histogram(kmers.counted(_reads(spark, d), least=2))).select("bin", "kmers")
+
+
+@query
+def kmer_cutoff(spark: SparkSession, d: str) -> DataFrame:
+    return spectrum.cutoff(spectrum.histogram(kmers.counted(_reads(spark, d), least=2)))
+
+
+@query
+def spectrum_trusted(spark: SparkSession, d: str) -> DataFrame:
+    return correction.trusted_spectrum(_reads(spark, d))
+
 
+@query
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """parse_results as a stream of one file after the other; the counts after all of it."""
+    rows = table(spark, d, "parse_results")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(d, pathGlobFilter="parse_results*") if rows.inputFiles()[0].endswith("parse_results.parquet") else spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/parse_results.parquet")
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream.count_stream(source.select(F.col("reads").alias("seq")), f"{base}/counts", f"{base}/checkpoint").awaitTermination()
+    return stream.counts_so_far(spark, f"{base}/counts")
 
+
+# Lookups in the spectrum
+
+
+@query
+def kmer_membership_semi(spark: SparkSession, d: str) -> DataFrame:
+    rows, trusted = _read_and_spectrum(spark, d)
+    return kmers.keyed(kmers.windows(rows)).join(trusted.select("key"), "key", "left_semi").select("read_id", "pos")
+
+
+@query
+def kmer_membership_anti(spark: SparkSession, d: str) -> DataFrame:
+    rows, trusted = _read_and_spectrum(spark, d)
+    return mutations.untrusted(rows, trusted).select("read_id", "pos")
+
+
+@query
+def kmer_multiplicity_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rows, trusted = _read_and_spectrum(spark, d)
+    return solidity.multiplicities(kmers.windows(rows), trusted).select("read_id", "pos", "multiplicity")
+
+
+@query
+def solid_bases(spark: SparkSession, d: str) -> DataFrame:
+    return solidity.solid_bases(*_read_and_spectrum(spark, d))
+
+
+@query
+def trusted_regions(spark: SparkSession, d: str) -> DataFrame:
+    return solidity.trusted_regions(*_read_and_spectrum(spark, d))
+
+
+@query
+def trusted_base_regions(spark: SparkSession, d: str) -> DataFrame:
+    return solidity.trusted_base_regions(solid_bases(spark, d))
+
+
+@query
+def regions_ping_order(spark: SparkSession, d: str) -> DataFrame:
+    return solidity.ranked_regions(trusted_regions(spark, d), True)
+
+
+@query
+def regions_pong_order(spark: SparkSession, d: str) -> DataFrame:
+    return solidity.ranked_regions(trusted_regions(spark, d), False)
+
+
+@query
+def all_solid_reads(spark: SparkSession, d: str) -> DataFrame:
+    return solidity.all_solid(solid_bases(spark, d))
+
+
+@query
+def solid_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return solidity.diagnostics(solid_bases(spark, d))
+
+
+# Alternatives and corrections
+
+
+@query
+def mutation_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.candidates(*_read_and_spectrum(spark, d))
+
+
+@query
+def best_alternative(spark: SparkSession, d: str) -> DataFrame:
+    """Of each place's candidates the one with the largest multiplicity; of equal ones the first in the alphabet."""
+    found = mutation_candidates(spark, d).groupBy("read_id", "pos", "base").agg(F.max("multiplicity").alias("multiplicity"))
+    by = Window.partitionBy("read_id", "pos").orderBy(F.desc("multiplicity"), "base")
+    return found.withColumn("turn", F.row_number().over(by)).where("turn = 1").drop("turn")
+
+
+@query
+def vote_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.votes(mutation_candidates(spark, d))
+
+
+@query
+def vote_winners(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.winners(vote_matrix(spark, d))
+
+
+@query
+def two_sided_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.two_sided(*_read_and_spectrum(spark, d))
+
+
+@query
+def two_sided_fix_first(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.first_fix(two_sided_candidates(spark, d))
+
+
+@query
+def two_sided_applied(spark: SparkSession, d: str) -> DataFrame:
+    """Reads after one round of the two-sided fix."""
+    rows, trusted = _read_and_spectrum(spark, d)
+    return mutations.two_sided_corrected(rows, trusted, rounds=1)
+
+
+@query
+def correct_reads_full(spark: SparkSession, d: str) -> DataFrame:
+    return correction.correct(_reads(spark, d), ["read_id", "header", "qual"])
+
+
+@query
+def corrections_made(spark: SparkSession, d: str) -> DataFrame:
+    """How many bases the correction changed, by run."""
+    done = correction.correct(_reads(spark, d), ["read_id", "run_id", "seq"])
+    changed = F.size(F.filter(F.arrays_zip(F.split("seq", "").alias("a"), F.split("corrected", "").alias("b")), lambda p: p["a"] != p["b"]))
+    return done.where("seq is not null").groupBy("run_id").agg(F.count("*").alias("n_reads"), F.count_if(changed > 0).alias("reads_changed"), F.sum(changed.cast("long")).alias("bases_changed"))
+
+
+# Evaluation
+
+
+def _two_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Reads as sequenced, and as parsed."""
+    parsed = table(spark, d, "parse_results").where("read_id is not null").groupBy("read_id").agg(F.max("reads").alias("seq"))
+    return _reads(spark, d).select("read_id", "seq"), parsed
+
+
+@query
+def read_diff_left_join(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.read_diff(*_two_versions(spark, d))
+
+
+@query
+def position_intersection(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.shared_positions(*_two_versions(spark, d))
+
+
+@query
+def tp_fp_fn(spark: SparkSession, d: str) -> DataFrame:
+    """Two-sided fixes judged with the parsed reads as reference."""
+    rows, trusted = _read_and_spectrum(spark, d)
+    fixed = mutations.two_sided_corrected(rows, trusted, rounds=1).select("read_id", F.col("seq").alias("corrected"))
+    _, parsed = _two_versions(spark, d)
+    triples = rows.withColumnRenamed("seq", "original").join(fixed, "read_id").join(parsed.withColumnRenamed("seq", "reference"), "read_id")
+    return evaluate.confusion(triples)
+
+
+def _alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Reads in the form of alignments: flag 4 without a sequence, the first quality as mapping quality, the number of N as edit distance."""
+    flag = F.when(F.col("seq").isNull(), 4).otherwise(0)
+    return _reads(spark, d).select(flag.alias("flag"), (F.ascii("qual") - 33).alias("mapq"), F.length(F.translate("seq", "ACGTRYKMSWacgtn", "")).alias("nm"))
+
+
+@query
+def unique_rate(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.unique_rate(_alignments(spark, d))
+
+
+@query
+def mapped_with_errors(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.mapped_with_errors(_alignments(spark, d))
+
+
+# Rows that fail to parse
+
+
+@query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     parsed = records.parse_records(table(spark, d, "raw_records").select("record_id", "raw_line"))
     return parsed.where("parsed.reason is not null").select("record_id", F.col("parsed.reason").alias("reason"))
 
 
+@query
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     """The valid rows, typed."""
     good, _ = records.load_records(table(spark, d, "raw_records").select("record_id", "raw_line"))
     return good.select("record_id", "parsed.header", "parsed.seq", "parsed.quality")
-
-
-QUERIES = {"p5_found": p5_found, "p5_loaded": p5_loaded}
-ORACLE: dict[str, str] = {}
