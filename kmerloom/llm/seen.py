@@ -70,7 +70,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], lowest: int, width: int, shar
         again, new = np.sort(order[~first]), np.sort(order[first])
         out = []
         if len(again):
-            out.append((0, -1, keys[:0].view(np.int64), arrival[rows[again]], place[again]))
+            out.append((int(again[0]) % shards, -1, keys[:0].view(np.int64), arrival[rows[again]], place[again]))
         k, a, p = keys[new], arrival[rows[new]], place[new]
         shard = (k >> np.uint64(33)) % np.uint64(shards)
         generation = (a - lowest) // width
@@ -180,5 +180,5 @@ def seen_before(df: DataFrame, arrival: str, scope: str, values: str, bits: int
     packets = rows.select(F.col(arrival).cast("long"), hashed).mapInArrow(
         lambda b: _first_pass(b, low, width, shards), "shard INT, generation INT, keys ARRAY<BIGINT>, arrivals ARRAY<BIGINT>, places ARRAY<INT>"
     )
-    at_home = packets.repartition(shards, "shard").sortWithinPartitions("shard", "generation")
+    at_home = packets.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "generation")
     return at_home.mapInArrow(lambda b: _second_pass(b, bits, audit), AUDIT if audit else "arrival_no BIGINT, pos INT")
