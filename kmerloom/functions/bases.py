@@ -67,6 +67,21 @@ def replaced(kmer: Column, at: Column, base: Column) -> Column:
     return F.overlay(kmer, base, at + 1, F.lit(1))
 
 
+def read_digits(seq: Column) -> Column:
+    """A read as digits for lookups: ambiguity codes count as A, any other letter is an x."""
+    return F.translate(F.regexp_replace(seq, f"[^ACGT{AMBIGUOUS}]", "x"), "ACGT" + AMBIGUOUS, "1234" + "1" * len(AMBIGUOUS))
+
+
+def opposite_digits(digits: Column) -> Column:
+    """The digits of the other strand."""
+    return F.translate(F.reverse(digits), "1234", "4321")
+
+
+def number(digits: Column) -> Column:
+    """Digits as a number; null where there is an x."""
+    return digits.try_cast("bigint")
+
+
 def id_suffix(header: Column) -> Column:
     """The number behind the last `-` or `.` of the header's first word, less one; null if it is no number."""
     last = F.regexp_extract(F.substring_index(header, " ", 1), r"([^.\-]*)$", 1)

@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
 from kmerloom.operators import kmers, solidity
 
-_FOUR = ["A", "C", "G", "T"]
-
 
 def untrusted(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
     """Plain windows that are not in the spectrum."""
-    rows = kmers.keyed(kmers.windows(reads, k)).where(F.col("key").isNotNull())
+    rows = kmers.windows(reads, k).where("key is not null")
     return rows.join(spectrum.select("key"), "key", "left_anti")
 
 
-def _mutated(rows: DataFrame, at: Column) -> DataFrame:
-    """Rows with `base` and `mutant`: the other three bases at place `at` of the k-mer."""
-    each = rows.withColumn("at", at).withColumn("base", F.explode(F.array(*map(F.lit, _FOUR)))).where(F.substring("kmer", F.col("at") + 1, F.lit(1)) != F.col("base"))
-    return each.withColumn("mutant", B.replaced(F.col("kmer"), F.col("at"), F.col("base")))
-
-
-def _in_spectrum(rows: DataFrame, spectrum: DataFrame) -> DataFrame:
-    known = spectrum.select("key", F.col("multiplicity"))
-    return rows.drop("key").withColumn("key", B.kmer_key(B.canonical(F.col("mutant")))).join(known, "key")
-
-
 def neighbours(spectrum: DataFrame, k: int = B.K) -> DataFrame:
     """(forward, at, base, multiplicity): every k-mer, as a number of digits, that differs from a trusted one only at `at`, where that has `base`.
 
@@ -48,7 +35,7 @@ def candidates(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame
     The trusted k-mers are mutated, not the untrusted ones: there are far fewer of them, and the windows of the reads join
     as they are.
     """
-    weak = untrusted(reads, spectrum, k).select("read_id", F.col("pos").alias("start"), B.kmer_key(F.col("kmer")).alias("forward"))
+    weak = untrusted(reads, spectrum, k).select("read_id", F.col("pos").alias("start"), "forward")
     return weak.join(neighbours(spectrum, k), "forward").select("read_id", (F.col("start") + F.col("at")).alias("pos"), "base", "start", "multiplicity")
 
 
@@ -74,13 +61,21 @@ def two_sided(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
     are one join: two rows a change, and both must be found.
     """
     solid = solidity.solid_bases(reads, spectrum, k)
-    weak = solid.where("not solid").select("read_id", "pos").join(reads.where(F.length("seq") >= k).select("read_id", B.rewrite_ambiguous(F.col("seq")).alias("seq")), "read_id")
-    right, left = F.least(F.col("pos"), F.length("seq") - k), F.greatest(F.col("pos") - (k - 1), F.lit(0))
-    sides = weak.withColumn("side", F.explode(F.array(F.struct(F.lit(0).alias("s"), right.alias("start")), F.struct(F.lit(1).alias("s"), left.alias("start")))))
-    each = sides.select("read_id", "pos", "side.s", F.substring("seq", F.col("side.start") + 1, F.lit(k)).alias("kmer"), (F.col("pos") - F.col("side.start")).alias("in_kmer"))
-    tried = _mutated(each, F.col("in_kmer")).where(B.is_plain(F.col("mutant")))
-    hit = _in_spectrum(tried, spectrum)
-    return hit.groupBy("read_id", "pos", "base").agg(F.count("*").alias("sides")).where("sides = 2").select("read_id", "pos", "base")
+    coded = reads.where(F.length("seq") >= k).select("read_id", B.read_digits(F.col("seq")).alias("d"), F.length("seq").alias("n")).withColumn("r", B.opposite_digits(F.col("d")))
+    weak = solid.where("not solid").select("read_id", "pos").join(coded, "read_id")
+    right, left = F.least(F.col("pos"), F.col("n") - k), F.greatest(F.col("pos") - (k - 1), F.lit(0))
+    sides = weak.withColumn("start", F.explode(F.array(right, left)))
+    at = F.col("pos") - F.col("start")
+    each = sides.select(
+        "read_id", "pos", at.alias("at"), F.substring("d", F.col("start") + 1, F.lit(k)).alias("f"), F.substring("r", F.col("n") - F.col("start") - (k - 1), F.lit(k)).alias("b"),
+        F.explode(F.array(*map(F.lit, "1234"))).alias("digit"),
+    ).where(F.substring("f", F.col("at") + 1, F.lit(1)) != F.col("digit"))
+    forward = B.number(F.overlay("f", "digit", F.col("at") + 1, F.lit(1)))
+    backward = B.number(F.overlay("b", F.translate("digit", "1234", "4321"), k - F.col("at"), F.lit(1)))
+    tried = each.select("read_id", "pos", "digit", forward.alias("f"), backward.alias("b")).where("f is not null").select("read_id", "pos", "digit", F.least("f", "b").alias("key"))
+    hit = tried.join(spectrum.select("key"), "key")
+    paired = hit.groupBy("read_id", "pos", "digit").agg(F.count("*").alias("sides")).where("sides = 2")
+    return paired.select("read_id", "pos", B.decode_digits(F.col("digit")).alias("base"))
 
 
 def first_fix(both: DataFrame) -> DataFrame:

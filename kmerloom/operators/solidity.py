@@ -14,15 +14,12 @@ _PLACES = Window.partitionBy("read_id").orderBy("pos")
 def multiplicities(rows: DataFrame, spectrum: DataFrame) -> DataFrame:
     """Windows with the multiplicity of their k-mer in the spectrum, 0 if it isn't there. Spark broadcasts a small spectrum."""
     known = spectrum.select("key", F.col("multiplicity").alias("in_spectrum"))
-    return kmers.keyed(rows).join(known, "key", "left").withColumn("multiplicity", F.coalesce("in_spectrum", F.lit(0))).drop("in_spectrum")
+    return rows.join(known, "key", "left").withColumn("multiplicity", F.coalesce("in_spectrum", F.lit(0))).drop("in_spectrum")
 
 
 def solid_bases(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
     """(read_id, pos, solid): for every base, whether a trusted k-mer covers it. Empty and null reads have no bases."""
-    seq = B.rewrite_ambiguous(F.col("seq"))
-    places = reads.where(F.length("seq") > 0).select("read_id", seq.alias("seq"), F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos"))
-    rows = places.select("read_id", "pos", F.when(F.col("pos") <= F.length("seq") - k, F.substring("seq", F.col("pos") + 1, F.lit(k))).alias("kmer"))
-    hit = multiplicities(rows, spectrum).select("read_id", "pos", (F.col("multiplicity") > 0).alias("hit"))
+    hit = multiplicities(kmers.windows(reads, k, whole=True).select("read_id", "pos", "key"), spectrum).select("read_id", "pos", (F.col("multiplicity") > 0).alias("hit"))
     return hit.select("read_id", "pos", F.max("hit").over(_PLACES.rowsBetween(-(k - 1), 0)).alias("solid"))
 
 
@@ -35,7 +32,7 @@ def _islands(rows: DataFrame, least: int = 1) -> DataFrame:
 
 def trusted_regions(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
     """(read_id, lo, hi, span): runs of consecutive starts of trusted k-mers; span = hi - lo."""
-    hit = kmers.keyed(kmers.windows(reads, k)).join(spectrum.select("key"), "key", "left_semi")
+    hit = kmers.windows(reads, k).join(spectrum.select("key"), "key", "left_semi")
     return _islands(hit.select("read_id", "pos")).select("read_id", "lo", "hi", (F.col("hi") - F.col("lo")).alias("span"))
 
 

@@ -121,8 +121,7 @@ def fastq_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kmer_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = kmers.keyed(kmers.windows(_reads(spark, d)))
-    return rows.select("read_id", "pos", "kmer", F.when(F.col("key").isNotNull(), B.canonical(F.col("kmer"))).alias("canonical"), "key")
+    return kmers.windows(_reads(spark, d)).select("read_id", "pos", "kmer", B.key_kmer(F.col("key")).alias("canonical"), "key")
 
 
 @query
@@ -201,7 +200,7 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def kmer_membership_semi(spark: SparkSession, d: str) -> DataFrame:
     rows, trusted = _read_and_spectrum(spark, d)
-    return kmers.keyed(kmers.windows(rows)).join(trusted.select("key"), "key", "left_semi").select("read_id", "pos")
+    return kmers.windows(rows).join(trusted.select("key"), "key", "left_semi").select("read_id", "pos")
 
 
 @query

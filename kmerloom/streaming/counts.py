@@ -14,7 +14,7 @@ def count_stream(reads: DataFrame, folder: str, checkpoint: str, k: int = B.K, *
     """Start counting the streaming reads (column seq) into `folder`, one partial count a batch. A batch that is repeated after a failure replaces itself."""
 
     def add(batch: DataFrame, number: int) -> None:
-        n = kmers.keyed(kmers.windows(batch, k, [])).where("key is not null").groupBy("key").agg(F.count("*").alias("multiplicity"))
+        n = kmers.windows(batch, k, []).where("key is not null").groupBy("key").agg(F.count("*").alias("multiplicity"))
         n.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return reads.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
