@@ -24,18 +24,19 @@ BUCKETS, SLOTS, LAMBDA, CELLS = 4096, 8, 2, 1 << 17
 class HeavyLight:
     """The sketch of one task. Memory: BUCKETS * SLOTS values and CELLS counters, whatever the input."""
 
-    def __init__(self) -> None:
-        self.hash = np.zeros((BUCKETS, SLOTS), np.uint64)
-        self.count = np.zeros((BUCKETS, SLOTS), np.int64)  # 0: the slot is free
-        self.part = np.zeros((BUCKETS, SLOTS), bool)  # some of the resident's count may be in the light part
-        self.value = np.empty((BUCKETS, SLOTS), object)
-        self.against = np.zeros(BUCKETS, np.int64)
-        self.light = np.zeros(CELLS, np.int64)
+    def __init__(self, buckets: int, cells: int) -> None:
+        self.buckets, self.cells = np.uint64(buckets), np.uint64(cells)
+        self.hash = np.zeros((buckets, SLOTS), np.uint64)
+        self.count = np.zeros((buckets, SLOTS), np.int64)  # 0: the slot is free
+        self.part = np.zeros((buckets, SLOTS), bool)  # some of the resident's count may be in the light part
+        self.value = np.empty((buckets, SLOTS), object)
+        self.against = np.zeros(buckets, np.int64)
+        self.light = np.zeros(cells, np.int64)
         self.total = 0
 
     def add(self, h: np.ndarray, value: np.ndarray, n: np.ndarray) -> None:
         """Add distinct values with their hashes and positive counts."""
-        b = (h % np.uint64(BUCKETS)).astype(np.int64)
+        b = (h % self.buckets).astype(np.int64)
         same = (self.hash[b] == h[:, None]) & (self.count[b] > 0)
         known = same.any(1)
         self.count[b[known], same[known].argmax(1)] += n[known]
@@ -52,10 +53,10 @@ class HeavyLight:
         least = self.count[b, slot]
         self.against[b] += np.where(least > 0, n, 0)
         wins = (least == 0) | (self.against[b] >= LAMBDA * least)
-        np.add.at(self.light, (h[~wins] >> np.uint64(20)) % np.uint64(CELLS), n[~wins])
+        np.add.at(self.light, (h[~wins] >> np.uint64(20)) % self.cells, n[~wins])
         h, value, n, b, slot, least = h[wins], value[wins], n[wins], b[wins], slot[wins], least[wins]
         out = self.hash[b, slot]
-        np.add.at(self.light, (out >> np.uint64(20)) % np.uint64(CELLS), least)
+        np.add.at(self.light, (out >> np.uint64(20)) % self.cells, least)
         self.hash[b, slot], self.count[b, slot], self.value[b, slot] = h, n, value
         self.part[b, slot] = (least > 0) | (self.against[b] > 0)
         self.against[b[least > 0]] = 0
@@ -78,8 +79,8 @@ class HeavyLight:
         )
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = HeavyLight()
+def _sketch(batches: Iterator[pa.RecordBatch], buckets: int, cells: int) -> Iterator[pa.RecordBatch]:
+    sketch = HeavyLight(buckets, cells)
     for batch in batches:
         value, h, weight = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
         if batch.num_rows == 0:
@@ -104,8 +105,8 @@ def heavy_light(df: DataFrame, value: str, weight: str | None = None) -> DataFra
     every row weighs 1.
     """
     w = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1).cast("long")
-    v = F.col(value).cast("string")
-    rows = df.select(v.alias("v"), F.xxhash64(v).alias("h"), w.alias("w")).mapInArrow(_sketch, "kind TINYINT, place BIGINT, value STRING, hash BIGINT, n BIGINT, part BOOLEAN")
+    v, buckets, cells = F.col(value).cast("string"), BUCKETS, CELLS
+    rows = df.select(v.alias("v"), F.xxhash64(v).alias("h"), w.alias("w")).mapInArrow(lambda b: _sketch(b, buckets, cells), "kind TINYINT, place BIGINT, value STRING, hash BIGINT, n BIGINT, part BOOLEAN")
     return stage(rows, "heavy-light")
 
 

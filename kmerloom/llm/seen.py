@@ -86,7 +86,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch], lowest: int, width: int, shar
 class Shard:
     """The keys of one shard so far."""
 
-    def __init__(self, bits: int) -> None:
+    def __init__(self, bits: int, seal: int) -> None:
+        self.seal = seal
         self.bits, self.sealed, self.held, self.keys = bits, [], np.zeros(0, np.uint64), 0
 
     def new_among(self, keys: np.ndarray) -> np.ndarray:
@@ -100,12 +101,12 @@ class Shard:
             new[left] = ~ribbon.has(keys[left])
         self.held = np.union1d(self.held, keys[new])
         self.keys += int(new.sum())
-        if len(self.held) >= SEAL:
+        if len(self.held) >= self.seal:
             self.sealed.append(Ribbon(self.held, self.bits))
             self.held = self.held[:0]
         return new
 
-    def audit(self, seed: int) -> tuple[int, int, int, int, int, float]:
+    def audit(self, seed: int) -> tuple[int, int, int, int, int, int]:
         absent = np.random.default_rng(seed).integers(0, 2**64, AUDIT_KEYS, dtype=np.uint64) | np.uint64(1)
         if len(self.held):  # sealed for the audit, so that there is a filter to ask
             self.sealed.append(Ribbon(self.held, self.bits))
@@ -130,7 +131,7 @@ def _generations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int,
         yield (*at, *(np.concatenate(x) for x in zip(*held)))
 
 
-def _second_pass(batches: Iterator[pa.RecordBatch], bits: int, audit: bool) -> Iterator[pa.RecordBatch]:
+def _second_pass(batches: Iterator[pa.RecordBatch], bits: int, seal: int, audit: bool) -> Iterator[pa.RecordBatch]:
     now, state = None, None
     for shard, generation, keys, arrivals, places in _generations(batches):
         if generation < 0:
@@ -139,7 +140,7 @@ def _second_pass(batches: Iterator[pa.RecordBatch], bits: int, audit: bool) -> I
             if shard != now:
                 if audit and state:
                     yield _audited(state.audit(now))
-                now, state = shard, Shard(bits)
+                now, state = shard, Shard(bits, seal)
             o = np.lexsort((places, arrivals))
             keys, arrivals, places = keys.view(np.uint64)[o], arrivals[o], places[o]
             order, first = _split(keys)
@@ -169,7 +170,7 @@ def seen_before(df: DataFrame, arrival: str, scope: str, values: str, bits: int
     empty lists give nothing. With `audit`, one row per shard instead: keys held, filters, their size, and how many
     certainly absent keys were probed and how many wrongly claimed.
     """
-    spark = df.sparkSession
+    spark, seal = df.sparkSession, SEAL
     rows = df.where(F.col(arrival).isNotNull())
     low, high = rows.agg(F.min(arrival), F.max(arrival)).first()
     low, high = low or 0, high or 0
@@ -181,4 +182,4 @@ def seen_before(df: DataFrame, arrival: str, scope: str, values: str, bits: int
         lambda b: _first_pass(b, low, width, shards), "shard INT, generation INT, keys ARRAY<BIGINT>, arrivals ARRAY<BIGINT>, places ARRAY<INT>"
     )
     at_home = packets.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "generation")
-    return at_home.mapInArrow(lambda b: _second_pass(b, bits, audit), AUDIT if audit else "arrival_no BIGINT, pos INT")
+    return at_home.mapInArrow(lambda b: _second_pass(b, bits, seal, audit), AUDIT if audit else "arrival_no BIGINT, pos INT")

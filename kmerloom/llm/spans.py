@@ -213,7 +213,7 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(t, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], most_letters: int) -> Iterator[pa.RecordBatch]:
     """Per seed the spans found; for a shard that is too large its segments, with their text, and no span end."""
     out: list[tuple] = []
     now, held, letters, large = None, [], 0, False
@@ -227,7 +227,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out += [(*x, None) for x in _shard_rows(held)] if held else []
                 now, held, letters, large = seed, [], 0, False
             letters += len(row[0])
-            if letters > SHARD_LETTERS and not large:
+            if letters > most_letters and not large:
                 large = True
                 for r in held:
                     out += passed_on(*r)
@@ -255,7 +255,7 @@ def shared_spans(df: DataFrame, record: str, text: str) -> DataFrame:
 
     Rows with the same id are one record; null texts and ids are left out; texts shorter than the window give nothing.
     """
-    spark = df.sparkSession
+    spark, most_letters = df.sparkSession, SHARD_LETTERS
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(F.col(record).cast("long").alias("id"), F.col(text).alias("text"))
     counts = rows.mapInArrow(_count_seeds, "seed BIGINT, n BIGINT, all BOOLEAN").groupBy("seed", "all").agg(F.sum("n").alias("n"))
@@ -267,7 +267,7 @@ def shared_spans(df: DataFrame, record: str, text: str) -> DataFrame:
     if len(hot):
         cut = stage(cut, "span-segments")
     shards = cut.where("text is not null").repartition(n, "seed").sortWithinPartitions("seed")
-    found = stage(shards.mapInArrow(_match, FOUND), "span-matches")
+    found = stage(shards.mapInArrow(lambda b: _match(b, most_letters), FOUND), "span-matches")
     large = found.where("text is not null").select("read_id", "span_start", "text").mapInArrow(_windows_of, SEGMENT)
     apart = large.unionByName(cut.where("text is null")) if len(hot) else large
     spans = found.where("text is null").select("read_id", "span_start", "span_end")

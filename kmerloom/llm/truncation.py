@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.tables import stage
 
-NEAR, RING, LEAST, SHARE, EXCESS = 3, 40, 8, 0.35, 4.0  # see spikes
+NEAR, RING, LEAST, SHARE, EXCESS, NARROW = 3, 40, 8, 0.35, 4.0, 0.6  # see spikes
 FIT_ROWS, FIT_FEATURES, LEAST_LETTERS, PLAIN_WEIGHT = 40_000, 1 << 17, 8, 6.0
 
 # Fixed patterns: what may stand behind the last word of a whole text, and marks that a cut leaves.
@@ -55,18 +55,21 @@ def lengths(df: DataFrame, source: str, text: str) -> DataFrame:
 def spikes(histogram: DataFrame) -> DataFrame:
     """(source, unit, length): the lengths at a spike.
 
-    At least half of the source's values are no longer, and at least half have a final mark. Within NEAR of the length there are at least LEAST values without a final mark, at least SHARE of the values there,
-    and EXCESS times as many as in as wide a stretch of the RING around.
+    At least half of the source's values are no longer. Within NEAR of the length there are at least LEAST values without a final mark, at least SHARE of the values there,
+    and EXCESS times as many as in as wide a stretch of the RING around; in a source that mostly has no final marks also
+    NARROW of those within 4 * NEAR.
     """
     by = Window.partitionBy("source", "unit").orderBy("length")
     near, ring = by.rangeBetween(-NEAR, NEAR), by.rangeBetween(-RING, RING)
     inner = by.rangeBetween(-4 * NEAR, 4 * NEAR)
     all_ = Window.partitionBy("source", "unit")
     upto = by.rangeBetween(Window.unboundedPreceding, 0)
-    upper = (F.sum("n").over(upto) * 2 >= F.sum("n").over(all_)) & (F.sum("open").over(all_) * 2 <= F.sum("n").over(all_))
-    summed = histogram.select(upper.alias("upper"), "source", "unit", "length", F.sum("open").over(near).alias("o"), F.sum("n").over(near).alias("all"), F.sum("open").over(ring).alias("r"), F.sum("open").over(inner).alias("i"))
+    upper = F.sum("n").over(upto) * 2 >= F.sum("n").over(all_)
+    plain = F.sum("open").over(all_) * 2 > F.sum("n").over(all_)
+    summed = histogram.select(upper.alias("upper"), plain.alias("plain"), "source", "unit", "length", F.sum("open").over(near).alias("o"), F.sum("n").over(near).alias("all"), F.sum("open").over(ring).alias("r"), F.sum("open").over(inner).alias("i"))
     expected = (F.col("r") - F.col("i")) * (2 * NEAR + 1) / (2.0 * (RING - 4 * NEAR))
-    return summed.where(F.col("upper") & (F.col("o") >= LEAST) & (F.col("o") >= SHARE * F.col("all")) & (F.col("o") >= EXCESS * expected)).select("source", "unit", "length")
+    narrow = ~F.col("plain") | (F.col("o") >= NARROW * F.col("i"))
+    return summed.where(F.col("upper") & narrow & (F.col("o") >= LEAST) & (F.col("o") >= SHARE * F.col("all")) & (F.col("o") >= EXCESS * expected)).select("source", "unit", "length")
 
 
 def _last_sentence(text: Column) -> Column:
@@ -129,7 +132,7 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     sentence = _bare_sentence(F.col("text"))
     held = stage(open_.select("key", "source", F.xxhash64("text").alias("text_hash"), F.when(spiked, F.lit("limit")).alias("why"), sentence.alias("sentence")), "truncation")
 
-    plain = rows.groupBy("source").agg((F.avg((~F.col("final")).cast("int")) > 0.5).alias("plain"))
+    plain = rows.groupBy("source").agg((F.avg((~F.col("final")).cast("int")) > 0.5).alias("plain")).join(at.select("source"), "source", "left_anti")
     term = HashingTF(numFeatures=FIT_FEATURES, inputCol="features", outputCol="vector")
     fit_on = stage(_examples(rows, plain).select("label", "weight", features(F.col("sentence")).alias("features")), "truncation-fit")
     rest = held.where(F.col("why").isNull() & (F.length("sentence") >= LEAST_LETTERS)).withColumn("features", features(F.col("sentence")))
