@@ -173,7 +173,8 @@ class Read:
         kmers = []
         for i in near:
             window = work[i : i + k]
-            window[at - i] = digit
+            if at - i < k:
+                window[at - i] = digit
             kmers.append("".join(window))
         return bool((self.multiplicities(kmers) > 0).all()) if kmers else True
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
 from kmerloom.operators import kmers
 
-_PLACES = Window.partitionBy("read_id").orderBy("pos")
+
+def _places() -> WindowSpec:
+    return Window.partitionBy("read_id").orderBy("pos")
 
 
 def multiplicities(rows: DataFrame, spectrum: DataFrame) -> DataFrame:
@@ -20,12 +22,12 @@ def multiplicities(rows: DataFrame, spectrum: DataFrame) -> DataFrame:
 def solid_bases(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
     """(read_id, pos, solid): for every base, whether a trusted k-mer covers it. Empty and null reads have no bases."""
     hit = multiplicities(kmers.windows(reads, k, whole=True).select("read_id", "pos", "key"), spectrum).select("read_id", "pos", (F.col("multiplicity") > 0).alias("hit"))
-    return hit.select("read_id", "pos", F.max("hit").over(_PLACES.rowsBetween(-(k - 1), 0)).alias("solid"))
+    return hit.select("read_id", "pos", F.max("hit").over(_places().rowsBetween(-(k - 1), 0)).alias("solid"))
 
 
 def _islands(rows: DataFrame, least: int = 1) -> DataFrame:
     """Runs of consecutive places: (read_id, lo, hi, n)."""
-    runs = rows.select("read_id", "pos", (F.col("pos") - F.row_number().over(_PLACES)).alias("run")).groupBy("read_id", "run")
+    runs = rows.select("read_id", "pos", (F.col("pos") - F.row_number().over(_places())).alias("run")).groupBy("read_id", "run")
     found = runs.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n"))
     return found.where(F.col("n") >= least).drop("run")
 

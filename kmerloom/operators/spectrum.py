@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_ALL = Window.partitionBy()  # only ever over the 256 rows of a histogram
+
+def _all() -> WindowSpec:
+    """All rows; only ever used on the 256 rows of a histogram."""
+    return Window.partitionBy()
 
 
 def histogram(counts: DataFrame) -> DataFrame:
@@ -18,7 +21,7 @@ def density(hist: DataFrame) -> DataFrame:
 
     In whole numbers: the bin of v is (v - low) * high div (high - low), the last bin closed.
     """
-    ends = hist.select("multiplicity", "kmers", F.min("multiplicity").over(_ALL).alias("low"), F.max("multiplicity").over(_ALL).alias("high"))
+    ends = hist.select("multiplicity", "kmers", F.min("multiplicity").over(_all()).alias("low"), F.max("multiplicity").over(_all()).alias("high"))
     place = F.when(F.col("low") == F.col("high"), F.lit(0)).otherwise(F.least(F.col("high") - 1, F.expr("(multiplicity - low) * high div greatest(high - low, 1)"))).cast("int")
     filled = ends.groupBy(place.alias("bin")).agg(F.sum("kmers").alias("kmers"), F.first("low").alias("low"), F.first("high").alias("high"))
     empty = ends.agg(F.min("low").alias("low"), F.max("high").alias("high")).where("high is not null").select(F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("bin"), F.lit(0).cast("long").alias("kmers"), "low", "high")
@@ -34,8 +37,8 @@ def cutoff(hist: DataFrame) -> DataFrame:
     """
     d = density(hist)
     rise = d.withColumn("rise", F.col("kmers") > F.lag("kmers").over(Window.orderBy("bin")))
-    valley = rise.withColumn("valley", F.coalesce(F.min(F.when(F.col("rise"), F.col("bin"))).over(_ALL) - 1, F.col("high") - 1))
-    peak = valley.withColumn("peak", F.max_by("bin", F.when(F.col("bin") >= F.col("valley"), F.struct("kmers", -F.col("bin")))).over(_ALL))
+    valley = rise.withColumn("valley", F.coalesce(F.min(F.when(F.col("rise"), F.col("bin"))).over(_all()) - 1, F.col("high") - 1))
+    peak = valley.withColumn("peak", F.max_by("bin", F.when(F.col("bin") >= F.col("valley"), F.struct("kmers", -F.col("bin")))).over(_all()))
     between = peak.where("bin between valley and peak")
     thin = between.agg(F.min_by("bin", F.struct("kmers", -F.col("bin"))).alias("i"), F.first("low").alias("low"), F.first("high").alias("high")).where("i is not null")
     middle = F.expr("(2 * low * high + (2 * i + 1) * (high - low) + 2 * high - 1) div (2 * high)")
