@@ -5,7 +5,7 @@ without a final mark at or just under one length, few on either side. Values at
 cut (an ellipsis, also in brackets) are no final mark.
 
 A transfer that breaks off leaves no spike. For the other values without a final mark, a logistic regression tells from
-the last sentence whether it ends inside a word or sentence. It is fitted on at most FIT_ROWS of the table's own rows:
+the last sentence whether it ends inside a word or sentence. It is fitted on at most FIT_ROWS and PLAIN_ROWS of the table's own rows:
 last sentences of texts with a final mark, as they are (without the mark) and cut at a random place, and the texts of
 sources that mostly have no final mark. Its odds are weighed by how often the source breaks off, by its mean. Last, a text that equals a cut one is cut as well.
 """
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from kmerloom.tables import stage
 
 NEAR, RING, LEAST, SHARE, EXCESS, NARROW = 3, 40, 8, 0.35, 4.0, 0.6  # see spikes
-FIT_ROWS, FIT_FEATURES, LEAST_LETTERS, PLAIN_WEIGHT = 40_000, 1 << 17, 8, 6.0
+FIT_ROWS, FIT_FEATURES, LEAST_LETTERS, PLAIN_ROWS, PLAIN_WEIGHT = 30_000, 1 << 17, 8, 15_000, 4.0
 
 # Fixed patterns: what may stand behind the last word of a whole text, and marks that a cut leaves.
 _CLOSING = r"(?:[\s\p{Z}\p{Cf}\p{Cc}\"'”»“’)\]」』）]|</?\w+/?>)*$"
 _SPACE = r"(?:[\s\p{Z}\p{Cf}\p{Cc}]|</?\w+/?>)*$"
 _MARKER = r"(?:\s*(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\(\.\.\.\)))+$"
+_OPENING = r"^(?:[\s\p{Z}\p{Cf}\p{Cc}]|</?\w+/?>|&nbsp;)*"
 _FINAL = r"[.!?。！？]$"
 _SENTENCE_END = r"(?s)^.*(?:[.!?][\"'”»“’)]*\s+|[。！？][」』）]*|\n)(?=\S)"
 
@@ -88,6 +89,7 @@ def features(sentence: Column) -> Column:
     parts += [F.concat_ws(" ", F.lit(f"g{k}"), *(at(i) for i in range(k, 0, -1))) for k in (2, 3, 4)]
     parts += [F.concat(F.lit(f"n{i}:"), few, at(i)) for i in range(1, 6)]
     parts += [F.concat(F.lit(f"c{k}:"), F.substring(sentence, -k, k)) for k in range(1, 8)]
+    parts += [F.concat(F.lit(f"p{k}:"), few, F.substring(sentence, 1, k)) for k in (1, 3)] + [F.concat(F.lit("h:"), F.regexp_extract(shape, "(.{1,6})$", 1))]
     parts += [F.concat(F.lit("a1:"), ahead(1)), F.concat_ws(" ", F.lit("a2"), ahead(1), ahead(2)), F.concat(F.lit("s:"), shape), F.concat(F.lit("n:"), few)]
     parts += [F.concat_ws(" ", F.lit(f"x{i}"), few, ahead(1), at(i)) for i in (1, 3, 4, 5)]
     parts += [F.concat_ws(" ", F.lit("z"), few, ahead(1), shape), F.concat_ws(" ", F.lit("y"), few, shape)]
@@ -101,13 +103,14 @@ def _bare_sentence(text: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(text, _SPACE, ""), _MARKER, "")
     bare = F.regexp_replace(bare, r"[.!?。！？:：]+([\"'”»“’)\]」』）]*)$", "$1")
     space = F.when(F.rlike(text, F.lit(r"\S $")), " ").otherwise("")
-    return F.concat(_last_sentence(bare), space)
+    return F.concat(F.regexp_replace(F.regexp_replace(_last_sentence(bare), _OPENING, ""), r"&nbsp;|[\p{Z}\t]", " "), space)
 
 
 def _examples(rows: DataFrame, plain_sources: DataFrame) -> DataFrame:
-    """(sentence, label, weight): 1 = cut. No more than FIT_ROWS rows, by the hash of their text."""
+    """(sentence, label, weight): 1 = cut. From no more than FIT_ROWS and PLAIN_ROWS rows, by the hash of their text."""
     picked = rows.where(F.length("text") >= 12).join(F.broadcast(plain_sources), "source", "left")  # one short row a source
-    usable = picked.where("final or plain").orderBy(F.xxhash64("text"), "text").limit(FIT_ROWS)
+    first = lambda df, n: df.orderBy(F.xxhash64("text"), "text").limit(n)
+    usable = first(picked.where("final"), FIT_ROWS).unionByName(first(picked.where("plain and not final"), PLAIN_ROWS))
     s = usable.select(_bare_sentence(F.col("text")).alias("s"), "final", F.xxhash64("text", F.lit(1)).alias("h"))
     s = s.where(F.length("s") >= 8)
     cut_at = F.lit(2) + F.pmod("h", F.length("s") - 3).cast("int")
