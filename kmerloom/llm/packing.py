@@ -46,13 +46,14 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[t
     """Ways to fill a container, each with the (fractional) number of containers, together covering all counts."""
     need, covered = counts.astype(float), np.zeros(len(lengths))
     ways: dict[bytes, list] = {}
+    stride = min(1.0, max(0.1, 2.0 * len(lengths) / STEPS))  # so that the steps reach every length
     for _ in range(STEPS):
         share = covered / need
         prices = np.exp(-RATE * 20 * (share - share.min())) / need
         prices = prices / (prices @ lengths) + 1e-9 * lengths  # of equal ways the fuller one
         way = dearest_way(lengths, prices, capacity)
         used = way > 0
-        step = (need[used] / way[used]).min() * RATE / 5
+        step = (need[used] / way[used]).min() * stride
         ways.setdefault(way.tobytes(), [way, 0.0])[1] += step
         covered += step * way
     scale = (covered / need).min()
