@@ -206,7 +206,11 @@ class Read:
 
 
 def _weak_reads(seqs: list[str | None], k: int, spectrum: Spectrum) -> np.ndarray:
-    """Which reads have a base that no trusted k-mer covers; all k-mers of the batch are looked up at once."""
+    """Which reads have to be walked; all k-mers of the batch are looked up at once.
+
+    Not those whose every base is covered by a trusted k-mer, nor those without a trusted k-mer of which no single change
+    would make one: there a walk has no start and a vote no result.
+    """
     out = np.zeros(len(seqs), bool)
     table = np.full(256, 9, np.int64)
     for c, d in _DIGIT.items():
@@ -227,8 +231,18 @@ def _weak_reads(seqs: list[str | None], k: int, spectrum: Spectrum) -> np.ndarra
     at = np.arange(n)
     first = np.maximum(at - k + 1, np.repeat(begin, size))
     weak = c[at + 1] - c[first] == 0
-    out[np.unique(row[weak])] = True
-    return out & (size >= k)
+    out[row[weak]] = True
+    out &= size >= k
+    anchored = np.zeros(len(seqs), bool)
+    anchored[row[hit]] = True
+    lone = np.nonzero(whole & (out & ~anchored)[row])[0]
+    f, b, mates = forward[lone], backward[lone], np.zeros(len(seqs), bool)
+    for i in range(k):
+        was = d[lone + i]
+        for base in range(1, 5):
+            near = np.minimum(f + (base - was) * power[i], b + (comp[base] - comp[was]) * power[k - 1 - i])
+            mates[row[lone[(spectrum.many(near) > 0) & (was != base)]]] = True
+    return out & (anchored | mates)
 
 
 def _correct(batches: Iterator[pa.RecordBatch], k: int, get: Callable[[], Spectrum]) -> Iterator[pa.RecordBatch]:

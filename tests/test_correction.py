@@ -53,8 +53,16 @@ def test_planted_edits_are_restored(read, k, edits):
 def test_solid_reads_and_short_ones_stay():
     read = "TTACGACTCAACGCAGCACGTACGTTACGTCCAGCA"
     spec = held({canon(g): 5 for g in grams(read, 16)})
-    weak = onesided._weak_reads([read, read[:-1] + "T", None, "", "ACG", rc(read)], 16, spec)
-    assert weak.tolist() == [False, True, False, False, False, False]
+    weak = onesided._weak_reads([read, read[:-1] + "T", None, "", "ACG", rc(read), "G" * 40, read[:8] + "T" + read[9:17], "N" * 20], 16, spec)
+    assert weak.tolist() == [False, True, False, False, False, False, False, True, False]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_only_reads_that_nothing_changes_are_passed_over(seed):
+    seqs = noisy(seed, 11, genome=150, reads=40, size=40, errors=0.08, letters="ACGTN")
+    spec = {g: n for g, n in counts(seqs, 11).items() if n >= 3}
+    walked = onesided._weak_reads(seqs, 11, held(spec))
+    assert all(w or correct(s, spec, 11) == s for s, w in zip(seqs, walked))
 
 
 def test_three_tied_votes_take_the_largest_and_two_none(spark):
