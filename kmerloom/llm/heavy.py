@@ -110,25 +110,27 @@ def heavy_light(df: DataFrame, value: str, weight: str | None = None) -> DataFra
     return stage(rows, "heavy-light")
 
 
-def merged(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(value, lower, upper) of the residents of the merged sketch, at most BUCKETS * SLOTS rows; and (total)."""
-    total = sketch.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("tasks"))
+def total_of(sketch: DataFrame) -> DataFrame:
+    """One row (total)."""
+    return sketch.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+
+
+def merged(sketch: DataFrame) -> DataFrame:
+    """(value, lower, upper) of the residents of the merged sketch, at most BUCKETS * SLOTS rows."""
+    tasks = sketch.where("kind = 2").agg(F.count("*").alias("tasks")).scalar()
     one = sketch.where("kind = 0").groupBy("place", "value", "hash").agg(F.sum("n").alias("n"), F.sum((~F.col("part")).cast("int")).alias("whole"))
     ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy(F.desc("n"), "value")))
-    stay = ranked.where(f"rank <= {SLOTS}")
     cell = F.pmod(F.shiftrightunsigned("hash", 20), F.lit(CELLS))
     fallen = ranked.where(f"rank > {SLOTS}").select(cell.alias("cell"), "n")
     light = sketch.where("kind = 1").select(F.col("place").alias("cell"), "n").unionByName(fallen).groupBy("cell").agg(F.sum("n").alias("below"))
-    kept = stay.withColumn("cell", cell).join(F.broadcast(total.select("tasks")))  # one row
-    both = kept.join(light, "cell", "left")
-    upper = F.col("n") + F.when(F.col("whole") < F.col("tasks"), F.coalesce("below", F.lit(0))).otherwise(0)
-    return both.select("value", F.col("n").alias("lower"), upper.alias("upper")), total.select("total")
+    both = ranked.where(f"rank <= {SLOTS}").withColumn("cell", cell).join(light, "cell", "left")
+    upper = F.col("n") + F.when(F.col("whole") < tasks, F.coalesce("below", F.lit(0))).otherwise(0)
+    return both.select("value", F.col("n").alias("lower"), upper.alias("upper"))
 
 
 def most_frequent(df: DataFrame, value: str, weight: str | None, top: int) -> DataFrame:
     """The `top` values by approximate count, with the bounds of the count. No rows for an empty table."""
-    found, _ = merged(heavy_light(df, value, weight))
-    return found.select("value", F.col("lower").alias("estimate"), "lower", "upper").orderBy(F.desc("estimate"), "value").limit(top)
+    return merged(heavy_light(df, value, weight)).select("value", F.col("lower").alias("estimate"), "lower", "upper").orderBy(F.desc("estimate"), "value").limit(top)
 
 
 def at_least_share(df: DataFrame, value: str, weight: str | None, share_per_mille: int) -> DataFrame:
@@ -137,10 +139,10 @@ def at_least_share(df: DataFrame, value: str, weight: str | None, share_per_mill
     The sketch gives the candidates (upper bound at or over the share: no more than BUCKETS * SLOTS, so they are
     broadcast), a second pass over `df` their exact counts. Null values only count in the total.
     """
-    found, total = merged(heavy_light(df, value, weight))
-    limit = total.select(F.col("total").alias("t"))
-    candidates = found.join(F.broadcast(limit)).where(F.col("upper") * 1000 >= F.col("t") * share_per_mille).select(F.col("value").alias("v"), "t")  # one row each
+    sketch = heavy_light(df, value, weight)
+    least = total_of(sketch).scalar() * share_per_mille
+    candidates = merged(sketch).where(F.col("upper") * 1000 >= least).select(F.col("value").alias("v"))
     w = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1)
     rows = df.select(F.col(value).cast("string").alias("v"), w.alias("w"))
-    exact = rows.join(F.broadcast(candidates), "v").groupBy("v").agg(F.sum("w").alias("n"), F.first("t").alias("t"))
-    return exact.where((F.col("n") * 1000 >= F.col("t") * share_per_mille) & (F.col("n") > 0)).select(F.col("v").alias("value"), "n")
+    exact = rows.join(F.broadcast(candidates), "v").groupBy("v").agg(F.sum("w").alias("n"))
+    return exact.where((F.col("n") * 1000 >= least) & (F.col("n") > 0)).select(F.col("v").alias("value"), "n")
