@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-VERSION = ["loaded_at", "sequenced_at", "header", "seq", "qual", "run_id", "sample_id", "lane"]
+VERSION = ["loaded_at", "seq", "qual", "header", "sequenced_at", "run_id", "sample_id", "lane"]
 BLOCK = 1 << 16
 
 
-def latest(seq_reads: DataFrame) -> DataFrame:
-    """One row per read_id: that of the latest load; nulls count as earliest, ties go by the other columns.
+def latest(seq_reads: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per read_id, that of the latest load, with `columns` (all of VERSION by default).
 
-    Rows with a null read_id are left out. Partial aggregation: repeated loads of one read meet before the shuffle.
+    Nulls count as earliest, equal loads go by the other columns in the order of VERSION, of which only those up to the
+    last one asked for are read. Rows with a null read_id are left out. Partial aggregation: repeated loads of one read
+    meet before the shuffle.
     """
-    best = F.max(F.struct(*VERSION)).alias("r")
-    return seq_reads.where(F.col("read_id").isNotNull()).groupBy("read_id").agg(best).select("read_id", *(f"r.{c}" for c in VERSION))
+    named = VERSION if columns is None else columns
+    needed = VERSION[: max(map(VERSION.index, named), default=0) + 1]
+    best = F.max(F.struct(*needed)).alias("r")
+    return seq_reads.where(F.col("read_id").isNotNull()).groupBy("read_id").agg(best).select("read_id", *(f"r.{c}" for c in named))
 
 
 def with_running(df: DataFrame, key: str, value: str | None = None, into: str = "before", block: int = BLOCK) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_VERSION = ["loaded_at", "sequenced_at", "header", "seq", "qual", "run_id", "sample_id", "lane"]
+_VERSION = ["loaded_at", "seq", "qual", "header", "sequenced_at", "run_id", "sample_id", "lane"]
 
 READS = f"""reads AS (
     SELECT read_id, {", ".join(_VERSION)} FROM (

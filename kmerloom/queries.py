@@ -25,12 +25,12 @@ def query(f: Query) -> Query:
     return f
 
 
-def _reads(spark: SparkSession, d: str) -> DataFrame:
-    return reads.latest(table(spark, d, "seq_reads"))
+def _reads(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return reads.latest(table(spark, d, "seq_reads"), list(columns) if columns else None)
 
 
 def _read_and_spectrum(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = _reads(spark, d).select("read_id", "seq")
+    rows = _reads(spark, d, "seq")
     return rows, correction.trusted_spectrum(rows)
 
 
@@ -44,40 +44,40 @@ def reads_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def read_lengths_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return reads.offsets(_reads(spark, d))
+    return reads.offsets(_reads(spark, d, "seq"))
 
 
 @query
 def read_length_max(spark: SparkSession, d: str) -> DataFrame:
-    return _reads(spark, d).agg(F.max(F.length("seq")).alias("longest"))
+    return _reads(spark, d, "seq").agg(F.max(F.length("seq")).alias("longest"))
 
 
 @query
 def read_partition_ntile(spark: SparkSession, d: str) -> DataFrame:
-    return reads.even_ranges(_reads(spark, d), 12)
+    return reads.even_ranges(_reads(spark, d, "loaded_at"), 12)
 
 
 @query
 def read_range(spark: SparkSession, d: str) -> DataFrame:
     """The 500 records from number 250 on."""
-    placed = reads.with_running(_reads(spark, d).select("read_id", "header", "seq"), "read_id", into="ordinal")
+    placed = reads.with_running(_reads(spark, d, "header", "seq"), "read_id", into="ordinal")
     return placed.where("ordinal >= 250 and ordinal < 750")
 
 
 @query
 def read_count(spark: SparkSession, d: str) -> DataFrame:
-    return _reads(spark, d).agg(F.count("*").alias("n_reads"))
+    return _reads(spark, d, "loaded_at").agg(F.count("*").alias("n_reads"))
 
 
 @query
 def id_suffix_parse(spark: SparkSession, d: str) -> DataFrame:
-    return _reads(spark, d).select("read_id", B.id_suffix(F.col("header")).alias("row_index"))
+    return _reads(spark, d, "header").select("read_id", B.id_suffix(F.col("header")).alias("row_index"))
 
 
 @query
 def id_suffix_join(spark: SparkSession, d: str) -> DataFrame:
     """Parsed reads looked up by the number in a read's header."""
-    rows = _reads(spark, d).select("read_id", B.id_suffix(F.col("header")).alias("row_index"))
+    rows = _reads(spark, d, "header").select("read_id", B.id_suffix(F.col("header")).alias("row_index"))
     other = table(spark, d, "parse_results").groupBy(F.col("read_id").alias("row_index")).agg(F.max("reads").alias("reads"))
     return rows.join(other, "row_index").select("read_id", "row_index", "reads")
 
@@ -90,12 +90,12 @@ def fastq_file_stems(spark: SparkSession, d: str) -> DataFrame:
 @query
 def seq_decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     digits = B.encode_digits(F.col("seq"))
-    return _reads(spark, d).where("seq is not null").select("read_id", digits.alias("digits"), B.decode_digits(digits).alias("decoded"))
+    return _reads(spark, d, "seq").where("seq is not null").select("read_id", digits.alias("digits"), B.decode_digits(digits).alias("decoded"))
 
 
 @query
 def read_reverse_complement(spark: SparkSession, d: str) -> DataFrame:
-    return _reads(spark, d).where("seq is not null").select("read_id", B.reverse_complement(F.col("seq")).alias("rc"))
+    return _reads(spark, d, "seq").where("seq is not null").select("read_id", B.reverse_complement(F.col("seq")).alias("rc"))
 
 
 @query
@@ -103,14 +103,14 @@ def replace_quality(spark: SparkSession, d: str) -> DataFrame:
     """The i-th read with the i-th valid quality of raw_records; the longer side is cut."""
     good, _ = records.load_records(table(spark, d, "raw_records").select("record_id", "raw_line"))
     quality = good.select("record_id", F.col("parsed.quality").alias("new_qual"))
-    return reads.zipped(_reads(spark, d).select("read_id", "header", "seq"), "read_id", quality, "record_id").select("read_id", "header", "seq", "new_qual")
+    return reads.zipped(_reads(spark, d, "header", "seq"), "read_id", quality, "record_id").select("read_id", "header", "seq", "new_qual")
 
 
 @query
 def fastq_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Reads written as FASTQ and read again."""
     spark.dataSource.register(fastq.FastqDataSource)
-    rows = _reads(spark, d).where("length(seq) = length(qual) and length(seq) > 0 and header is not null")
+    rows = _reads(spark, d, "seq", "qual", "header").where("length(seq) = length(qual) and length(seq) > 0 and header is not null")
     path = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
     rows.select(F.col("read_id").cast("string").alias("header"), "seq", "qual").write.format("fastq").mode("append").save(path)
     return spark.read.format("fastq").option("split", 1 << 20).load(path).select(F.col("header").cast("bigint").alias("read_id"), "seq", "qual")
@@ -121,17 +121,17 @@ def fastq_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kmer_windows(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.windows(_reads(spark, d)).select("read_id", "pos", "kmer", B.key_kmer(F.col("key")).alias("canonical"), "key")
+    return kmers.windows(_reads(spark, d, "seq")).select("read_id", "pos", "kmer", B.key_kmer(F.col("key")).alias("canonical"), "key")
 
 
 @query
 def kmer_counts_forward(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.counted_forward(_reads(spark, d))
+    return kmers.counted_forward(_reads(spark, d, "seq"))
 
 
 @query
 def kmer_counts_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.counted(_reads(spark, d))
+    return kmers.counted(_reads(spark, d, "seq"))
 
 
 @query
@@ -142,13 +142,13 @@ def kmer_counts_merged(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kmer_nonunique(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.counted(_reads(spark, d), least=2)
+    return kmers.counted(_reads(spark, d, "seq"), least=2)
 
 
 @query
 def repeated_kmers(spark: SparkSession, d: str) -> DataFrame:
     """Forward k-mers seen again, with the number of repetitions."""
-    return kmers.counted_forward(_reads(spark, d)).where("n >= 2").select("kmer", (F.col("n") - 1).alias("repeats"))
+    return kmers.counted_forward(_reads(spark, d, "seq")).where("n >= 2").select("kmer", (F.col("n") - 1).alias("repeats"))
 
 
 @query
@@ -166,22 +166,22 @@ def kmer_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kmer_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum.histogram(kmers.counted(_reads(spark, d), least=2))
+    return spectrum.histogram(kmers.counted(_reads(spark, d, "seq"), least=2))
 
 
 @query
 def kmer_density(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum.density(spectrum.histogram(kmers.counted(_reads(spark, d), least=2))).select("bin", "kmers")
+    return spectrum.density(spectrum.histogram(kmers.counted(_reads(spark, d, "seq"), least=2))).select("bin", "kmers")
 
 
 @query
 def kmer_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum.cutoff(spectrum.histogram(kmers.counted(_reads(spark, d), least=2)))
+    return spectrum.cutoff(spectrum.histogram(kmers.counted(_reads(spark, d, "seq"), least=2)))
 
 
 @query
 def spectrum_trusted(spark: SparkSession, d: str) -> DataFrame:
-    return correction.trusted_spectrum(_reads(spark, d))
+    return correction.trusted_spectrum(_reads(spark, d, "seq"))
 
 
 @query
@@ -295,13 +295,13 @@ def two_sided_applied(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def correct_reads_full(spark: SparkSession, d: str) -> DataFrame:
-    return correction.correct(_reads(spark, d), ["read_id", "header", "qual"])
+    return correction.correct(_reads(spark, d, "seq", "header", "qual"), ["read_id", "header", "qual"])
 
 
 @query
 def corrections_made(spark: SparkSession, d: str) -> DataFrame:
     """How many bases the correction changed, by run."""
-    done = correction.correct(_reads(spark, d), ["read_id", "run_id", "seq"])
+    done = correction.correct(_reads(spark, d, "seq", "run_id"), ["read_id", "run_id", "seq"])
     changed = F.size(F.filter(F.arrays_zip(F.split("seq", "").alias("a"), F.split("corrected", "").alias("b")), lambda p: p["a"] != p["b"]))
     return done.where("seq is not null").groupBy("run_id").agg(F.count("*").alias("n_reads"), F.count_if(changed > 0).alias("reads_changed"), F.sum(changed.cast("long")).alias("bases_changed"))
 
@@ -312,7 +312,7 @@ def corrections_made(spark: SparkSession, d: str) -> DataFrame:
 def _two_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Reads as sequenced, and as parsed."""
     parsed = table(spark, d, "parse_results").where("read_id is not null").groupBy("read_id").agg(F.max("reads").alias("seq"))
-    return _reads(spark, d).select("read_id", "seq"), parsed
+    return _reads(spark, d, "seq"), parsed
 
 
 @query
@@ -338,7 +338,7 @@ def tp_fp_fn(spark: SparkSession, d: str) -> DataFrame:
 def _alignments(spark: SparkSession, d: str) -> DataFrame:
     """Reads in the form of alignments: flag 4 without a sequence, the first quality as mapping quality, the number of N as edit distance."""
     flag = F.when(F.col("seq").isNull(), 4).otherwise(0)
-    return _reads(spark, d).select(flag.alias("flag"), (F.ascii("qual") - 33).alias("mapq"), F.length(F.translate("seq", "ACGTRYKMSWacgtn", "")).alias("nm"))
+    return _reads(spark, d, "seq", "qual").select(flag.alias("flag"), (F.ascii("qual") - 33).alias("mapq"), F.length(F.translate("seq", "ACGTRYKMSWacgtn", "")).alias("nm"))
 
 
 @query
