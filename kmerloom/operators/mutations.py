@@ -84,6 +84,15 @@ def first_fix(both: DataFrame) -> DataFrame:
     return single.groupBy("read_id").agg(F.min(F.struct("pos", "base")).alias("f")).select("read_id", "f.pos", "f.base")
 
 
+def within_limit(fixes: DataFrame, reads: DataFrame, most: int, k: int = B.K) -> DataFrame:
+    """The fixes (read_id, pos, base) without those in a k-mer that has more than `most` of them."""
+    sizes = reads.select("read_id", F.length("seq").alias("n"))
+    over = fixes.select("read_id", "pos").join(sizes.where(F.col("n") >= k), "read_id")
+    starts = over.select("read_id", "pos", F.explode(F.sequence(F.greatest(F.col("pos") - (k - 1), F.lit(0)), F.least(F.col("pos"), F.col("n") - k))).alias("start"))
+    crowded = starts.withColumn("fixes", F.count("*").over(Window.partitionBy("read_id", "start"))).where(F.col("fixes") > most)
+    return fixes.join(crowded.select("read_id", "pos").distinct(), ["read_id", "pos"], "left_anti")
+
+
 def applied(reads: DataFrame, fixes: DataFrame) -> DataFrame:
     """Reads with the fixes (read_id, pos, base; one a place) written into seq."""
     lists = fixes.groupBy("read_id").agg(F.collect_list(F.struct("pos", "base")).alias("fixes"))

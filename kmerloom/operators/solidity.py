@@ -61,3 +61,9 @@ def diagnostics(solids: DataFrame) -> DataFrame:
         F.count("*").alias("reads"), F.coalesce(F.sum("n"), F.lit(0)).alias("bases"), F.coalesce(F.sum("s"), F.lit(0)).alias("solid_bases"),
         F.count_if(F.col("s") < F.col("n")).alias("error_reads"), F.coalesce(F.sum(F.when(F.col("s") < F.col("n"), F.col("n") - F.col("s"))), F.lit(0)).alias("unsolid_bases"),
     )
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (gained, lost, same) over the bases that both have: solid only after, only before, or alike."""
+    both = before.withColumnRenamed("solid", "b").join(after.withColumnRenamed("solid", "a"), ["read_id", "pos"])
+    return both.agg(F.count_if(F.col("a") & ~F.col("b")).alias("gained"), F.count_if(F.col("b") & ~F.col("a")).alias("lost"), F.count_if(F.col("a") == F.col("b")).alias("same"))

@@ -129,6 +129,19 @@ ORACLE = {
     "vote_matrix": f"WITH {CANDIDATES} SELECT read_id, pos, base, votes FROM votes",
     "vote_winners": f"""WITH {CANDIDATES}, best AS (SELECT *, max(votes) OVER (PARTITION BY read_id) AS most FROM votes)
         SELECT read_id, pos, max(base) AS base, max(votes) AS votes FROM best WHERE votes = most GROUP BY read_id, pos HAVING count(*) <> 2""",
+    "vote_winners_limited": f"""WITH {CANDIDATES}, best AS (SELECT *, max(votes) OVER (PARTITION BY read_id) AS most FROM votes),
+        won AS (SELECT read_id, pos, max(base) AS base FROM best WHERE votes = most GROUP BY read_id, pos HAVING count(*) <> 2),
+        spread AS (SELECT read_id, pos, unnest(range(greatest(pos - 15, 0), least(pos, length(seq) - 16) + 1)) AS start FROM won JOIN reads USING (read_id) WHERE length(seq) >= 16),
+        crowded AS (SELECT read_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY read_id, start) AS n FROM spread) WHERE n > 2)
+        SELECT read_id, pos, base FROM won ANTI JOIN crowded USING (read_id, pos)""",
+    "vote_diagnostics": f"WITH {CANDIDATES} SELECT count(DISTINCT read_id) AS reads, max(votes) AS most, CAST(sum(votes) AS BIGINT) AS votes FROM votes",
+    "solid_changes": f"""WITH {TWO_SIDED},
+        win2 AS (SELECT read_id, i - 1 AS pos, substring(s, i, 16) AS kmer FROM (SELECT read_id, s, unnest(range(1, length(s) - 14)) AS i FROM (SELECT read_id, translate(seq, 'NWKSYMR', 'AAAAAAA') AS s FROM fixed WHERE length(seq) >= 16))),
+        hit2 AS (SELECT read_id, pos FROM win2 WHERE regexp_full_match(kmer, '[ACGT]+') AND least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) IN (SELECT canonical FROM trusted)),
+        after AS (
+            SELECT read_id, pos, max(h) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) = 1 AS a
+            FROM (SELECT p.read_id, p.pos, CASE WHEN h.pos IS NULL THEN 0 ELSE 1 END AS h FROM places p LEFT JOIN hit2 h ON p.read_id = h.read_id AND p.pos = h.pos))
+        SELECT count(*) FILTER (a AND NOT solid) AS gained, count(*) FILTER (solid AND NOT a) AS lost, count(*) FILTER (a = solid) AS same FROM solids JOIN after USING (read_id, pos)""",
     "two_sided_candidates": f"WITH {TWO_SIDED} SELECT read_id, pos, base FROM paired",
     "two_sided_fix_first": f"WITH {TWO_SIDED} SELECT read_id, pos, base FROM fix",
     "two_sided_applied": f"WITH {TWO_SIDED} SELECT read_id, seq FROM fixed",

@@ -276,6 +276,19 @@ def vote_winners(spark: SparkSession, d: str) -> DataFrame:
     return mutations.winners(vote_matrix(spark, d))
 
 
+@query
+def vote_winners_limited(spark: SparkSession, d: str) -> DataFrame:
+    """The winners without those in a k-mer that has more than 2 of them."""
+    return mutations.within_limit(vote_winners(spark, d).select("read_id", "pos", "base"), _reads(spark, d, "seq"), 2)
+
+
+@query
+def vote_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with votes, the most votes of one change, and all votes."""
+    v = vote_matrix(spark, d)
+    return v.agg(F.countDistinct("read_id").alias("reads"), F.max("votes").alias("most"), F.sum("votes").alias("votes"))
+
+
 @query
 def two_sided_candidates(spark: SparkSession, d: str) -> DataFrame:
     return mutations.two_sided(*_read_and_spectrum(spark, d))
@@ -306,6 +319,14 @@ def corrections_made(spark: SparkSession, d: str) -> DataFrame:
     return done.where("seq is not null").groupBy("run_id").agg(F.count("*").alias("n_reads"), F.count_if(changed > 0).alias("reads_changed"), F.sum(changed.cast("long")).alias("bases_changed"))
 
 
+@query
+def solid_changes(spark: SparkSession, d: str) -> DataFrame:
+    """How many bases the two-sided fix makes solid."""
+    rows, trusted = _read_and_spectrum(spark, d)
+    after = mutations.two_sided_corrected(rows, trusted, rounds=1)
+    return solidity.changes(solidity.solid_bases(rows, trusted), solidity.solid_bases(after, trusted))
+
+
 # Evaluation
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,11 @@ def reference_stretch(alignments: DataFrame, references: DataFrame) -> DataFrame
     """Alignments with `reference`, the stretch of their reference (rname, sequence) that they cover."""
     stretch = F.substring("sequence", F.col("start") + 1, F.col("end") - F.col("start"))
     return alignments.join(references.select("rname", "sequence"), "rname").withColumn("reference", stretch).drop("sequence")
+
+
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(rname, sequence) of a FASTA file: what stands between two `>` is one row of the text reader."""
+    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    head = F.substring_index("value", "\n", 1)
+    name = F.split(F.regexp_replace(head, r"\s.*$", ""), " ")[0]
+    return records.select(name.alias("rname"), F.regexp_replace(F.expr("substr(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", "").alias("sequence"))

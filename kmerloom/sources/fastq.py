@@ -139,3 +139,13 @@ def with_ordinals(records: DataFrame) -> DataFrame:
 def record_range(records: DataFrame, start: int, count: int) -> DataFrame:
     """`count` records from number `start` on."""
     return with_ordinals(records).where((F.col("read_id") >= start) & (F.col("read_id") < start + count))
+
+
+def write_fastq(records: DataFrame, path: str, seq: str = "seq", order: str | None = None, mode: str = "append") -> None:
+    """Write (header, `seq`, qual) as FASTQ: a part file a task. With `order` the parts, by name, are in that order.
+
+    `mode` append keeps the files that are there, overwrite replaces them.
+    """
+    if order:
+        records = records.orderBy(order)
+    records.select("header", F.col(seq).alias("seq"), "qual").write.format("fastq").mode(mode).save(path)

@@ -92,3 +92,13 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     got = {r.key: r.multiplicity for r in stream.counts_so_far(spark, str(tmp_path / "out")).collect()}
     want = counts([*seqs, *[seqs[0]] * 3], 16)
     assert got == {int("".join(str("ACGT".index(c) + 1) for c in g)): n for g, n in want.items()}
+
+
+def test_fasta_and_ordered_fastq(spark, tmp_path):
+    (tmp_path / "r.fa").write_text(">c1 first\nACGT\nAC\n>c2\nGG\n")
+    assert sorted(tuple(r) for r in alignments.fasta(spark, str(tmp_path / "r.fa")).collect()) == [("c1", "ACGTAC"), ("c2", "GG")]
+    spark.dataSource.register(fastq.FastqDataSource)
+    df = spark.createDataFrame([(i, f"h{i}", "A" * (i + 1), "F" * (i + 1)) for i in range(50)], "read_id INT, header STRING, fixed STRING, qual STRING").repartition(7)
+    fastq.write_fastq(df, str(tmp_path / "o"), seq="fixed", order="read_id")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "o").iterdir()))
+    assert text == "".join(f"@h{i}\n{'A' * (i + 1)}\n+\n{'F' * (i + 1)}\n" for i in range(50))
