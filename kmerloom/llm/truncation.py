@@ -46,11 +46,19 @@ def has_marker(text: Column) -> Column:
     return F.rlike(F.regexp_replace(text, _SPACE, ""), F.lit(_MARKER))
 
 
-def lengths(df: DataFrame, source: str, text: str) -> DataFrame:
+def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """What the rest works on, staged so that each text is read and matched once: (key, source, chars, bytes, final, text_hash, sentence)."""
+    t = F.col(text)
+    rows = df.where(F.rlike(F.coalesce(t, F.lit("")), F.lit(r"[^\s\p{Z}\p{Cf}\p{Cc}]")))
+    named = rows.select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"),
+                        has_final_mark(t).alias("final"), F.xxhash64(t).alias("text_hash"), _bare_sentence(t).alias("sentence"))
+    return stage(named, "truncation-rows")
+
+
+def lengths(rows: DataFrame) -> DataFrame:
     """(source, unit, length, n, open): how many values have that length, and how many of them no final mark."""
-    units = F.explode(F.create_map(F.lit("chars"), F.length(text), F.lit("bytes"), F.octet_length(text))).alias("unit", "length")
-    rows = df.select(F.col(source).alias("source"), units, has_final_mark(F.col(text)).alias("final"))
-    return rows.groupBy("source", "unit", "length").agg(F.count("*").alias("n"), F.sum((~F.col("final")).cast("int")).alias("open"))
+    units = F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "length")
+    return rows.select("source", "final", units).groupBy("source", "unit", "length").agg(F.count("*").alias("n"), F.sum((~F.col("final")).cast("int")).alias("open"))
 
 
 def spikes(histogram: DataFrame) -> DataFrame:
@@ -108,16 +116,14 @@ def _bare_sentence(text: Column) -> Column:
 
 def _examples(rows: DataFrame, plain_sources: DataFrame) -> DataFrame:
     """(sentence, label, weight): 1 = cut. From no more than FIT_ROWS and PLAIN_ROWS rows, by the hash of their text."""
-    picked = rows.where(F.length("text") >= 12).join(F.broadcast(plain_sources), "source", "left")  # one short row a source
-    first = lambda df, n: df.orderBy(F.xxhash64("text"), "text").limit(n)
-    usable = first(picked.where("final"), FIT_ROWS).unionByName(first(picked.where("plain and not final"), PLAIN_ROWS))
-    s = usable.select(_bare_sentence(F.col("text")).alias("s"), "final", F.xxhash64("text", F.lit(1)).alias("h"))
-    s = s.where(F.length("s") >= 8)
-    cut_at = F.lit(2) + F.pmod("h", F.length("s") - 3).cast("int")
+    picked = rows.where((F.col("chars") >= 12) & (F.length("sentence") >= 8)).select("source", "final", "text_hash", F.col("sentence").alias("s"))
+    first = lambda df, n: df.orderBy("text_hash", "s").limit(n)
+    s = first(picked.where("final"), FIT_ROWS).unionByName(first(picked.where("not final").join(plain_sources, "source", "left_semi"), PLAIN_ROWS))
+    cut_at = F.lit(2) + F.pmod(F.xxhash64("text_hash"), F.length("s") - 3).cast("int")
     weight = F.when(F.col("final"), 1.0).otherwise(PLAIN_WEIGHT).alias("weight")
     whole = s.select(F.col("s").alias("sentence"), F.lit(0.0).alias("label"), weight)
     cut = s.where("final").select(F.substring("s", F.lit(1), cut_at).alias("sentence"), F.lit(1.0).alias("label"), weight)
-    return whole.unionByName(cut).where(F.length("sentence") > 1)
+    return whole.unionByName(cut)
 
 
 def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -125,29 +131,26 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
 
     Null, empty and blank texts are never cut. A null source is a source of its own. An empty table gives no rows.
     """
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).where(F.rlike(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\s\p{Z}\p{Cf}\p{Cc}]")))
-    rows = rows.withColumn("final", has_final_mark(F.col("text")))
-    at = spikes(lengths(rows, "source", "text")).groupBy("source").agg(
-        F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("bytes")
+    rows = judged(df, key, source, text)
+    at = spikes(lengths(rows)).groupBy("source").agg(
+        F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("at_chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("at_bytes")
     )
-    open_ = rows.where("not final").join(at, "source", "left")
-    spiked = F.coalesce(F.array_contains("chars", F.length("text")), F.lit(False)) | F.coalesce(F.array_contains("bytes", F.octet_length("text")), F.lit(False))
-    sentence = _bare_sentence(F.col("text"))
-    held = stage(open_.select("key", "source", F.xxhash64("text").alias("text_hash"), F.when(spiked, F.lit("limit")).alias("why"), sentence.alias("sentence")), "truncation")
-
-    plain = rows.groupBy("source").agg((F.avg((~F.col("final")).cast("int")) > 0.5).alias("plain")).join(at.select("source"), "source", "left_anti")
-    term = HashingTF(numFeatures=FIT_FEATURES, inputCol="features", outputCol="vector")
-    fit_on = stage(_examples(rows, plain).select("label", "weight", features(F.col("sentence")).alias("features")), "truncation-fit")
-    rest = held.where(F.col("why").isNull() & (F.length("sentence") >= LEAST_LETTERS)).withColumn("features", features(F.col("sentence")))
+    spiked = F.coalesce(F.array_contains("at_chars", F.col("chars")) | F.array_contains("at_bytes", F.col("bytes")), F.lit(False))
+    marked = rows.where("not final").join(at, "source", "left").select("key", "source", "text_hash", "sentence", F.when(spiked, F.lit("limit")).alias("why"))
+    held = stage(marked, "truncation-open")
+    cut = held.where("why is not null").select("key", "source", "text_hash", "why")
+
+    plain = rows.groupBy("source").agg(F.avg((~F.col("final")).cast("int")).alias("open")).where("open > 0.5").join(at.select("source"), "source", "left_anti")
+    fit_on = stage(_examples(rows, plain.select("source")).select("label", "weight", features(F.col("sentence")).alias("features")), "truncation-fit")
     if fit_on.select("label").distinct().count() == 2:
+        term = HashingTF(numFeatures=FIT_FEATURES, inputCol="features", outputCol="vector")
         model = LogisticRegression(featuresCol="vector", weightCol="weight", maxIter=40, regParam=1e-3).fit(term.transform(fit_on))
+        rest = held.where(F.col("why").isNull() & (F.length("sentence") >= LEAST_LETTERS)).withColumn("features", features(F.col("sentence")))
         scored = model.transform(term.transform(rest)).withColumn("p", vector_to_array("probability")[1])
         scored = stage(scored.select("key", "source", "text_hash", "p"), "truncation-scored")
         often = scored.groupBy("source").agg(F.least(F.greatest(F.avg("p"), F.lit(0.02)), F.lit(0.98)).alias("often"))
-        scored = scored.join(often, "source").where(F.col("p") * F.col("often") > (1 - F.col("p")) * (1 - F.col("often")))
-        cut = held.where("why is not null").select("key", "source", "text_hash", "why").unionByName(scored.select("key", "source", "text_hash", F.lit("transfer").alias("why")))
-    else:
-        cut = held.where("why is not null").select("key", "source", "text_hash", "why")
+        broken = scored.join(often, "source").where(F.col("p") * F.col("often") > (1 - F.col("p")) * (1 - F.col("often")))
+        cut = cut.unionByName(broken.select("key", "source", "text_hash", F.lit("transfer").alias("why")))
     cut = stage(cut, "truncation-cut")
     copies = held.join(cut.select("text_hash").distinct(), "text_hash", "left_semi").join(cut, "key", "left_anti")
     return cut.unionByName(copies.select("key", "source", "text_hash", F.lit("copy").alias("why")))
@@ -156,6 +159,6 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
 def shares(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """(source, n_rows, n_cut, share, by limit and by transfer): how often each source cuts off. A null source is reported as ''."""
     cut = truncated(df, key, source, text).groupBy("source").agg(F.count("*").alias("n_cut"), F.count_if(F.col("why") == "limit").alias("by_limit"), F.count_if(F.col("why") == "transfer").alias("by_transfer"))
-    all_ = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count("*").alias("n_rows"))
+    all_ = df.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).agg(F.count("*").alias("n_rows"))
     joined = all_.join(cut, "source", "left").na.fill(0, ["n_cut", "by_limit", "by_transfer"])
     return joined.select("source", "n_rows", "n_cut", (F.col("n_cut") / F.col("n_rows")).alias("share"), "by_limit", "by_transfer")
