@@ -23,12 +23,17 @@ from kmerloom.tables import stage
 NEAR, RING, LEAST, SHARE, EXCESS, NARROW = 3, 40, 8, 0.35, 4.0, 0.6  # see spikes
 FIT_ROWS, FIT_FEATURES, LEAST_LETTERS, PLAIN_ROWS, PLAIN_WEIGHT = 30_000, 1 << 17, 8, 15_000, 4.0
 
-# Fixed patterns: what may stand behind the last word of a whole text, and marks that a cut leaves.
-_CLOSING = r"(?:[\s\p{Z}\p{Cf}\p{Cc}\"'”»“’)\]」』）]|</?\w+/?>)*$"
-_SPACE = r"(?:[\s\p{Z}\p{Cf}\p{Cc}]|</?\w+/?>)*$"
-_MARKER = r"(?:\s*(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\(\.\.\.\)))+$"
-_OPENING = r"^(?:[\s\p{Z}\p{Cf}\p{Cc}]|</?\w+/?>|&nbsp;)*"
+# Fixed patterns: what may stand behind the last word of a whole text, and marks that a cut leaves. Long runs are
+# taken at once and only from their start, so that a text of nothing but blanks or brackets costs linear time and no stack.
+_BLANK = r"\s\p{Z}\p{Cf}\p{Cc}"
+_CLOSE = _BLANK + r"\"'”»“’)\]」』）"
+_AFTER_TAG = r"(?<!</?\w{1,12}/?>)"
+_CLOSING = rf"(?=[{_CLOSE}<])(?<![{_CLOSE}]){_AFTER_TAG}(?:[{_CLOSE}]++|</?\w+/?>)++$"
+_SPACE = rf"(?=[{_BLANK}<])(?<![{_BLANK}]){_AFTER_TAG}(?:[{_BLANK}]++|</?\w+/?>)++$"
+_MARKER = r"(?<![\s…])(?<!\.\.\.)(?:\s*+(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\(\.\.\.\)))++$"
+_OPENING = rf"^(?:[{_BLANK}]++|</?\w+/?>|&nbsp;)*+"
 _FINAL = r"[.!?。！？]$"
+_FINALS = r"(?<![.!?。！？:：])[.!?。！？:：]++([\"'”»“’)\]」』）]*+)$"
 _SENTENCE_END = r"(?s)^.*(?:[.!?][\"'”»“’)]*\s+|[。！？][」』）]*|\n)(?=\S)"
 
 
@@ -47,12 +52,12 @@ def has_marker(text: Column) -> Column:
 
 
 def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """What the rest works on, staged so that each text is read and matched once: (key, source, chars, bytes, final, text_hash, sentence)."""
+    """What the rest works on, staged so that each text is read and matched once: (key, source, chars, bytes, final, text_hash, sentence, follows)."""
     t = F.col(text)
     rows = df.where(F.rlike(F.coalesce(t, F.lit("")), F.lit(r"[^\s\p{Z}\p{Cf}\p{Cc}]")))
     named = rows.select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"),
-                        has_final_mark(t).alias("final"), F.xxhash64(t).alias("text_hash"), _bare_sentence(t).alias("sentence"))
-    return stage(named, "truncation-rows")
+                        has_final_mark(t).alias("final"), F.xxhash64(t).alias("text_hash"), _bare_sentence(t).alias("last"))
+    return stage(named.select("key", "source", "chars", "bytes", "final", "text_hash", "last.sentence", "last.follows"), "truncation-rows")
 
 
 def lengths(rows: DataFrame) -> DataFrame:
@@ -81,12 +86,8 @@ def spikes(histogram: DataFrame) -> DataFrame:
     return summed.where(F.col("upper") & narrow & (F.col("o") >= LEAST) & (F.col("o") >= SHARE * F.col("all")) & (F.col("o") >= EXCESS * expected)).select("source", "unit", "length")
 
 
-def _last_sentence(text: Column) -> Column:
-    return F.regexp_replace(F.substring(text, -4000, 4000), _SENTENCE_END, "")
-
-
-def features(sentence: Column) -> Column:
-    """What the classifier sees of a last sentence without its final mark: its last words and letters, its first words."""
+def features(sentence: Column, follows: Column) -> Column:
+    """What the classifier sees of a last sentence without its final mark: its last words and letters, its first words, and whether it follows another: captions stand alone."""
     word = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[\d]", "0"), r"\s+", " ")), " ")
     back, n = F.reverse(word), F.size(word)
     at = lambda i: F.coalesce(F.try_element_at(back, F.lit(i)), F.lit("^"))
@@ -101,28 +102,32 @@ def features(sentence: Column) -> Column:
     parts += [F.concat(F.lit("a1:"), ahead(1)), F.concat_ws(" ", F.lit("a2"), ahead(1), ahead(2)), F.concat(F.lit("s:"), shape), F.concat(F.lit("n:"), few)]
     parts += [F.concat_ws(" ", F.lit(f"x{i}"), few, ahead(1), at(i)) for i in (1, 3, 4, 5)]
     parts += [F.concat_ws(" ", F.lit("z"), few, ahead(1), shape), F.concat_ws(" ", F.lit("y"), few, shape)]
-    parts += [F.when(F.rlike(sentence, F.lit(r"[(（][^)）]*$")), "open(").otherwise("-("), F.when(F.rlike(sentence, F.lit(r"[\"„“«「][^\"“”»」]*$")), "open'").otherwise("-'")]
-    bag = F.transform(F.slice(word, 1, 60), lambda w: F.concat(F.lit("b:"), w))
+    parts += [F.when(F.rlike(sentence, F.lit(r"[(（][^)）(（]*$")), "open(").otherwise("-("), F.when(F.rlike(sentence, F.lit(r"[\"„“«「][^\"“”»」„«「]*$")), "open'").otherwise("-'")]
+    place = F.when(follows, "f").otherwise("o")
+    parts += [F.concat(F.lit("q:"), place, few), F.concat_ws(" ", F.lit("q1"), place, few, ahead(1)), F.concat_ws(" ", F.lit("q2"), place, few, shape)]
+    bag = F.transform(word, lambda w: F.concat(F.lit("b:"), w))
     return F.concat(F.array(*parts), bag)
 
 
 def _bare_sentence(text: Column) -> Column:
-    """The last sentence without final marks and what closes it; a single space at the end is kept: cuts leave it."""
+    """(sentence, follows): the last sentence without final marks and what closes it (a single space at the end is kept: cuts leave it), and whether another one stands before it."""
     bare = F.regexp_replace(F.regexp_replace(text, _SPACE, ""), _MARKER, "")
-    bare = F.regexp_replace(bare, r"[.!?。！？:：]+([\"'”»“’)\]」』）]*)$", "$1")
+    bare = F.regexp_replace(bare, _FINALS, "$1")
+    last = F.regexp_replace(bare, _SENTENCE_END, "")
     space = F.when(F.rlike(text, F.lit(r"\S $")), " ").otherwise("")
-    return F.concat(F.regexp_replace(F.regexp_replace(_last_sentence(bare), _OPENING, ""), r"&nbsp;|[\p{Z}\t]", " "), space)
+    sentence = F.concat(F.regexp_replace(F.regexp_replace(last, _OPENING, ""), r"&nbsp;|[\p{Z}\t]", " "), space)
+    return F.struct(sentence.alias("sentence"), (F.length(last) < F.length(bare)).alias("follows"))
 
 
 def _examples(rows: DataFrame, plain_sources: DataFrame) -> DataFrame:
-    """(sentence, label, weight): 1 = cut. From no more than FIT_ROWS and PLAIN_ROWS rows, by the hash of their text."""
-    picked = rows.where((F.col("chars") >= 12) & (F.length("sentence") >= 8)).select("source", "final", "text_hash", F.col("sentence").alias("s"))
+    """(sentence, follows, label, weight): 1 = cut. From no more than FIT_ROWS and PLAIN_ROWS rows, by the hash of their text."""
+    picked = rows.where((F.col("chars") >= 12) & (F.length("sentence") >= 8)).select("source", "final", "text_hash", "follows", F.col("sentence").alias("s"))
     first = lambda df, n: df.orderBy("text_hash", "s").limit(n)
     s = first(picked.where("final"), FIT_ROWS).unionByName(first(picked.where("not final").join(plain_sources, "source", "left_semi"), PLAIN_ROWS))
     cut_at = F.lit(2) + F.pmod(F.xxhash64("text_hash"), F.length("s") - 3).cast("int")
     weight = F.when(F.col("final"), 1.0).otherwise(PLAIN_WEIGHT).alias("weight")
-    whole = s.select(F.col("s").alias("sentence"), F.lit(0.0).alias("label"), weight)
-    cut = s.where("final").select(F.substring("s", F.lit(1), cut_at).alias("sentence"), F.lit(1.0).alias("label"), weight)
+    whole = s.select(F.col("s").alias("sentence"), "follows", F.lit(0.0).alias("label"), weight)
+    cut = s.where("final").select(F.substring("s", F.lit(1), cut_at).alias("sentence"), "follows", F.lit(1.0).alias("label"), weight)
     return whole.unionByName(cut)
 
 
@@ -136,16 +141,16 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("at_chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("at_bytes")
     )
     spiked = F.coalesce(F.array_contains("at_chars", F.col("chars")) | F.array_contains("at_bytes", F.col("bytes")), F.lit(False))
-    marked = rows.where("not final").join(at, "source", "left").select("key", "source", "text_hash", "sentence", F.when(spiked, F.lit("limit")).alias("why"))
+    marked = rows.where("not final").join(at, "source", "left").select("key", "source", "text_hash", "chars", "sentence", "follows", F.when(spiked, F.lit("limit")).alias("why"))
     held = stage(marked, "truncation-open")
     cut = held.where("why is not null").select("key", "source", "text_hash", "why")
 
     plain = rows.groupBy("source").agg(F.avg((~F.col("final")).cast("int")).alias("open")).where("open > 0.5").join(at.select("source"), "source", "left_anti")
-    fit_on = stage(_examples(rows, plain.select("source")).select("label", "weight", features(F.col("sentence")).alias("features")), "truncation-fit")
+    fit_on = stage(_examples(rows, plain.select("source")).select("label", "weight", features(F.col("sentence"), F.col("follows")).alias("features")), "truncation-fit")
     if fit_on.select("label").distinct().count() == 2:
         term = HashingTF(numFeatures=FIT_FEATURES, inputCol="features", outputCol="vector")
         model = LogisticRegression(featuresCol="vector", weightCol="weight", maxIter=40, regParam=1e-3).fit(term.transform(fit_on))
-        rest = held.where(F.col("why").isNull() & (F.length("sentence") >= LEAST_LETTERS)).withColumn("features", features(F.col("sentence")))
+        rest = held.where(F.col("why").isNull() & (F.col("chars") >= LEAST_LETTERS) & (F.length("sentence") > 0)).withColumn("features", features(F.col("sentence"), F.col("follows")))
         scored = model.transform(term.transform(rest)).withColumn("p", vector_to_array("probability")[1])
         scored = stage(scored.select("key", "source", "text_hash", "p"), "truncation-scored")
         often = scored.groupBy("source").agg(F.least(F.greatest(F.avg("p"), F.lit(0.02)), F.lit(0.98)).alias("often"))

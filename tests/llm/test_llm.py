@@ -253,3 +253,11 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0), "doc_id", "source", "text").count() == 0
     shares = {x.source: x.n_rows for x in truncation.shares(df, "doc_id", "source", "text").collect()}
     assert sum(shares.values()) == len(rows)
+
+
+def test_truncation_of_long_runs(spark):
+    runs = [" " * 200_000, "(" * 50_000, ")" * 50_000, "<b>" * 20_000, "." * 3_000, "…" * 20_000, "«" * 50_000, "x" * 300_000]
+    rows = [(i, "s", "The plate " + run + tail) for i, (run, tail) in enumerate((r, t) for r in runs for t in ("", " moves."))]
+    df = spark.createDataFrame([*rows, (99, None, None)], "doc_id LONG, source STRING, text STRING")
+    assert {x.doc_id: x.final for x in truncation.judged(df, "doc_id", "source", "text").withColumnRenamed("key", "doc_id").collect()} == {i: i % 2 == 1 for i, _, t in rows}
+    assert {x.key for x in truncation.truncated(df, "doc_id", "source", "text").collect()} <= {i for i, _, _ in rows}
