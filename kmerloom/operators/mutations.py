@@ -54,6 +54,12 @@ def winners(voted: DataFrame) -> DataFrame:
     return tied.where("n <> 2").select("read_id", "pos", "base", "votes")
 
 
+def place_winners(voted: DataFrame) -> DataFrame:
+    """(read_id, pos, base, votes): each place's change with the most votes; of tied ones the first in the alphabet."""
+    best = F.max(F.struct("votes", (-F.ascii("base")).alias("early"), "base")).alias("best")
+    return voted.groupBy("read_id", "pos").agg(best).select("read_id", "pos", "best.base", "best.votes")
+
+
 def two_sided(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
     """(read_id, pos, base): changes of an unsolid base that make both of its k-mers trusted.
 
@@ -78,6 +84,16 @@ def two_sided(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
     return paired.select("read_id", "pos", B.decode_digits(F.col("digit")).alias("base"))
 
 
+def interior_fixes(both: DataFrame, reads: DataFrame, k: int = B.K) -> DataFrame:
+    """(read_id, pos, base): of the two-sided changes, those with k - 1 bases on either side that are the only one of their place.
+
+    Each place is judged on the read as it stands, without the other fixes.
+    """
+    single = both.groupBy("read_id", "pos").agg(F.count("*").alias("n"), F.min("base").alias("base")).where("n = 1").drop("n")
+    sizes = reads.select("read_id", F.length("seq").alias("size"))
+    return single.where(F.col("pos") >= k - 1).join(sizes, "read_id").where(F.col("pos") <= F.col("size") - k).drop("size")
+
+
 def first_fix(both: DataFrame) -> DataFrame:
     """(read_id, pos, base): each read's first place with exactly one two-sided change."""
     single = both.groupBy("read_id", "pos").agg(F.count("*").alias("n"), F.min("base").alias("base")).where("n = 1")

@@ -19,9 +19,13 @@ def multiplicities(rows: DataFrame, spectrum: DataFrame) -> DataFrame:
     return rows.join(known, "key", "left").withColumn("multiplicity", F.coalesce("in_spectrum", F.lit(0))).drop("in_spectrum")
 
 
-def solid_bases(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
-    """(read_id, pos, solid): for every base, whether a trusted k-mer covers it. Empty and null reads have no bases."""
-    hit = multiplicities(kmers.windows(reads, k, whole=True).select("read_id", "pos", "key"), spectrum).select("read_id", "pos", (F.col("multiplicity") > 0).alias("hit"))
+def solid_bases(reads: DataFrame, spectrum: DataFrame, k: int = B.K, both_strands: bool = True) -> DataFrame:
+    """(read_id, pos, solid): for every base, whether a trusted k-mer covers it. Empty and null reads have no bases.
+
+    Without `both_strands` a window is looked up as it stands, not by its canonical k-mer.
+    """
+    key = F.col("key" if both_strands else "forward").alias("key")
+    hit = multiplicities(kmers.windows(reads, k, whole=True).select("read_id", "pos", key), spectrum).select("read_id", "pos", (F.col("multiplicity") > 0).alias("hit"))
     return hit.select("read_id", "pos", F.max("hit").over(_places().rowsBetween(-(k - 1), 0)).alias("solid"))
 
 

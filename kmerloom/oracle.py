@@ -115,6 +115,10 @@ ORACLE = {
     "kmer_membership_anti": f"WITH {TRUSTED} SELECT read_id, pos FROM win ANTI JOIN trusted USING (canonical)",
     "kmer_multiplicity_lookup": f"WITH {TRUSTED} SELECT e.read_id, e.pos, coalesce(multiplicity, 0) AS multiplicity FROM every e LEFT JOIN win w USING (read_id, pos) LEFT JOIN trusted t ON w.canonical = t.canonical",
     "solid_bases": f"WITH {SOLID} SELECT read_id, pos, solid FROM solids",
+    "solid_bases_forward": f"""WITH {SOLID},
+        hit1 AS (SELECT read_id, pos FROM win WHERE kmer IN (SELECT canonical FROM trusted))
+        SELECT read_id, pos, max(h) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) = 1 AS solid
+        FROM (SELECT p.read_id, p.pos, CASE WHEN h.pos IS NULL THEN 0 ELSE 1 END AS h FROM places p LEFT JOIN hit1 h ON p.read_id = h.read_id AND p.pos = h.pos)""",
     "trusted_regions": f"WITH {REGIONS} SELECT read_id, lo, hi, span FROM regions",
     "trusted_base_regions": f"""WITH {SOLID} SELECT read_id, min(pos) AS lo, max(pos) AS hi
         FROM (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS run FROM solids WHERE solid) GROUP BY read_id, run HAVING count(*) >= 16""",
@@ -129,6 +133,8 @@ ORACLE = {
     "vote_matrix": f"WITH {CANDIDATES} SELECT read_id, pos, base, votes FROM votes",
     "vote_winners": f"""WITH {CANDIDATES}, best AS (SELECT *, max(votes) OVER (PARTITION BY read_id) AS most FROM votes)
         SELECT read_id, pos, max(base) AS base, max(votes) AS votes FROM best WHERE votes = most GROUP BY read_id, pos HAVING count(*) <> 2""",
+    "vote_place_winners": f"""WITH {CANDIDATES} SELECT read_id, pos, base, votes FROM (
+        SELECT *, row_number() OVER (PARTITION BY read_id, pos ORDER BY votes DESC, base) AS turn FROM votes) WHERE turn = 1""",
     "vote_winners_limited": f"""WITH {CANDIDATES}, best AS (SELECT *, max(votes) OVER (PARTITION BY read_id) AS most FROM votes),
         won AS (SELECT read_id, pos, max(base) AS base FROM best WHERE votes = most GROUP BY read_id, pos HAVING count(*) <> 2),
         spread AS (SELECT read_id, pos, unnest(range(greatest(pos - 15, 0), least(pos, length(seq) - 16) + 1)) AS start FROM won JOIN reads USING (read_id) WHERE length(seq) >= 16),
@@ -144,6 +150,8 @@ ORACLE = {
         SELECT count(*) FILTER (a AND NOT solid) AS gained, count(*) FILTER (solid AND NOT a) AS lost, count(*) FILTER (a = solid) AS same FROM solids JOIN after USING (read_id, pos)""",
     "two_sided_candidates": f"WITH {TWO_SIDED} SELECT read_id, pos, base FROM paired",
     "two_sided_fix_first": f"WITH {TWO_SIDED} SELECT read_id, pos, base FROM fix",
+    "two_sided_interior": f"""WITH {TWO_SIDED}, one AS (SELECT read_id, pos, min(base) AS base FROM paired GROUP BY read_id, pos HAVING count(*) = 1)
+        SELECT read_id, pos, base FROM one JOIN reads USING (read_id) WHERE pos BETWEEN 15 AND length(seq) - 16""",
     "two_sided_applied": f"WITH {TWO_SIDED} SELECT read_id, seq FROM fixed",
     "read_diff_left_join": f"""WITH {READS}, {PARSED}, j AS (SELECT r.read_id, CASE WHEN p.read_id IS NULL THEN 'missing' WHEN r.seq IS DISTINCT FROM p.seq THEN 'differs' END AS status FROM reads r LEFT JOIN parsed p USING (read_id))
         SELECT read_id, status FROM j WHERE status IS NOT NULL""",

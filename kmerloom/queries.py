@@ -220,6 +220,12 @@ def solid_bases(spark: SparkSession, d: str) -> DataFrame:
     return solidity.solid_bases(*_read_and_spectrum(spark, d))
 
 
+@query
+def solid_bases_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Bases that a trusted k-mer covers as it stands, not by its reverse complement."""
+    return solidity.solid_bases(*_read_and_spectrum(spark, d), both_strands=False)
+
+
 @query
 def trusted_regions(spark: SparkSession, d: str) -> DataFrame:
     return solidity.trusted_regions(*_read_and_spectrum(spark, d))
@@ -276,6 +282,11 @@ def vote_winners(spark: SparkSession, d: str) -> DataFrame:
     return mutations.winners(vote_matrix(spark, d))
 
 
+@query
+def vote_place_winners(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.place_winners(vote_matrix(spark, d))
+
+
 @query
 def vote_winners_limited(spark: SparkSession, d: str) -> DataFrame:
     """The winners without those in a k-mer that has more than 2 of them."""
@@ -299,6 +310,12 @@ def two_sided_fix_first(spark: SparkSession, d: str) -> DataFrame:
     return mutations.first_fix(two_sided_candidates(spark, d))
 
 
+@query
+def two_sided_interior(spark: SparkSession, d: str) -> DataFrame:
+    rows, trusted = _read_and_spectrum(spark, d)
+    return mutations.interior_fixes(mutations.two_sided(rows, trusted), rows)
+
+
 @query
 def two_sided_applied(spark: SparkSession, d: str) -> DataFrame:
     """Reads after one round of the two-sided fix."""

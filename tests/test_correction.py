@@ -71,6 +71,27 @@ def test_three_tied_votes_take_the_largest_and_two_none(spark):
     assert sorted((r.read_id, r.pos, r.base) for r in got) == [(1, 4, "G"), (2, 9, "T")]
 
 
+def test_place_winners_and_interior_fixes(spark):
+    rows = [(1, 4, "C", 5), (1, 4, "A", 5), (1, 4, "G", 2), (1, 5, "T", 1), (None, 4, "A", 3)]
+    voted = spark.createDataFrame(rows, "read_id INT, pos INT, base STRING, votes INT")
+    assert {tuple(r) for r in mutations.place_winners(voted).collect()} == {(1, 4, "A", 5), (1, 5, "T", 1), (None, 4, "A", 3)}
+    assert mutations.place_winners(voted.limit(0)).count() == 0
+    both = spark.createDataFrame([(1, p, "C") for p in (0, 3, 4, 5, 6, 7)] + [(1, 5, "G"), (9, 4, "A")], "read_id INT, pos INT, base STRING")
+    reads = spark.createDataFrame([(1, "A" * 11, "x"), (2, None, "x")], "read_id INT, seq STRING, size STRING")
+    assert {tuple(r) for r in mutations.interior_fixes(both, reads, 5).collect()} == {(1, 4, "C"), (1, 6, "C")}
+    assert mutations.interior_fixes(both.limit(0), reads, 5).count() == 0
+
+
+def test_solid_bases_on_one_strand(spark):
+    read = "TTACGACTCAACGCAGCACGTACGTT"
+    trusted = spark.createDataFrame([(key(canon(read[3:11])), 5)], "key LONG, multiplicity INT")
+    df = spark.createDataFrame([(1, read), (2, rc(read)), (3, None), (4, "")], "read_id INT, seq STRING")
+    solid = lambda **how: {(r.read_id, r.pos) for r in solidity.solid_bases(df, trusted, 8, **how).where("solid").collect()}
+    first, second = {(1, p) for p in range(3, 11)}, {(2, len(read) - 1 - p) for p in range(3, 11)}
+    assert solid() == first | second
+    assert solid(both_strands=False) == (first if canon(read[3:11]) == read[3:11] else second)
+
+
 def test_pipeline_joins_and_broadcast_agree(spark):
     seqs = noisy(3, 16, genome=400, reads=120, size=80, errors=0.01)
     rows = [(i, s, "k") for i, s in enumerate([*seqs, None, "", "ACG", seqs[0]])]
