@@ -7,11 +7,17 @@ cut (an ellipsis, also in brackets) are no final mark.
 A transfer that breaks off leaves no spike. For the other values without a final mark, a logistic regression tells from
 the last sentence whether it ends inside a word or sentence. It is fitted on at most FIT_ROWS and PLAIN_ROWS of the table's own rows:
 last sentences of texts with a final mark, as they are (without the mark) and cut at a random place, and the texts of
-sources that mostly have no final mark. Its odds are weighed by how often the source breaks off, by its mean. Last, a text that equals a cut one is cut as well.
+sources that mostly have no final mark, such as captions. A source may also lack them because it mostly breaks off: a
+first regression, of the ends of the marked sentences alone, tells, and only sources of whose texts no more than PLAIN_CUT
+look clearly cut (LOOKS_CUT) to it are taught as whole, texts with a mark of a cut not at all. What such a source holds
+of cut texts is still taught as whole with the others; captions that end like no marked sentence are not taught.
+Each text is taught once. The odds of the second are weighed by how often the source breaks off, by its mean. Last, a text that equals a cut one is cut as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 from kmerloom.tables import stage
 
 NEAR, RING, LEAST, SHARE, EXCESS, NARROW = 3, 40, 8, 0.35, 4.0, 0.6  # see spikes
-FIT_ROWS, FIT_FEATURES, LEAST_LETTERS, PLAIN_ROWS, PLAIN_WEIGHT = 30_000, 1 << 17, 8, 15_000, 4.0
+FIT_ROWS, FIT_FEATURES, LEAST_LETTERS, PLAIN_ROWS, PLAIN_WEIGHT, LOOKS_CUT, PLAIN_CUT = 30_000, 1 << 17, 8, 15_000, 4.0, 0.9, 0.2
 
 # Fixed patterns: what may stand behind the last word of a whole text, and marks that a cut leaves. Long runs are
 # taken at once and only from their start, so that a text of nothing but blanks or brackets costs linear time and no stack.
@@ -52,12 +58,12 @@ def has_marker(text: Column) -> Column:
 
 
 def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """What the rest works on, staged so that each text is read and matched once: (key, source, chars, bytes, final, text_hash, sentence, follows)."""
+    """What the rest works on, staged so that each text is read and matched once: (key, source, chars, bytes, final, marker, text_hash, sentence, follows)."""
     t = F.col(text)
     rows = df.where(F.rlike(F.coalesce(t, F.lit("")), F.lit(r"[^\s\p{Z}\p{Cf}\p{Cc}]")))
     named = rows.select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"),
-                        has_final_mark(t).alias("final"), F.xxhash64(t).alias("text_hash"), _bare_sentence(t).alias("last"))
-    return stage(named.select("key", "source", "chars", "bytes", "final", "text_hash", "last.sentence", "last.follows"), "truncation-rows")
+                        has_final_mark(t).alias("final"), has_marker(t).alias("marker"), F.xxhash64(t).alias("text_hash"), _bare_sentence(t).alias("last"))
+    return stage(named.select("key", "source", "chars", "bytes", "final", "marker", "text_hash", "last.sentence", "last.follows"), "truncation-rows")
 
 
 def lengths(rows: DataFrame) -> DataFrame:
@@ -86,9 +92,18 @@ def spikes(histogram: DataFrame) -> DataFrame:
     return summed.where(F.col("upper") & narrow & (F.col("o") >= LEAST) & (F.col("o") >= SHARE * F.col("all")) & (F.col("o") >= EXCESS * expected)).select("source", "unit", "length")
 
 
+def _words(sentence: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[\d]", "0"), r"\s+", " ")), " ")
+
+
+def endings(sentence: Column) -> Column:
+    """Its last word and letters only: these look whole in captions as well."""
+    return F.array(F.concat(F.lit("w:"), F.try_element_at(_words(sentence), F.lit(-1))), *(F.concat(F.lit(f"c{k}:"), F.substring(sentence, -k, k)) for k in range(1, 8)))
+
+
 def features(sentence: Column, follows: Column) -> Column:
     """What the classifier sees of a last sentence without its final mark: its last words and letters, its first words, and whether it follows another: captions stand alone."""
-    word = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[\d]", "0"), r"\s+", " ")), " ")
+    word = _words(sentence)
     back, n = F.reverse(word), F.size(word)
     at = lambda i: F.coalesce(F.try_element_at(back, F.lit(i)), F.lit("^"))
     few = F.least(n, F.lit(9)).cast("string")
@@ -119,16 +134,44 @@ def _bare_sentence(text: Column) -> Column:
     return F.struct(sentence.alias("sentence"), (F.length(last) < F.length(bare)).alias("follows"))
 
 
-def _examples(rows: DataFrame, plain_sources: DataFrame) -> DataFrame:
-    """(sentence, follows, label, weight): 1 = cut. From no more than FIT_ROWS and PLAIN_ROWS rows, by the hash of their text."""
-    picked = rows.where((F.col("chars") >= 12) & (F.length("sentence") >= 8)).select("source", "final", "text_hash", "follows", F.col("sentence").alias("s"))
-    first = lambda df, n: df.orderBy("text_hash", "s").limit(n)
-    s = first(picked.where("final"), FIT_ROWS).unionByName(first(picked.where("not final").join(plain_sources, "source", "left_semi"), PLAIN_ROWS))
-    cut_at = F.lit(2) + F.pmod(F.xxhash64("text_hash"), F.length("s") - 3).cast("int")
-    weight = F.when(F.col("final"), 1.0).otherwise(PLAIN_WEIGHT).alias("weight")
-    whole = s.select(F.col("s").alias("sentence"), "follows", F.lit(0.0).alias("label"), weight)
-    cut = s.where("final").select(F.substring("s", F.lit(1), cut_at).alias("sentence"), "follows", F.lit(1.0).alias("label"), weight)
-    return whole.unionByName(cut)
+def _sample(rows: DataFrame, n: int) -> DataFrame:
+    """(source, follows, sentence, marker, text_hash) of n texts, by their hash; copies count once."""
+    able = rows.where((F.col("chars") >= 12) & (F.length("sentence") >= 8))
+    last = able.select("text_hash").distinct().orderBy("text_hash").limit(n).agg(F.max("text_hash")).first()[0]
+    one = able.where(F.col("text_hash") <= F.lit(last)).groupBy("text_hash").agg(F.min(F.struct("source", "follows", "sentence", "marker")).alias("r"))
+    return one.select("r.*", "text_hash")
+
+
+def _examples(rows: DataFrame) -> DataFrame:
+    """(sentence, follows, label, weight): 1 = cut. Last sentences of FIT_ROWS texts with a final mark, whole and cut."""
+    s = _sample(rows.where("final"), FIT_ROWS)
+    cut_at = F.lit(2) + F.pmod(F.xxhash64("text_hash"), F.length("sentence") - 3).cast("int")
+    whole = s.select("sentence", "follows", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"))
+    return whole.unionByName(s.select(F.substring("sentence", F.lit(1), cut_at).alias("sentence"), "follows", F.lit(1.0).alias("label"), F.lit(1.0).alias("weight")))
+
+
+def _plain_examples(rows: DataFrame, plain_sources: DataFrame, marked: DataFrame) -> DataFrame:
+    """The same of PLAIN_ROWS texts without a final mark, as whole; from those of the sources that don't mostly break off.
+
+    `marked` has the examples with final marks, whose ends tell.
+    """
+    s = stage(_sample(rows.where("not final").join(plain_sources, "source", "left_semi"), PLAIN_ROWS), "truncation-plain")
+    look = _fitted(marked, lambda r: endings(r["sentence"])) if not s.isEmpty() else None
+    if look is None:
+        return marked.limit(0)
+    seen = stage(look(s).withColumn("cut", F.when(F.col("marker"), 1.0).otherwise(F.col("p"))), "truncation-looks")
+    whole = seen.groupBy("source").agg(F.avg((F.col("cut") > LOOKS_CUT).cast("int")).alias("share")).where(F.col("share") <= PLAIN_CUT)
+    return seen.where("not marker").join(whole, "source", "left_semi").select("sentence", "follows", F.lit(0.0).alias("label"), F.lit(PLAIN_WEIGHT).alias("weight"))
+
+
+def _fitted(examples: DataFrame, seen: Callable[[DataFrame], Column]) -> Callable[[DataFrame], DataFrame] | None:
+    """What adds to rows the probability p of a cut by what is `seen` of them; none if the examples have but one label."""
+    fit_on = stage(examples.select("label", "weight", seen(examples).alias("features")), "truncation-fit")
+    if fit_on.select("label").distinct().count() < 2:
+        return None
+    term = HashingTF(numFeatures=FIT_FEATURES, inputCol="features", outputCol="vector")
+    model = LogisticRegression(featuresCol="vector", weightCol="weight", maxIter=40, regParam=1e-3).fit(term.transform(fit_on))
+    return lambda df: model.transform(term.transform(df.withColumn("features", seen(df)))).select(*df.columns, vector_to_array("probability")[1].alias("p"))
 
 
 def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -141,18 +184,16 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("at_chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("at_bytes")
     )
     spiked = F.coalesce(F.array_contains("at_chars", F.col("chars")) | F.array_contains("at_bytes", F.col("bytes")), F.lit(False))
-    marked = rows.where("not final").join(at, "source", "left").select("key", "source", "text_hash", "chars", "sentence", "follows", F.when(spiked, F.lit("limit")).alias("why"))
-    held = stage(marked, "truncation-open")
+    open_rows = rows.where("not final").join(at, "source", "left").select("key", "source", "text_hash", "chars", "sentence", "follows", F.when(spiked, F.lit("limit")).alias("why"))
+    held = stage(open_rows, "truncation-open")
     cut = held.where("why is not null").select("key", "source", "text_hash", "why")
 
     plain = rows.groupBy("source").agg(F.avg((~F.col("final")).cast("int")).alias("open")).where("open > 0.5").join(at.select("source"), "source", "left_anti")
-    fit_on = stage(_examples(rows, plain.select("source")).select("label", "weight", features(F.col("sentence"), F.col("follows")).alias("features")), "truncation-fit")
-    if fit_on.select("label").distinct().count() == 2:
-        term = HashingTF(numFeatures=FIT_FEATURES, inputCol="features", outputCol="vector")
-        model = LogisticRegression(featuresCol="vector", weightCol="weight", maxIter=40, regParam=1e-3).fit(term.transform(fit_on))
-        rest = held.where(F.col("why").isNull() & (F.col("chars") >= LEAST_LETTERS) & (F.length("sentence") > 0)).withColumn("features", features(F.col("sentence"), F.col("follows")))
-        scored = model.transform(term.transform(rest)).withColumn("p", vector_to_array("probability")[1])
-        scored = stage(scored.select("key", "source", "text_hash", "p"), "truncation-scored")
+    marked = stage(_examples(rows), "truncation-marked")
+    odds = _fitted(marked.unionByName(_plain_examples(rows, plain.select("source"), marked)), lambda r: features(r["sentence"], r["follows"]))
+    if odds is not None:
+        rest = held.where(F.col("why").isNull() & (F.col("chars") >= LEAST_LETTERS) & (F.length("sentence") > 0))
+        scored = stage(odds(rest).select("key", "source", "text_hash", "p"), "truncation-scored")
         often = scored.groupBy("source").agg(F.least(F.greatest(F.avg("p"), F.lit(0.02)), F.lit(0.98)).alias("often"))
         broken = scored.join(often, "source").where(F.col("p") * F.col("often") > (1 - F.col("p")) * (1 - F.col("often")))
         cut = cut.unionByName(broken.select("key", "source", "text_hash", F.lit("transfer").alias("why")))

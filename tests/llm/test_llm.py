@@ -255,6 +255,31 @@ def test_truncation(spark):
     assert sum(shares.values()) == len(rows)
 
 
+def test_truncation_in_sources_that_mostly_break_off(spark):
+    r = random.Random(11)
+    nouns, verbs = ["filter", "sample", "report", "archive", "sensor", "plate"], ["checks", "moves", "covers", "follows"]
+    phrase = lambda: f"Table {r.randrange(900)}: the {r.choice(nouns)}"
+    sentence = lambda: f"The {r.choice(nouns)} {r.choice(verbs)} the {r.choice(nouns)} near the {r.choice(nouns)}."
+    rows, cut = [], set()
+    for i in range(3000):
+        source = ["broken", "free", "captions"][i % 3]
+        t = phrase() if source == "captions" else " ".join(sentence() for _ in range(r.randrange(1, 9)))
+        if (source == "broken" and i % 10 < 8) or (source == "free" and i % 40 == 1):
+            t = t[: r.randrange(20, len(t) - 3)].rstrip(".")
+            if t[-7:] not in {" sensor", " sample", " report", " filter"} and t[-6:] != " plate" and t[-8:] != " archive":  # there it may as well be whole
+                cut.add(i)
+            t += ["", "", "", "..."][i % 4]
+        rows.append((i, source, t))
+    rows += [(5000 + i, "captions", "Our new plate") for i in range(900)]  # short, and under half: no spike
+    df = spark.createDataFrame(rows, "doc_id LONG, source STRING, text STRING").repartition(4)
+    got = {x.key for x in truncation.truncated(df, "doc_id", "source", "text").collect()}
+    for source in ("broken", "free"):
+        want = {i for i in cut if rows[i][1] == source}
+        assert len(got & want) >= 0.95 * len(want)
+    assert not {i for i in got if i >= 5000} and sum(rows[i][1] == "captions" for i in got) <= 10
+    assert truncation._sample(truncation.judged(df, "doc_id", "source", "text").where("source = 'captions'"), 500).where("sentence = 'Our new plate'").count() <= 1
+
+
 def test_truncation_of_long_runs(spark):
     runs = [" " * 200_000, "(" * 50_000, ")" * 50_000, "<b>" * 20_000, "." * 3_000, "…" * 20_000, "«" * 50_000, "x" * 300_000]
     rows = [(i, "s", "The plate " + run + tail) for i, (run, tail) in enumerate((r, t) for r in runs for t in ("", " moves."))]
