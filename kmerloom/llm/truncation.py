@@ -11,7 +11,8 @@ sources that mostly have no final mark, such as captions. A source may also lack
 first regression, of the ends of the marked sentences alone, tells, and only sources of whose texts no more than PLAIN_CUT
 look clearly cut (LOOKS_CUT) to it are taught as whole, texts with a mark of a cut not at all. What such a source holds
 of cut texts is still taught as whole with the others; captions that end like no marked sentence are not taught.
-Each text is taught once. The odds of the second are weighed by how often the source breaks off, by its mean. Last, a text that equals a cut one is cut as well.
+Each text is taught once. The odds of the second are weighed by how often the source breaks off, by its mean. Texts of any length are judged, but not those of
+numbers and signs alone: they end inside no word or sentence. Last, a text that equals a cut one is cut as well.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from kmerloom.tables import stage
 
 NEAR, RING, LEAST, SHARE, EXCESS, NARROW = 3, 40, 8, 0.35, 4.0, 0.6  # see spikes
-FIT_ROWS, FIT_FEATURES, LEAST_LETTERS, PLAIN_ROWS, PLAIN_WEIGHT, LOOKS_CUT, PLAIN_CUT = 30_000, 1 << 17, 8, 15_000, 4.0, 0.9, 0.2
+FIT_ROWS, FIT_FEATURES, PLAIN_ROWS, PLAIN_WEIGHT, LOOKS_CUT, PLAIN_CUT = 30_000, 1 << 17, 15_000, 4.0, 0.9, 0.2
 
 # Fixed patterns: what may stand behind the last word of a whole text, and marks that a cut leaves. Long runs are
 # taken at once and only from their start, so that a text of nothing but blanks or brackets costs linear time and no stack.
@@ -136,7 +137,7 @@ def _bare_sentence(text: Column) -> Column:
 
 def _sample(rows: DataFrame, n: int) -> DataFrame:
     """(source, follows, sentence, marker, text_hash) of n texts, by their hash; copies count once."""
-    able = rows.where((F.col("chars") >= 12) & (F.length("sentence") >= 8))
+    able = rows.where(F.length("sentence") >= 3)
     last = able.select("text_hash").distinct().orderBy("text_hash").limit(n).agg(F.max("text_hash")).first()[0]
     one = able.where(F.col("text_hash") <= F.lit(last)).groupBy("text_hash").agg(F.min(F.struct("source", "follows", "sentence", "marker")).alias("r"))
     return one.select("r.*", "text_hash")
@@ -145,9 +146,11 @@ def _sample(rows: DataFrame, n: int) -> DataFrame:
 def _examples(rows: DataFrame) -> DataFrame:
     """(sentence, follows, label, weight): 1 = cut. Last sentences of FIT_ROWS texts with a final mark, whole and cut."""
     s = _sample(rows.where("final"), FIT_ROWS)
-    cut_at = F.lit(2) + F.pmod(F.xxhash64("text_hash"), F.length("sentence") - 3).cast("int")
+    n, h = F.length("sentence"), F.xxhash64("text_hash")
+    cut_at = F.when(n >= 8, 2 + F.pmod(h, n - 3)).otherwise(1 + F.pmod(h, n - 2)).cast("int")
+    early = F.when(F.pmod(h, F.lit(16)) == 0, 1 + F.pmod(F.xxhash64("sentence"), F.least(n - 2, F.lit(7)))).cast("int")  # short cuts are rare among the others
     whole = s.select("sentence", "follows", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"))
-    return whole.unionByName(s.select(F.substring("sentence", F.lit(1), cut_at).alias("sentence"), "follows", F.lit(1.0).alias("label"), F.lit(1.0).alias("weight")))
+    return whole.unionByName(s.select("sentence", "follows", F.explode(F.array_compact(F.array(cut_at, early))).alias("n")).select(F.substring("sentence", F.lit(1), F.col("n")).alias("sentence"), "follows", F.lit(1.0).alias("label"), F.lit(1.0).alias("weight")))
 
 
 def _plain_examples(rows: DataFrame, plain_sources: DataFrame, marked: DataFrame) -> DataFrame:
@@ -192,7 +195,7 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     marked = stage(_examples(rows), "truncation-marked")
     odds = _fitted(marked.unionByName(_plain_examples(rows, plain.select("source"), marked)), lambda r: features(r["sentence"], r["follows"]))
     if odds is not None:
-        rest = held.where(F.col("why").isNull() & (F.col("chars") >= LEAST_LETTERS) & (F.length("sentence") > 0))
+        rest = held.where(F.col("why").isNull() & F.rlike("sentence", F.lit(r"\p{L}")))  # numbers and signs alone end inside no word or sentence
         scored = stage(odds(rest).select("key", "source", "text_hash", "p"), "truncation-scored")
         often = scored.groupBy("source").agg(F.least(F.greatest(F.avg("p"), F.lit(0.02)), F.lit(0.98)).alias("often"))
         broken = scored.join(often, "source").where(F.col("p") * F.col("often") > (1 - F.col("p")) * (1 - F.col("often")))

@@ -280,6 +280,19 @@ def test_truncation_in_sources_that_mostly_break_off(spark):
     assert truncation._sample(truncation.judged(df, "doc_id", "source", "text").where("source = 'captions'"), 500).where("sentence = 'Our new plate'").count() <= 1
 
 
+def test_short_cut_texts_are_judged(spark):
+    r = random.Random(12)
+    nouns, verbs = ["filter", "sample", "report", "archive", "sensor", "plate"], ["checks", "moves", "covers", "follows"]
+    sentence = lambda: f"{r.choice(['The', 'A', 'Each'])} {r.choice(nouns)} {r.choice(verbs)} the {r.choice(nouns)} near the {r.choice(nouns)}."
+    rows = [(i, "broken", " ".join(sentence() for _ in range(r.randrange(1, 9)))) for i in range(1500)]
+    rows = [(i, s, t[: r.randrange(20, len(t) - 3)] if i % 3 == 0 else t) for i, s, t in rows]
+    short = {5000 + i: sentence()[: 1 + i % 7] for i in range(70)}
+    rows += [(i, "broken", t) for i, t in short.items()] + [(6000 + i, "broken", t) for i, t in enumerate(["12.5", "0", "—", "🧬"])]
+    df = spark.createDataFrame(rows, "doc_id LONG, source STRING, text STRING").repartition(4)
+    got = {x.key for x in truncation.truncated(df, "doc_id", "source", "text").collect()}
+    assert len(got & set(short)) >= 0.9 * len(short) and not got & {6000, 6001, 6002, 6003}
+
+
 def test_truncation_of_long_runs(spark):
     runs = [" " * 200_000, "(" * 50_000, ")" * 50_000, "<b>" * 20_000, "." * 3_000, "…" * 20_000, "«" * 50_000, "x" * 300_000]
     rows = [(i, "s", "The plate " + run + tail) for i, (run, tail) in enumerate((r, t) for r in runs for t in ("", " moves."))]
