@@ -12,9 +12,10 @@ CAPACITY, SHARE_PER_MILLE, TOP = 1024, 2, 100
 
 
 GROUPS = ["day", "run_id", "sample_id", "lane"]
-#: Day, each group, and the combinations; the finest is GROUPS itself.
-NEAR_SETS = [["run_id", "sample_id"], ["run_id", "sample_id", "lane"], GROUPS]
-FAR_SETS = [[], ["day"], ["run_id"], ["sample_id"], ["lane"], ["day", "run_id"], ["day", "sample_id"], ["day", "lane"], ["run_id", "lane"], ["sample_id", "lane"]]
+#: Every subset of GROUPS; the finest is GROUPS itself.
+NEAR_SETS = [["run_id", "sample_id"], ["run_id", "sample_id", "lane"], ["day", "run_id", "sample_id"], GROUPS]
+FAR_SETS = [[], ["day"], ["run_id"], ["sample_id"], ["lane"], ["day", "run_id"], ["day", "sample_id"], ["day", "lane"], ["run_id", "lane"], ["sample_id", "lane"],
+            ["day", "run_id", "lane"], ["day", "sample_id", "lane"]]
 
 
 def _counted(rows: DataFrame, hashes: Column) -> DataFrame:

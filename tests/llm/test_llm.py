@@ -34,6 +34,14 @@ def test_counts_within_bounds_and_merge_in_any_order(spark):
     assert next(x for x in out if x.day == 3 and x.g == "z").estimate == 1.0
 
 
+def test_every_subset_of_the_groups_is_counted():
+    from kmerloom.llm import queries
+
+    sets = [frozenset(x) for x in queries.NEAR_SETS + queries.FAR_SETS]
+    assert len(sets) == len(set(sets)) == 2 ** len(queries.GROUPS) and set().union(*sets) == set(queries.GROUPS)
+    assert all({"run_id", "sample_id"} <= set(x) for x in queries.NEAR_SETS)
+
+
 def test_set_operations(spark):
     a, b = np.arange(50_000), np.arange(30_000, 90_000)
     mixed = lambda x: np.sort((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0x1234567))[: sketches.K]
