@@ -3,7 +3,8 @@
 Only the histogram of lengths (at most `capacity` numbers) is solved centrally: a linear program over the ways to fill
 one container, by multiplicative weights; each step prices the lengths by how badly they are covered and adds the
 dearest way to fill a container, found by a knapsack table. The fractional counts of the ways are rounded down and the
-few items left over are packed greedily, longest first; if greedy packing alone needs fewer containers, it is taken. The result is a table of (length, ranks of its items,
+few items left over are packed greedily, longest first; if fewer containers do with only the ways that are full to
+NEARLY_FULL, the rest greedily, or with greedy packing alone, that is taken. The result is a table of (length, ranks of its items,
 containers); the items themselves never leave their tasks: each finds its container by its rank among equal lengths.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from kmerloom.tables import stage
 
-STEPS, RATE, RANK_BLOCK = 400, 0.5, 500_000
+STEPS, RATE, RANK_BLOCK, NEARLY_FULL = 400, 0.5, 500_000, 0.995
 
 
 def dearest_way(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
@@ -56,17 +57,25 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[t
         step = (need[used] / way[used]).min() * stride
         ways.setdefault(way.tobytes(), [way, 0.0])[1] += step
         covered += step * way
+    for i in np.nonzero(covered == 0)[0]:  # lengths that the steps didn't reach have containers of their own
+        alone = np.zeros(len(lengths), np.int64)
+        alone[i] = capacity // lengths[i]
+        ways[alone.tobytes()] = [alone, need[i] / alone[i]]
+        covered[i] = need[i]
     scale = (covered / need).min()
-    return [(w, x / scale) for w, x in ways.values()] if scale > 0 else []
+    return [(w, x / scale) for w, x in ways.values()]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """The better of the rounded linear program and of greedy packing alone; as `filled` gives them."""
-    return min((filled(histogram, capacity, program) for program in (True, False)), key=lambda p: p[1])
+    """The best of the rounded linear program, of only its ways that are nearly full, and of greedy packing alone; as `filled` gives them."""
+    lengths = np.array(sorted(n for n in histogram if n > 0), np.int64)
+    ways = fractional(lengths, np.array([histogram[int(n)] for n in lengths], np.int64), capacity) if len(lengths) else []
+    full = [(way, x) for way, x in ways if int(way @ lengths) >= capacity * NEARLY_FULL]
+    return min((filled(histogram, capacity, some) for some in (ways, full, [])), key=lambda p: p[1])
 
 
-def filled(histogram: dict[int, int], capacity: int, program: bool) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Rows (length, first rank, end rank, first container, items a container) and the number of containers."""
+def filled(histogram: dict[int, int], capacity: int, ways: list[tuple[np.ndarray, float]]) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Rows (length, first rank, end rank, first container, items a container) and the number of containers: first these ways, the rest greedily."""
     lengths = np.array(sorted(n for n in histogram if n > 0), np.int64)
     left = np.array([histogram[int(n)] for n in lengths], np.int64)
     done, rows, containers = np.zeros(len(lengths), np.int64), [], 0
@@ -79,12 +88,11 @@ def filled(histogram: dict[int, int], capacity: int, program: bool) -> tuple[lis
         left[:] -= way * times
         containers += times
 
-    if len(lengths) and program:
-        for way, x in sorted(fractional(lengths, left.copy(), capacity), key=lambda p: -p[1]):
-            used = way > 0
-            times = min(int(x), int((left[used] // way[used]).min()))
-            if times > 0 and int(way @ lengths) >= capacity * 0.995:
-                fill(way, times)
+    for way, x in sorted(ways, key=lambda p: -p[1]):
+        used = way > 0
+        times = min(int(x), int((left[used] // way[used]).min()))
+        if times > 0:
+            fill(way, times)
     while left.any():  # longest first, each container as full as what is left allows
         way, room = np.zeros(len(lengths), np.int64), capacity
         for i in range(len(lengths) - 1, -1, -1):

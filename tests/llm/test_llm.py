@@ -221,6 +221,21 @@ def test_packing(spark, name):
         assert len(used) <= 1.01 * total / 100 + 2
 
 
+def test_ways_that_are_not_quite_full_are_used(monkeypatch):
+    histogram = {520: 600, 274: 600, 264: 600, 234: 1200}
+    rows, containers = packing.plan(histogram, 1024)
+    assert containers <= 910  # 900 are enough; greedy packing alone takes over 1,000
+    held = collections.Counter()
+    for n, a, b, first, each in rows:
+        for rank in range(a, b):
+            held[first + (rank - a) // each] += n
+    assert max(held.values()) <= 1024 and len(held) == containers and sum(held.values()) == sum(n * c for n, c in histogram.items())
+    monkeypatch.setattr(packing, "STEPS", 1)
+    lengths, counts = np.array([300, 500, 700]), np.array([9, 4, 5])
+    ways = packing.fractional(lengths, counts, 1024)
+    assert (sum(x * way for way, x in ways) >= counts - 1e-9).all()
+
+
 def test_dearest_way_is_the_best():
     sizes, prices = np.array([3, 5, 7, 11]), np.array([0.3, 0.62, 0.8, 1.3])
     way = packing.dearest_way(sizes, prices, 29)
