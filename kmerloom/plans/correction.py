@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators import kmers, onesided, spectrum
+from kmerloom.operators import evaluate, kmers, onesided, spectrum
 from kmerloom.tables import stage
 
 
@@ -19,3 +20,9 @@ def trusted_spectrum(reads: DataFrame, k: int = B.K) -> DataFrame:
 def correct(reads: DataFrame, keep: list[str], k: int = B.K) -> DataFrame:
     """(keep, corrected) of reads with a column seq."""
     return onesided.corrected(reads, trusted_spectrum(reads, k), keep, k)
+
+
+def confusion(reads: DataFrame, reference: DataFrame, k: int = B.K) -> DataFrame:
+    """One row (tp, fp, fn): the whole correction of `reads` (read_id, seq) judged by the seq of `reference`."""
+    done = correct(reads.select("read_id", "seq"), ["read_id", "seq"], k).withColumnRenamed("seq", "original")
+    return evaluate.confusion(done.join(reference.select("read_id", F.col("seq").alias("reference")), "read_id"))

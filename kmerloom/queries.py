@@ -365,7 +365,7 @@ def position_intersection(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tp_fp_fn(spark: SparkSession, d: str) -> DataFrame:
-    """Two-sided fixes judged with the parsed reads as reference."""
+    """One round of two-sided fixes judged with the parsed reads as reference; tp_fp_fn_full judges the whole correction."""
     rows, trusted = _read_and_spectrum(spark, d)
     fixed = mutations.two_sided_corrected(rows, trusted, rounds=1).select("read_id", F.col("seq").alias("corrected"))
     _, parsed = _two_versions(spark, d)
@@ -373,6 +373,12 @@ def tp_fp_fn(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.confusion(triples)
 
 
+@query
+def tp_fp_fn_full(spark: SparkSession, d: str) -> DataFrame:
+    """The whole correction judged with the parsed reads as reference."""
+    return correction.confusion(*_two_versions(spark, d))
+
+
 def _alignments(spark: SparkSession, d: str) -> DataFrame:
     """Reads in the form of alignments: flag 4 without a sequence, the first quality as mapping quality, the number of N as edit distance."""
     flag = F.when(F.col("seq").isNull(), 4).otherwise(0)

@@ -105,6 +105,19 @@ def test_pipeline_joins_and_broadcast_agree(spark):
     assert sum(want[i] != s for i, s, _ in rows) > 5
 
 
+def test_the_whole_correction_is_judged(spark):
+    seqs = noisy(3, 16, genome=400, reads=120, size=80, errors=0.01)
+    df = spark.createDataFrame([*enumerate(seqs), (500, None), (501, "ACG")], "read_id INT, seq STRING")
+    spec = {x.key: x.multiplicity for x in correction.trusted_spectrum(df).collect()}
+    by_kmer = {g: spec[key(g)] for g in counts(seqs, 16) if key(g) in spec}
+    fixed = [correct(s, by_kmer, 16) for s in seqs]
+    right = [f if i % 3 == 0 else s if i % 3 == 1 else "T" + s[1:70] for i, (s, f) in enumerate(zip(seqs, fixed))]
+    reference = spark.createDataFrame([*enumerate(right), (500, "A"), (502, "C")], "read_id INT, seq STRING")
+    at = [x for s, t, f in zip(seqs, right, fixed) for x in zip(t, s, f)]
+    want = (sum(o != t == c for t, o, c in at), sum(o == t != c for t, o, c in at), sum(o != t != c for t, o, c in at))
+    assert tuple(correction.confusion(df, reference).first()) == want and min(want) > 0
+
+
 @pytest.mark.parametrize("values,want", [([7, 7, 7], 7), ([2] * 9 + [3] * 4 + [4] + [5] * 6, 4), ([], None)])
 def test_cutoff(spark, values, want):
     hist = spectrum.histogram(spark.createDataFrame([(v,) for v in values], "multiplicity INT"))
