@@ -1,15 +1,20 @@
 """Filling containers of fixed capacity with items of whole-number length.
 
 Only the histogram of lengths (at most `capacity` numbers) is solved centrally: a linear program over the ways to fill
-one container, by multiplicative weights; each step prices the lengths by how badly they are covered and adds the
-dearest way to fill a container, found by a knapsack table. The fractional counts of the ways are rounded down and the
-few items left over are packed greedily, longest first; if fewer containers do with only the ways that are full to
-NEARLY_FULL, the rest greedily, or with greedy packing alone, that is taken. The result is a table of (length, ranks of its items,
+one container, by multiplicative weights. The price of a length is its size, times a weight that falls exponentially as
+more of its items are covered than of the others'; a knapsack table over these prices gives the dearest way to fill any
+room, and from one table ways are read off, each beginning with another length, while they are worth nearly as much as
+the dearest (CLOSE). A way is taken as often as the items left allow, at most a STRIDE of a length's items at a time, in
+whole containers: so the steps are rounded as they are made, every item is placed by the program, and nothing is left for
+another packing. Any prices bound the program's value from below; if the best bound of all steps is over GAP away, it is
+solved again with smaller strides, and the best solution counts. The result is a table of (length, ranks of its items,
 containers); the items themselves never leave their tasks: each finds its container by its rank among equal lengths.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,88 +23,113 @@ from pyspark.sql import types as T
 
 from kmerloom.tables import stage
 
-STEPS, RATE, RANK_BLOCK, NEARLY_FULL = 400, 0.5, 500_000, 0.995
+STEPS, RATE, CLOSE, STRIDES, GAP, MISSES, RANK_BLOCK = 2_000, 1.0, 0.9995, (1.0, 0.3, 0.1), 0.01, 4, 500_000
 
 
-def dearest_way(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How many items of each length to put into one container for the largest sum of prices (knapsack table)."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The largest sum of prices that fits into each room from 0 to `capacity`. `lengths` ascend."""
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for room in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, room, "right"))
-        best[room], pick[room] = best[room - 1], -1
-        if n:
-            gain = best[room - lengths[:n]] + prices[:n]
-            i = int(gain.argmax())
-            if gain[i] > best[room]:
-                best[room], pick[room] = gain[i], i
-    way, room = np.zeros(len(lengths), np.int64), capacity
-    while room > 0:
-        if pick[room] < 0:
-            room -= 1
-        else:
-            way[pick[room]] += 1
-            room -= lengths[pick[room]]
+        n = fitting[room]
+        best[room] = max(best[room - 1], (best[room - lengths[:n]] + prices[:n]).max()) if n else best[room - 1]
+    return best
+
+
+def read_off(best: np.ndarray, lengths: np.ndarray, prices: np.ndarray, room: int, limit: np.ndarray, first: int | None = None) -> np.ndarray:
+    """The way that the knapsack table gives for `room`, with no more than `limit` items of a length; `first` is in it."""
+    way, rest = np.zeros(len(lengths), np.int64), limit.copy()
+    if first is not None:
+        way[first], room = 1, room - lengths[first]
+        rest[first] -= 1
+    there = np.nonzero(rest)[0]
+    size, price = lengths[there], prices[there]
+    while n := int(np.searchsorted(size, room, "right")):
+        k = int((best[room - size[:n]] + price[:n]).argmax())
+        i = there[k]
+        way[i] += 1
+        rest[i] -= 1
+        room -= size[k]
+        if not rest[i]:
+            there, size, price = (np.delete(x, k) for x in (there, size, price))
     return way
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """Ways to fill a container, each with the (fractional) number of containers, together covering all counts."""
-    need, covered = counts.astype(float), np.zeros(len(lengths))
-    ways: dict[bytes, list] = {}
-    stride = min(1.0, max(0.1, 2.0 * len(lengths) / STEPS))  # so that the steps reach every length
-    for _ in range(STEPS):
-        share = covered / need
-        prices = np.exp(-RATE * 20 * (share - share.min())) / need
-        prices = prices / (prices @ lengths) + 1e-9 * lengths  # of equal ways the fuller one
-        way = dearest_way(lengths, prices, capacity)
-        used = way > 0
-        step = (need[used] / way[used]).min() * stride
-        ways.setdefault(way.tobytes(), [way, 0.0])[1] += step
-        covered += step * way
-    for i in np.nonzero(covered == 0)[0]:  # lengths that the steps didn't reach have containers of their own
-        alone = np.zeros(len(lengths), np.int64)
-        alone[i] = capacity // lengths[i]
-        ways[alone.tobytes()] = [alone, need[i] / alone[i]]
-        covered[i] = need[i]
-    scale = (covered / need).min()
-    return [(w, x / scale) for w, x in ways.values()]
+def dearest_way(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How many items of each length to put into one container for the largest sum of prices."""
+    return read_off(knapsack(lengths, prices, capacity), lengths, prices, capacity, np.full(len(lengths), capacity))
+
+
+def solved(lengths: np.ndarray, counts: np.ndarray, capacity: int, stride: float) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """Ways to fill a container, each with its number of containers, together holding exactly `counts`; and the best lower bound of the program."""
+    left, ways, bound = counts.copy(), [], float(lengths @ counts) / capacity
+    for step in range(STEPS):
+        alive = np.nonzero(left)[0]
+        if not len(alive):
+            break
+        size, share = lengths[alive], left[alive] / counts[alive]
+        prices = size * np.exp(RATE * (share - share.max()))
+        best = knapsack(size, prices, capacity)
+        bound = max(bound, float(prices @ counts[alive]) / best[capacity])
+        last = step == STEPS - 1  # whatever is left then is read off the last table
+        budget = left[alive].copy() if last else np.minimum(left[alive], np.maximum(1, (stride * counts[alive]).astype(np.int64)))
+        taken = misses = 0
+        for i in np.argsort(-share, kind="stable").tolist():
+            while budget[i] > 0 and misses < MISSES:
+                way = read_off(best, size, prices, capacity, budget, i)
+                if taken and not last and way @ prices < CLOSE * best[capacity]:
+                    misses += 1
+                    break
+                used = np.nonzero(way)[0]
+                times = int((budget[used] // way[used]).min())
+                budget[used] -= times * way[used]
+                left[alive[used]] -= times * way[used]
+                whole = np.zeros(len(lengths), np.int64)
+                whole[alive] = way
+                ways.append((whole, times))
+                taken += 1
+            if misses >= MISSES:
+                break
+    return ways, bound
+
+
+@lru_cache(maxsize=8)
+def _program(histogram: tuple[tuple[int, int], ...], capacity: int) -> tuple[list[tuple[np.ndarray, int]], int, float]:
+    """The ways, their number of containers, and the lower bound, for the (length, count) of all lengths over 0."""
+    lengths, counts = (np.array(x, np.int64) for x in zip(*histogram))
+    found, bound = None, 0.0
+    for stride in STRIDES:
+        ways, low = solved(lengths, counts, capacity, stride)
+        bound = max(bound, low)
+        value = sum(times for _, times in ways)
+        if found is None or value < found[1]:
+            found = (ways, value)
+        if found[1] <= max(bound * (1 + GAP), np.ceil(bound - 1e-6)):
+            break
+    return (*found, bound)
+
+
+def program(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[np.ndarray, int]], int, float]:
+    """The solution of the linear program in whole containers: ways with their numbers of containers, the sum of these, and the lower bound."""
+    some = tuple(sorted((int(n), int(c)) for n, c in histogram.items() if n > 0 and c > 0))
+    return _program(some, capacity) if some else ([], 0, 0.0)
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """The ways of the program, each with its number of containers, together covering all counts."""
+    return solved(lengths, counts, capacity, STRIDES[0])[0]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """The best of the rounded linear program, of only its ways that are nearly full, and of greedy packing alone; as `filled` gives them."""
-    lengths = np.array(sorted(n for n in histogram if n > 0), np.int64)
-    ways = fractional(lengths, np.array([histogram[int(n)] for n in lengths], np.int64), capacity) if len(lengths) else []
-    full = [(way, x) for way, x in ways if int(way @ lengths) >= capacity * NEARLY_FULL]
-    return min((filled(histogram, capacity, some) for some in (ways, full, [])), key=lambda p: p[1])
-
-
-def filled(histogram: dict[int, int], capacity: int, ways: list[tuple[np.ndarray, float]]) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Rows (length, first rank, end rank, first container, items a container) and the number of containers: first these ways, the rest greedily."""
-    lengths = np.array(sorted(n for n in histogram if n > 0), np.int64)
-    left = np.array([histogram[int(n)] for n in lengths], np.int64)
-    done, rows, containers = np.zeros(len(lengths), np.int64), [], 0
-
-    def fill(way: np.ndarray, times: int) -> None:
-        nonlocal containers
+    """Rows (length, first rank, end rank, first container, items a container) and the number of containers."""
+    ways, containers, _ = program(histogram, capacity)
+    lengths = np.array(sorted(n for n, c in histogram.items() if n > 0 and c > 0), np.int64)
+    done, rows, at = np.zeros(len(lengths), np.int64), [], 0
+    for way, times in ways:
         for i in np.nonzero(way)[0]:
-            rows.append((int(lengths[i]), int(done[i]), int(done[i] + way[i] * times), containers, int(way[i])))
-        done[:] += way * times
-        left[:] -= way * times
-        containers += times
-
-    for way, x in sorted(ways, key=lambda p: -p[1]):
-        used = way > 0
-        times = min(int(x), int((left[used] // way[used]).min()))
-        if times > 0:
-            fill(way, times)
-    while left.any():  # longest first, each container as full as what is left allows
-        way, room = np.zeros(len(lengths), np.int64), capacity
-        for i in range(len(lengths) - 1, -1, -1):
-            way[i] = min(left[i], room // lengths[i])
-            room -= way[i] * lengths[i]
-        used = way > 0
-        fill(way, int((left[used] // way[used]).min()))
+            rows.append((int(lengths[i]), int(done[i]), int(done[i] + way[i] * times), at, int(way[i])))
+        done += way * times
+        at += times
     return rows, containers
 
 

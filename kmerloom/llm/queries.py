@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.llm import encoding, heavy, packing, seen, sketches, spans, truncation
-from kmerloom.tables import table
+from kmerloom.tables import stage, table
 
 CAPACITY, SHARE_PER_MILLE, TOP = 1024, 2, 100
 
@@ -94,10 +94,13 @@ def p7_assigned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How well the containers are filled, beside the least possible number of containers."""
-    used = _containers(spark, d).groupBy("container").agg(F.sum("piece_length").alias("used")).where("used > 0")
+    """How well the containers are filled, beside the containers and the lower bound of the linear program and the room that all tokens take."""
+    placed = stage(_containers(spark, d).select("container", "piece_length"), "pack-fill")
+    histogram = {r[0]: r[1] for r in placed.groupBy("piece_length").count().collect()}  # at most CAPACITY + 1 rows
+    _, value, bound = packing.program(histogram, CAPACITY)
+    used = placed.groupBy("container").agg(F.sum("piece_length").alias("used")).where("used > 0")
     total = used.agg(F.count("*").alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.max("used").alias("fullest"))
-    return total.select("containers", "tokens", "fullest", F.ceil(F.col("tokens") / CAPACITY).alias("least_containers"))
+    return total.select("containers", "tokens", "fullest", F.ceil(F.col("tokens") / CAPACITY).alias("least_containers"), F.lit(value).cast("long").alias("program_containers"), F.lit(float(bound)).alias("program_bound"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

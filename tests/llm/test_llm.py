@@ -236,6 +236,17 @@ def test_ways_that_are_not_quite_full_are_used(monkeypatch):
     assert (sum(x * way for way, x in ways) >= counts - 1e-9).all()
 
 
+@pytest.mark.parametrize("seed,least,most,n", [(1, 1, 120, 400), (2, 1, 400, 3000), (3, 5, 90, 20_000), (4, 300, 700, 400)])
+def test_the_program_places_everything_near_its_bound(seed, least, most, n):
+    r = random.Random(seed)
+    histogram = dict(collections.Counter(r.randrange(least, most) for _ in range(n)))
+    ways, value, bound = packing.program(histogram, 1024)
+    lengths = np.array(sorted(histogram))
+    assert (sum(times * way for way, times in ways) == [histogram[int(i)] for i in lengths]).all() and all(way @ lengths <= 1024 for way, _ in ways)
+    assert value == sum(times for _, times in ways) and bound <= value <= max(np.ceil(bound), bound * (1.01 if most < 500 else 1.05))
+    assert packing.program({0: 5}, 1024) == ([], 0, 0.0)
+
+
 def test_dearest_way_is_the_best():
     sizes, prices = np.array([3, 5, 7, 11]), np.array([0.3, 0.62, 0.8, 1.3])
     way = packing.dearest_way(sizes, prices, 29)
