@@ -20,10 +20,8 @@ FAR_SETS = [[], ["day"], ["run_id"], ["sample_id"], ["lane"], ["day", "run_id"],
 
 def _counted(rows: DataFrame, hashes: Column) -> DataFrame:
     """Distinct counts of every set: the finest sketches meet by run and sample, so that their sets need no more shuffle."""
-    fine = sketches.merged_sketches(sketches.partial_sketches(rows, GROUPS, hashes), GROUPS, ["run_id", "sample_id"])
-    partial = sketches.rolled_up(fine, GROUPS, [*NEAR_SETS, *FAR_SETS])
-    named = ["grouping", *GROUPS]
-    return sketches.estimated(sketches.merged_sketches(partial, named, named), named)
+    partial = sketches.partial_sketches(rows, GROUPS, hashes)
+    return sketches.cube(partial, GROUPS, ["run_id", "sample_id"], [*NEAR_SETS, *FAR_SETS], salts=sketches.salts_for(rows))
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +30,12 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return _counted(rows, sketches.hashed("kmers"))
 
 
+def p1_exact_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Of p1_counts, the groups with fewer k-mers than a sketch holds: there the count is exact."""
+    n = F.col("estimate").cast("long")
+    return p1_counts(spark, d).where(F.col("hashes") < sketches.K).select("grouping", *GROUPS, n.alias("n"), F.col("lower").cast("long").alias("lower"), F.col("upper").cast("long").alias("upper"))
+
+
 def p1_canonical_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct canonical k-mers of kmers, by day and groups of their read's latest load."""
     newest = F.max(F.struct("loaded_at", "sequenced_at", "run_id", "sample_id", "lane")).alias("r")
@@ -113,7 +117,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_counts": p1_counts, "p1_canonical_counts": p1_canonical_counts, "p1_day_overlap": p1_day_overlap,
+    "p1_counts": p1_counts, "p1_exact_groups": p1_exact_groups, "p1_canonical_counts": p1_canonical_counts, "p1_day_overlap": p1_day_overlap,
     "p2_found": p2_found, "p2_shares": p2_shares,
     "p3_found": p3_found, "p3_audit": p3_audit,
     "p4_found": p4_found, "p4_counts_top": p4_counts_top, "p4_rows_top": p4_rows_top,
@@ -132,7 +136,14 @@ _SPANS = """
     g AS (SELECT *, sum(opens) OVER (PARTITION BY read_id ORDER BY a) AS run FROM o),
     f AS (SELECT read_id, CAST(min(a) AS INTEGER) AS span_start, CAST(max(a) + 64 AS INTEGER) AS span_end FROM g GROUP BY read_id, run)"""
 
+_CUBE = ", ".join(f"({', '.join(s)})" for s in [*NEAR_SETS, *FAR_SETS])
+_SET = "concat_ws(',', " + ", ".join(f"CASE WHEN GROUPING({g}) = 0 THEN '{g}' END" for g in GROUPS) + ")"
+
 ORACLE = {
+    "p1_exact_groups": f"""
+        WITH k AS (SELECT CAST(parsed_at AS DATE) AS day, run_id, sample_id, lane, unnest(kmers) AS kmer FROM parse_results)
+        SELECT {_SET} AS "grouping", day, run_id, sample_id, lane, count(DISTINCT kmer) AS n, count(DISTINCT kmer) AS lower, count(DISTINCT kmer) AS upper
+        FROM k GROUP BY GROUPING SETS ({_CUBE}) HAVING count(DISTINCT kmer) BETWEEN 1 AND 1023""",
     "p2_found": f"{_SPANS} SELECT read_id, span_start, span_end FROM f",
     "p2_shares": f"""{_SPANS}, n AS (SELECT read_id, sum(span_end - span_start) AS shared FROM f GROUP BY read_id)
         SELECT read_id, CAST(coalesce(max(length(reads)), 0) AS INTEGER) AS bases, CAST(coalesce(any_value(shared), 0) AS BIGINT) AS shared_bases

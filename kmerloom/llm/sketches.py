@@ -9,13 +9,14 @@ intersections and differences are counted below the smaller threshold of the two
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K, HELD_HASHES, Z = 1024, 4_000_000, 1.96
+K, HELD_HASHES, MERGE_AT, SALT_FILES, Z = 1024, 4_000_000, 64, 1_024, 1.96
 _RANGE = 2.0**64
 
 
@@ -101,26 +102,21 @@ def _from_hashes(batches: Iterator[pa.RecordBatch], groups: list[str], k: int) -
         yield from combiner.rows()
 
 
-def _merged_groups(batches: Iterator[pa.RecordBatch], groups: list[str]) -> Iterator[tuple[tuple, np.ndarray, int]]:
-    """(group, sketch) of rows sorted by group; the parts of a group are merged as they come."""
-    n, now, sketch, parts = len(groups), None, None, []
+def _merged_groups(batches: Iterator[pa.RecordBatch], groups: list[str], k: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(group, sketch) of rows sorted by group; the parts of a group are merged as they come, so no more than MERGE_AT of them are held."""
+    n, now, parts = len(groups), None, []
     for batch in batches:
-        k = None
         for *g, b in zip(*(batch.column(c).to_pylist() for c in range(n + 1))):
             g = tuple(g)
             if g != now:
                 if parts:
-                    yield now, parts
+                    yield now, merge(parts, k)
                 now, parts = g, []
             parts.append(np.frombuffer(b, np.uint64))
-            if len(parts) > 64:
-                parts = [_smallest(parts)]
+            if len(parts) > MERGE_AT:
+                parts = [merge(parts, k)]
     if parts:
-        yield now, parts
-
-
-def _smallest(parts: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(parts))
+        yield now, merge(parts, k)
 
 
 def partial_sketches(df: DataFrame, groups: list[str], hashes: Column, k: int = K) -> DataFrame:
@@ -131,9 +127,8 @@ def partial_sketches(df: DataFrame, groups: list[str], hashes: Column, k: int =
     return df.select(*groups, hashes.alias("h")).mapInArrow(lambda b: _from_hashes(b, groups, k), f"{_schema(df, groups)}, sketch BINARY")
 
 
-def merged_sketches(partial: DataFrame, groups: list[str], near: list[str], k: int = K) -> DataFrame:
-    """One sketch per group. Partial sketches meet in the partition of their columns `near` (a subset of `groups`)."""
-    types = [f.dataType for f in partial.schema]
+def _sketches(partial: DataFrame, groups: list[str], k: int) -> DataFrame:
+    """One sketch per group and partition; the rows of a group must lie side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = iter(batches)
@@ -141,18 +136,33 @@ def merged_sketches(partial: DataFrame, groups: list[str], near: list[str], k: i
         if first is None:
             return
         out = Combiner(k, groups, [f.type for f in first.schema][:-1])
+        for g, sketch in _merged_groups(chain([first], batches), groups, k):
+            yield from out.add(g, sketch)
+        yield from out.rows()
 
-        def all_batches() -> Iterator[pa.RecordBatch]:
-            yield first
-            yield from batches
+    return partial.mapInArrow(run, partial.schema)
 
-        for g, parts in _merged_groups(all_batches(), groups):
-            yield from out.add(g, _smallest(parts)[:k])
-        yield from out.rows()
 
-    assert len(types) == len(groups) + 1
+def _together(partial: DataFrame, groups: list[str], near: list[str], k: int, salts: int) -> DataFrame:
+    """Partial sketches, those of one group side by side in the partition of their columns `near`, sorted by these first.
+
+    With `salts` over 1 the parts of a group first meet in so many places, by their task, and leave each as one.
+    """
     n = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return partial.repartition(n, *near).sortWithinPartitions(*groups).mapInArrow(run, partial.schema)
+    if salts > 1:
+        spread = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))).repartition(n, *groups, "_salt")
+        partial = _sketches(spread.sortWithinPartitions(*groups).select(*partial.columns), groups, k)
+    return partial.repartition(n, *near).sortWithinPartitions(*near, *(g for g in groups if g not in near))
+
+
+def merged_sketches(partial: DataFrame, groups: list[str], near: list[str], k: int = K, salts: int = 1) -> DataFrame:
+    """One sketch per group. Partial sketches meet in the partition of their columns `near` (a subset of `groups`); for `salts` see salts_for."""
+    return _sketches(_together(partial, groups, near, k, salts), groups, k)
+
+
+def salts_for(df: DataFrame) -> int:
+    """In how many places the partial sketches of one group should meet before they meet in one: one for each SALT_FILES files of `df`."""
+    return 1 + len(df.inputFiles()) // SALT_FILES
 
 
 def rolled_up(partial: DataFrame, groups: list[str], sets: list[list[str]], k: int = K) -> DataFrame:
@@ -181,6 +191,85 @@ def rolled_up(partial: DataFrame, groups: list[str], sets: list[list[str]], k: i
 ESTIMATE = "estimate DOUBLE, lower DOUBLE, upper DOUBLE, hashes INT"
 
 
+def cube(partial: DataFrame, groups: list[str], near: list[str], sets: list[list[str]], k: int = K, salts: int = 1) -> DataFrame:
+    """(grouping, groups, estimate, lower, upper, hashes): the counts for every set of columns; columns not in a set are null, `grouping` names it.
+
+    The partial sketches of `groups` meet by `near`. The sets that hold all of `near` are complete there and go on as
+    finished counts; only the sketches of the other sets meet in a second shuffle, merged before it in each task.
+    """
+    named, types = ["grouping", *groups], _schema(partial, groups)
+    inner = [(",".join(s), [g in s for g in groups]) for s in sets if set(near) <= set(s)]
+    outer = [(",".join(s), [g in s for g in groups]) for s in sets if not set(near) <= set(s)]
+    places = [groups.index(c) for c in near]
+    schema = f"grouping STRING, {types}, sketch BINARY, {ESTIMATE}"
+
+    def finished(rows: list[tuple[tuple, np.ndarray]], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        e = [(*estimate(s, k), len(s)) for _, s in rows]
+        columns = [pa.array([g[c] for g, _ in rows], t) for c, t in enumerate(kinds)] + [pa.nulls(len(rows), pa.binary())]
+        columns += [pa.array([x[c] for x in e], pa.float64()) for c in range(3)] + [pa.array([x[3] for x in e], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=[*named, "sketch", "estimate", "lower", "upper", "hashes"])
+
+    def open_(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(n, pa.float64()) for _ in range(3)), pa.nulls(n, pa.int32())], names=[*named, "sketch", "estimate", "lower", "upper", "hashes"])
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is None:
+            return
+        kinds = [pa.string(), *(f.type for f in first.schema)][:-1]
+        out, now, held, done = Combiner(k, named, kinds), None, {}, []
+        for g, sketch in _merged_groups(chain([first], batches), groups, k):
+            here = tuple(g[i] for i in places)
+            if here != now:
+                done += [(key, merge(parts, k)) for key, parts in held.items()]
+                now, held = here, {}
+                if len(done) > 5_000:
+                    yield finished(done, kinds)
+                    done = []
+            for name, kept in inner:
+                parts = held.setdefault((name, *(v if x else None for v, x in zip(g, kept))), [])
+                parts.append(sketch)
+                if len(parts) > MERGE_AT:
+                    parts[:] = [merge(parts, k)]
+            for name, kept in outer:
+                for batch in out.add((name, *(v if x else None for v, x in zip(g, kept))), sketch):
+                    yield open_(batch)
+        done += [(key, merge(parts, k)) for key, parts in held.items()]
+        yield finished(done, kinds)
+        for batch in out.rows():
+            yield open_(batch)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def unfinished() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds[:] = kinds or [f.type for f in batch.schema][: len(named)]
+                ready = batch.filter(batch.column("sketch").is_null())
+                if ready.num_rows:
+                    passed.append(ready.drop_columns(["sketch"]))
+                yield batch.filter(batch.column("sketch").is_valid()).select([*named, "sketch"])
+
+        passed: list[pa.RecordBatch] = []
+        rows: list[tuple[tuple, np.ndarray]] = []
+        for row in _merged_groups(unfinished(), named, k):
+            yield from passed
+            passed.clear()
+            rows.append(row)
+            if len(rows) > 5_000:
+                yield finished(rows, kinds).drop_columns(["sketch"])
+                rows = []
+        yield from passed
+        if rows:
+            yield finished(rows, kinds).drop_columns(["sketch"])
+
+    n = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rolled = _together(partial, groups, near, k, salts).mapInArrow(roll, schema)
+    return rolled.repartition(n, *named).sortWithinPartitions(*named).mapInArrow(finish, f"grouping STRING, {types}, {ESTIMATE}")
+
+
 def estimated(sketches: DataFrame, groups: list[str], k: int = K) -> DataFrame:
     """(groups, estimate, lower, upper, hashes): the counts with their bounds at 95 %, and how many hashes they rest on."""
 

@@ -1,7 +1,9 @@
 import collections
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +36,33 @@ def test_counts_within_bounds_and_merge_in_any_order(spark):
     assert next(x for x in out if x.day == 3 and x.g == "z").estimate == 1.0
 
 
+def test_merging_many_parts_keeps_only_the_smallest():
+    r = np.random.default_rng(3)
+    parts = [np.unique(r.integers(0, 2**64, sketches.K + 50, dtype=np.uint64))[: sketches.K] for _ in range(5_000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["g"] * 500), pa.array([p.tobytes() for p in parts[i : i + 500]], pa.binary())], names=["g", "sketch"]) for i in range(0, 5_000, 500)]
+    began = time.time()
+    ((group, sketch),) = sketches._merged_groups(iter(batches), ["g"], sketches.K)
+    assert time.time() - began < 2 and group == ("g",)
+    assert (sketch == np.unique(np.concatenate(parts))[: sketches.K]).all()
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_cube_equals_exact_counts_of_small_groups(spark, salts):
+    r = random.Random(5)
+    rows = [(r.choice([1, 2, None]), r.choice(["a", "b", None]), r.choice(["x", "y"]), [f"k{r.randrange(900)}" for _ in range(30)]) for _ in range(300)]
+    df = spark.createDataFrame([(*x, "e") for x in rows], "day INT, run STRING, grouping STRING, ids ARRAY<STRING>, sketch STRING").withColumnRenamed("grouping", "lane").repartition(7)
+    groups, sets = ["day", "run", "lane"], [[], ["day"], ["lane"], ["run"], ["day", "lane"], ["run", "lane"], ["day", "run"], ["day", "run", "lane"]]
+    got = sketches.cube(sketches.partial_sketches(df, groups, sketches.hashed("ids")), groups, ["run"], sets, salts=salts).collect()
+    want = collections.defaultdict(set)
+    for *g, ids in rows:
+        for s in sets:
+            want[(",".join(s), *(v if c in s else None for v, c in zip(g, groups)))] |= set(ids)
+    assert {(x.grouping, x.day, x.run, x.lane): (x.estimate, x.lower, x.upper, x.hashes) for x in got} == {g: (n, n, n, n) for g, v in want.items() for n in [len(v)]} and len(got) == len(want)
+    partial = sketches.partial_sketches(df, groups, sketches.hashed("ids"))
+    assert sketches.merged_sketches(partial, groups, ["run"], salts=salts).count() == len({g for g in want if g[0] == "day,run,lane"})
+    assert sketches.cube(partial.limit(0), groups, ["run"], sets).count() == 0
+
+
 def test_every_subset_of_the_groups_is_counted():
     from kmerloom.llm import queries
 
