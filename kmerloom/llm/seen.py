@@ -1,14 +1,15 @@
 """Has this key been seen before? Every later occurrence of a key, in order of arrival, without holding all earlier keys.
 
 Keys are 64-bit hashes of (scope, value), spread over shards by hash. A first pass inside each task finds the repeats
-within a batch of rows; they need no further look, and a hot key leaves one row a batch at most. What is left goes to its
-shard in packets sorted by generation, a range of arrival numbers. A shard reads its generations in order: the newest
-keys are held exactly until SEAL of them are there, then they are sealed into a ribbon filter. A key that neither the
-held keys nor any sealed filter knows is new.
+within a generation, a range of arrival numbers; they need no further look, and a hot key leaves one row a batch and
+generation at most. What is left goes to its shard in packets sorted by generation. A shard reads its generations in
+order: the newest keys are held exactly until SEAL of them are there, and at least a GROW-th of all keys so far, then they
+are sealed into a ribbon filter. So a shard has filters from SEAL keys on, and their number grows with the logarithm of
+the keys. A key that neither the held keys nor any sealed filter knows is new.
 
 Wrong answers: a key is never missed. A new key is taken for an old one with a chance of 2 ** -bits for each sealed
-filter of its shard, and if its 64-bit hash equals that of another key. Hashes of real keys are even; odd ones are
-certainly absent, and the audit counts how many of them the filters claim to know.
+filter of its shard, and if its hash equals that of another key (`hash_clash_rate` of the audit: 63 bits count). Hashes of
+real keys are even; odd ones are certainly absent, and the audit counts how many of them the filters claim to know.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.ribbon import Ribbon
 
-BITS, SEAL, GENERATION_ROWS, MOST_GENERATIONS, AUDIT_KEYS = 32, 1 << 18, 8192, 4096, 20_000
+BITS, SEAL, GROW, GENERATION_ROWS, MOST_GENERATIONS, AUDIT_KEYS = 32, 1 << 12, 4, 512, 4096, 20_000
 PACKET_ROWS = 200
 
 
@@ -66,14 +67,15 @@ def _first_pass(batches: Iterator[pa.RecordBatch], lowest: int, width: int, shar
         if len(by) and (np.diff(by) < 0).any():
             o = np.argsort(turn[rows], kind="stable")
             keys, rows, place = keys[o], rows[o], place[o]
-        order, first = _split(keys)
+        made = (arrival[rows] - lowest) // width
+        order = np.lexsort((made, keys))
+        first = np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(made[order]) != 0)] if len(order) else np.zeros(0, bool)
         again, new = np.sort(order[~first]), np.sort(order[first])
         out = []
         if len(again):
             out.append((int(again[0]) % shards, -1, keys[:0].view(np.int64), arrival[rows[again]], place[again]))
-        k, a, p = keys[new], arrival[rows[new]], place[new]
+        k, a, p, generation = keys[new], arrival[rows[new]], place[new], made[new]
         shard = (k >> np.uint64(33)) % np.uint64(shards)
-        generation = (a - lowest) // width
         o = np.lexsort((generation, shard))
         k, a, p, shard, generation = k[o], a[o], p[o], shard[o].astype(np.int64), generation[o]
         cuts = np.nonzero(np.r_[True, (shard[1:] != shard[:-1]) | (generation[1:] != generation[:-1])])[0] if len(k) else []
@@ -89,6 +91,7 @@ class Shard:
     def __init__(self, bits: int, seal: int) -> None:
         self.seal = seal
         self.bits, self.sealed, self.held, self.keys = bits, [], np.zeros(0, np.uint64), 0
+        self.by_held = self.by_filters = 0
 
     def new_among(self, keys: np.ndarray) -> np.ndarray:
         """Of distinct keys, which were not seen; they are now."""
@@ -96,24 +99,27 @@ class Shard:
         if len(self.held):
             i = np.minimum(np.searchsorted(self.held, keys), len(self.held) - 1)
             new = self.held[i] != keys
+            self.by_held += int((~new).sum())
+        asked = int(new.sum())
         for ribbon in self.sealed:
             left = np.nonzero(new)[0]
             new[left] = ~ribbon.has(keys[left])
+        self.by_filters += asked - int(new.sum())
         self.held = np.union1d(self.held, keys[new])
         self.keys += int(new.sum())
-        if len(self.held) >= self.seal:
+        if len(self.held) >= max(self.seal, self.keys // GROW):
             self.sealed.append(Ribbon(self.held, self.bits))
             self.held = self.held[:0]
         return new
 
-    def audit(self, seed: int) -> tuple[int, int, int, int, int, int]:
+    def audit(self, seed: int, shards: int) -> tuple:
+        """The row of AUDIT for this shard, of the filters that gave its answers."""
         absent = np.random.default_rng(seed).integers(0, 2**64, AUDIT_KEYS, dtype=np.uint64) | np.uint64(1)
-        if len(self.held):  # sealed for the audit, so that there is a filter to ask
-            self.sealed.append(Ribbon(self.held, self.bits))
         wrong = np.zeros(len(absent), bool)
         for ribbon in self.sealed:
             wrong |= ribbon.has(absent)
-        return seed, self.keys, len(self.sealed), sum(r.bytes() for r in self.sealed), AUDIT_KEYS, int(wrong.sum())
+        size = sum(r.bytes() for r in self.sealed)
+        return seed, self.keys, len(self.sealed), size, len(self.held), self.by_filters, self.by_held, AUDIT_KEYS, int(wrong.sum()), self.keys * shards / 2.0**63
 
 
 def _generations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -131,7 +137,7 @@ def _generations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int,
         yield (*at, *(np.concatenate(x) for x in zip(*held)))
 
 
-def _second_pass(batches: Iterator[pa.RecordBatch], bits: int, seal: int, audit: bool) -> Iterator[pa.RecordBatch]:
+def _second_pass(batches: Iterator[pa.RecordBatch], bits: int, seal: int, shards: int, audit: bool) -> Iterator[pa.RecordBatch]:
     now, state = None, None
     for shard, generation, keys, arrivals, places in _generations(batches):
         if generation < 0:
@@ -139,7 +145,7 @@ def _second_pass(batches: Iterator[pa.RecordBatch], bits: int, seal: int, audit:
         else:
             if shard != now:
                 if audit and state:
-                    yield _audited(state.audit(now))
+                    yield _audited(state.audit(now, shards))
                 now, state = shard, Shard(bits, seal)
             o = np.lexsort((places, arrivals))
             keys, arrivals, places = keys.view(np.uint64)[o], arrivals[o], places[o]
@@ -151,14 +157,14 @@ def _second_pass(batches: Iterator[pa.RecordBatch], bits: int, seal: int, audit:
             for i in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000], pa.int64()), pa.array(p[i : i + 50_000], pa.int32())], names=["arrival_no", "pos"])
     if audit and state:
-        yield _audited(state.audit(now))
+        yield _audited(state.audit(now, shards))
 
 
-AUDIT = "shard INT, keys BIGINT, filters INT, filter_bytes BIGINT, absent_probed BIGINT, absent_claimed BIGINT"
+AUDIT = "shard INT, keys BIGINT, filters INT, filter_bytes BIGINT, held BIGINT, seen_by_filters BIGINT, seen_by_held BIGINT, absent_probed BIGINT, absent_claimed BIGINT, hash_clash_rate DOUBLE"
 
 
 def _audited(row: tuple) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.float64()]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[c.split()[0] for c in AUDIT.split(", ")])
 
 
@@ -167,8 +173,9 @@ def seen_before(df: DataFrame, arrival: str, scope: str, values: str, bits: int
 
     Earlier: in a row with a smaller `arrival`, or at a smaller position of the same row. `arrival` must be a unique
     whole number, not null (a row without it is left out). A null scope is a scope of its own; null elements, null and
-    empty lists give nothing. With `audit`, one row per shard instead: keys held, filters, their size, and how many
-    certainly absent keys were probed and how many wrongly claimed.
+    empty lists give nothing. With `audit`, one row per shard instead (AUDIT): its distinct keys, the filters, their size,
+    the keys still held exactly, how many repeats of earlier generations the filters and the held keys told, how many
+    certainly absent keys were probed and how many wrongly claimed, and the chance that a new key's hash is another's.
     """
     spark, seal = df.sparkSession, SEAL
     rows = df.where(F.col(arrival).isNotNull())
@@ -182,4 +189,4 @@ def seen_before(df: DataFrame, arrival: str, scope: str, values: str, bits: int
         lambda b: _first_pass(b, low, width, shards), "shard INT, generation INT, keys ARRAY<BIGINT>, arrivals ARRAY<BIGINT>, places ARRAY<INT>"
     )
     at_home = packets.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "generation")
-    return at_home.mapInArrow(lambda b: _second_pass(b, bits, seal, audit), AUDIT if audit else "arrival_no BIGINT, pos INT")
+    return at_home.mapInArrow(lambda b: _second_pass(b, bits, seal, shards, audit), AUDIT if audit else "arrival_no BIGINT, pos INT")
