@@ -4,7 +4,9 @@ Each task keeps BUCKETS x SLOTS residents with exact counts since they moved in,
 without a slot votes against its bucket; when the votes reach LAMBDA times the smallest resident, that resident is
 evicted, its count falls into the counter of its hash, and the value moves in. Partial sketches are rows; they merge by
 bucket: counts of the same value add up, the SLOTS largest stay, the rest falls into the counters, which add up cell by
-cell. A value's true count is at least `lower` (its heavy count) and at most `upper` (that and its counter).
+cell. A value's true count is at least `lower` (its heavy count) and at most `upper` (that and its counter), that of a value
+without a slot at most its counter. So no value is missed over the largest counter; where an answer needs values below
+that, `at_least_share` counts those of the large counters exactly, and `most_frequent` says which rows are certain.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.tables import stage
@@ -115,34 +117,65 @@ def total_of(sketch: DataFrame) -> DataFrame:
     return sketch.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
 
 
+def _ranked(sketch: DataFrame) -> DataFrame:
+    """The residents of all tasks added up, with their rank in their bucket and their counter's cell."""
+    one = sketch.where("kind = 0").groupBy("place", "value", "hash").agg(F.sum("n").alias("n"), F.sum((~F.col("part")).cast("int")).alias("whole"))
+    rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("n"), "value"))
+    return one.withColumn("rank", rank).withColumn("cell", _cell(F.col("hash")))
+
+
+def _cell(hash_: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned(hash_, 20), F.lit(CELLS))
+
+
+def counters(sketch: DataFrame) -> DataFrame:
+    """(cell, below): the light part of the merged sketch; all counts of a value without a slot are in its cell."""
+    fallen = _ranked(sketch).where(f"rank > {SLOTS}").select("cell", "n")
+    return sketch.where("kind = 1").select(F.col("place").alias("cell"), "n").unionByName(fallen).groupBy("cell").agg(F.sum("n").alias("below"))
+
+
 def merged(sketch: DataFrame) -> DataFrame:
     """(value, lower, upper) of the residents of the merged sketch, at most BUCKETS * SLOTS rows."""
     tasks = sketch.where("kind = 2").agg(F.count("*").alias("tasks")).scalar()
-    one = sketch.where("kind = 0").groupBy("place", "value", "hash").agg(F.sum("n").alias("n"), F.sum((~F.col("part")).cast("int")).alias("whole"))
-    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy(F.desc("n"), "value")))
-    cell = F.pmod(F.shiftrightunsigned("hash", 20), F.lit(CELLS))
-    fallen = ranked.where(f"rank > {SLOTS}").select(cell.alias("cell"), "n")
-    light = sketch.where("kind = 1").select(F.col("place").alias("cell"), "n").unionByName(fallen).groupBy("cell").agg(F.sum("n").alias("below"))
-    both = ranked.where(f"rank <= {SLOTS}").withColumn("cell", cell).join(light, "cell", "left")
+    both = _ranked(sketch).where(f"rank <= {SLOTS}").join(counters(sketch), "cell", "left")
     upper = F.col("n") + F.when(F.col("whole") < tasks, F.coalesce("below", F.lit(0))).otherwise(0)
     return both.select("value", F.col("n").alias("lower"), upper.alias("upper"))
 
 
 def most_frequent(df: DataFrame, value: str, weight: str | None, top: int) -> DataFrame:
-    """The `top` values by approximate count, with the bounds of the count. No rows for an empty table."""
-    return merged(heavy_light(df, value, weight)).select("value", F.col("lower").alias("estimate"), "lower", "upper").orderBy(F.desc("estimate"), "value").limit(top)
+    """(value, estimate, lower, upper, certain): the `top` values by approximate count, with the bounds of the count. No rows for an empty table.
+
+    A row is certain if no value that isn't listed can have a larger count; the guarantee holds for the listed rows whose
+    lower bound is at least every counter and the upper bound of every other resident.
+    """
+    sketch = heavy_light(df, value, weight)
+    residents = stage(merged(sketch), "heavy-residents")
+    turn = F.row_number().over(Window.orderBy(F.desc("lower"), "value"))  # at most BUCKETS * SLOTS rows
+    ranked = residents.withColumn("turn", turn)
+    others = ranked.where(F.col("turn") > top).agg(F.coalesce(F.max("upper"), F.lit(0)).alias("m")).scalar()
+    unheld = counters(sketch).agg(F.coalesce(F.max("below"), F.lit(0)).alias("m")).scalar()
+    rows = ranked.where(F.col("turn") <= top).select("value", F.col("lower").alias("estimate"), "lower", "upper", (F.col("lower") >= F.greatest(others, unheld)).alias("certain"))
+    return rows.orderBy(F.desc("estimate"), "value")
 
 
-def at_least_share(df: DataFrame, value: str, weight: str | None, share_per_mille: int) -> DataFrame:
-    """(value, n): every value whose exact count is at least that share of the total.
+def at_least_share(df: DataFrame, value: str, weight: str | None, share_per_mille: float) -> DataFrame:
+    """(value, n): every value whose exact count is at least that share of the total; none is missed, however small the share.
 
     The sketch gives the candidates (upper bound at or over the share: no more than BUCKETS * SLOTS, so they are
-    broadcast), a second pass over `df` their exact counts. Null values only count in the total.
+    broadcast), a second pass over `df` their exact counts. A counter at or over the share may hide a value without a
+    slot; then all values of such counters (no more than CELLS, broadcast too) are counted exactly in the same pass. Null
+    values only count in the total.
     """
     sketch = heavy_light(df, value, weight)
     least = total_of(sketch).scalar() * share_per_mille
-    candidates = merged(sketch).where(F.col("upper") * 1000 >= least).select(F.col("value").alias("v"))
+    candidates = merged(sketch).where(F.col("upper") * 1000 >= least).select(F.col("value").alias("v"), F.lit(True).alias("listed"))
+    crowded = stage(counters(sketch).where(F.col("below") * 1000 >= least).select("cell", F.lit(True).alias("crowded")), "heavy-cells")
     w = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1)
-    rows = df.select(F.col(value).cast("string").alias("v"), w.alias("w"))
-    exact = rows.join(F.broadcast(candidates), "v").groupBy("v").agg(F.sum("w").alias("n"))
+    rows = df.select(F.col(value).cast("string").alias("v"), w.alias("w")).where("v is not null")
+    if crowded.isEmpty():
+        rows = rows.join(F.broadcast(candidates), "v")
+    else:
+        placed = rows.withColumn("cell", _cell(F.xxhash64("v"))).join(F.broadcast(crowded), "cell", "left")
+        rows = placed.join(F.broadcast(candidates), "v", "left").where("listed or crowded")
+    exact = rows.groupBy("v").agg(F.sum("w").alias("n"))
     return exact.where((F.col("n") * 1000 >= least) & (F.col("n") > 0)).select(F.col("v").alias("value"), "n")

@@ -193,6 +193,25 @@ def test_heavy_values(spark, monkeypatch):
     assert heavy.most_frequent(df.limit(0), "c", "m", 5).count() == 0 and heavy.at_least_share(df.limit(0), "c", "m", 5).count() == 0
 
 
+def test_no_value_is_missed_at_a_small_share(spark):
+    total = 20_000 * 14 + 20_000_000
+    df = spark.range(20_000).select(F.concat(F.lit("v"), "id").alias("c"), F.lit(14).alias("m")).unionByName(spark.range(1_000_000).select(F.concat(F.lit("x"), F.col("id") % 400_000).alias("c"), F.lit(1).alias("m"))).repartition(4)
+    rest = spark.createDataFrame([(None, total - 20_000 * 14 - 1_000_000)], "c STRING, m INT")
+    all_ = df.unionByName(rest)
+    n = all_.agg(F.sum("m")).first()[0]
+    share = 14 * 1000 / n
+    sketch = heavy.heavy_light(all_, "c", "m")
+    assert heavy.merged(sketch).where("value like 'v%'").count() < 20_000  # some own no slot
+    assert heavy.at_least_share(all_, "c", "m", share).where("value like 'v%' and n = 14").count() == 20_000
+    assert heavy.most_frequent(all_, "c", "m", 5).where("certain").count() == 0
+
+
+def test_the_certain_of_the_most_frequent(spark):
+    df = spark.createDataFrame([("a", 500), ("b", 300), (None, 9), ("c", None)] + [(f"x{i}", 1) for i in range(50)], "c STRING, m INT")
+    top = heavy.most_frequent(df, "c", "m", 2).collect()
+    assert [(x.value, x.estimate, x.certain) for x in top] == [("a", 500, True), ("b", 300, True)]
+
+
 # 6
 
 
