@@ -61,6 +61,16 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(table(spark, d, "parse_results"), "read_id", "reads")
 
 
+def p2_spans_40(spark: SparkSession, d: str) -> DataFrame:
+    """Shared spans of at least 40 bases."""
+    return spans.shared_spans(table(spark, d, "parse_results"), "read_id", "reads", 40)
+
+
+def p2_spans_100(spark: SparkSession, d: str) -> DataFrame:
+    """Shared spans of at least 100 bases."""
+    return spans.shared_spans(table(spark, d, "parse_results"), "read_id", "reads", 100)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.seen_before(table(spark, d, "parse_results"), "arrival_no", "run_id", "kmers")
 
@@ -118,7 +128,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_counts": p1_counts, "p1_exact_groups": p1_exact_groups, "p1_canonical_counts": p1_canonical_counts, "p1_day_overlap": p1_day_overlap,
-    "p2_found": p2_found, "p2_shares": p2_shares,
+    "p2_found": p2_found, "p2_shares": p2_shares, "p2_spans_40": p2_spans_40, "p2_spans_100": p2_spans_100,
     "p3_found": p3_found, "p3_audit": p3_audit,
     "p4_found": p4_found, "p4_counts_top": p4_counts_top, "p4_rows_top": p4_rows_top,
     "p6_ids": p6_ids,
@@ -126,15 +136,18 @@ QUERIES = {
     "p8_found": p8_found, "p8_shares": p8_shares,
 }
 
-_SPANS = """
+
+def _spans(least: int) -> str:
+    return f"""
     WITH r AS (SELECT DISTINCT read_id, reads FROM parse_results WHERE reads IS NOT NULL AND read_id IS NOT NULL),
-    w AS (SELECT DISTINCT read_id, i, substring(reads, i, 64) AS s FROM (SELECT read_id, reads, unnest(range(1, length(reads) - 62)) AS i FROM r)),
+    w AS (SELECT DISTINCT read_id, i, substring(reads, i, {least}) AS s FROM (SELECT read_id, reads, unnest(range(1, length(reads) - {least - 2})) AS i FROM r)),
     v AS (SELECT * FROM w WHERE regexp_full_match(s, '[ACGT]+')),
     two AS (SELECT s FROM v GROUP BY s HAVING min(read_id) <> max(read_id)),
     hit AS (SELECT DISTINCT read_id, i - 1 AS a FROM v SEMI JOIN two USING (s)),
-    o AS (SELECT *, CASE WHEN a <= lag(a) OVER (PARTITION BY read_id ORDER BY a) + 64 THEN 0 ELSE 1 END AS opens FROM hit),
+    o AS (SELECT *, CASE WHEN a <= lag(a) OVER (PARTITION BY read_id ORDER BY a) + {least} THEN 0 ELSE 1 END AS opens FROM hit),
     g AS (SELECT *, sum(opens) OVER (PARTITION BY read_id ORDER BY a) AS run FROM o),
-    f AS (SELECT read_id, CAST(min(a) AS INTEGER) AS span_start, CAST(max(a) + 64 AS INTEGER) AS span_end FROM g GROUP BY read_id, run)"""
+    f AS (SELECT read_id, CAST(min(a) AS INTEGER) AS span_start, CAST(max(a) + {least} AS INTEGER) AS span_end FROM g GROUP BY read_id, run)"""
+
 
 _CUBE = ", ".join(f"({', '.join(s)})" for s in [*NEAR_SETS, *FAR_SETS])
 _SET = "concat_ws(',', " + ", ".join(f"CASE WHEN GROUPING({g}) = 0 THEN '{g}' END" for g in GROUPS) + ")"
@@ -144,8 +157,10 @@ ORACLE = {
         WITH k AS (SELECT CAST(parsed_at AS DATE) AS day, run_id, sample_id, lane, unnest(kmers) AS kmer FROM parse_results)
         SELECT {_SET} AS "grouping", day, run_id, sample_id, lane, count(DISTINCT kmer) AS n, count(DISTINCT kmer) AS lower, count(DISTINCT kmer) AS upper
         FROM k GROUP BY GROUPING SETS ({_CUBE}) HAVING count(DISTINCT kmer) BETWEEN 1 AND 1023""",
-    "p2_found": f"{_SPANS} SELECT read_id, span_start, span_end FROM f",
-    "p2_shares": f"""{_SPANS}, n AS (SELECT read_id, sum(span_end - span_start) AS shared FROM f GROUP BY read_id)
+    "p2_found": f"{_spans(64)} SELECT read_id, span_start, span_end FROM f",
+    "p2_spans_40": f"{_spans(40)} SELECT read_id, span_start, span_end FROM f",
+    "p2_spans_100": f"{_spans(100)} SELECT read_id, span_start, span_end FROM f",
+    "p2_shares": f"""{_spans(64)}, n AS (SELECT read_id, sum(span_end - span_start) AS shared FROM f GROUP BY read_id)
         SELECT read_id, CAST(coalesce(max(length(reads)), 0) AS INTEGER) AS bases, CAST(coalesce(any_value(shared), 0) AS BIGINT) AS shared_bases
         FROM parse_results LEFT JOIN n USING (read_id) WHERE read_id IS NOT NULL GROUP BY read_id""",
     "p3_found": """

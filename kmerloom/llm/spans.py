@@ -1,18 +1,21 @@
 """Long exact spans shared between records, by suffix automata of shards of the texts.
 
-Two records can share a window of WINDOW letters only if its rarest-looking seed (the one of its SEED-letter substrings
+Two records can share a window of `window` letters only if its rarest-looking seed (the one of its SEED-letter substrings
 with the smallest hash) is the same. So each text is cut into segments of consecutive windows with the same seed, and
 the segments of one seed make up one shard: every shared window lies whole in both records' segments of one shard. The
 suffix automaton of a shard's segments is built where the shard lies, and the segments are streamed through it: the
-matching statistics, cut at WINDOW, lead to one state per window, which knows whether two records reach it. (Sending
+matching statistics, cut at `window`, lead to one state per window, which knows whether two records reach it. (Sending
 automata of all texts to all tasks instead would cost the square of the input.)
 
-A seed that very many segments share (HOT_SHARE of all) does not become one shard, and a shard of more than SHARD_LETTERS
-is not built: their windows, two bits a letter and so exact in 128 bits, are grouped by value, spread and salted.
+A shard gets each distinct segment with the smallest and the largest id of its records, not the places where it occurs: a
+segment in a third of all records is one text there. The spans found join the places afterwards, salted where a segment
+is frequent. A shard of more than SHARD_LETTERS distinct letters is cut again, its segments by the least seed of another
+hash, and what is still too large by whole windows, of which each is one text: so every span comes from an automaton.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,35 +25,64 @@ from pyspark.sql import functions as F
 
 from kmerloom.tables import stage
 
-WINDOW, SEED, SHARD_LETTERS, HOT_LEAST, HOT_SHARE, SALTS = 64, 32, 300_000, 5_000, 1_000, 16
+WINDOW, SEED, SHARD_LETTERS, HOT_LEAST, SALTS = 64, 32, 300_000, 64, 16
+BY_WINDOW = 2  # the level at which each window is a segment of its own
 _U = np.uint64
 _LETTERS = np.full(256, 4, np.uint8)
 _LETTERS[list(b"ACGT")] = range(4)
 
 
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = x ^ _U((0x9E3779B97F4A7C15 * (2 * salt + 1)) & (2**64 - 1))
+    x = (x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(32))
+
+
+def _codes(letters: np.ndarray, size: int) -> np.ndarray:
+    """Two bits a letter, for every stretch of `size` letters, by doubling."""
+    part, p, out, have = letters.astype(_U), 1, None, 0
+    while size:
+        if size & 1:
+            out = part if out is None else (out[: len(part) - have] << _U(2 * p)) | part[have:]
+            have += p
+        size >>= 1
+        if size:
+            part = (part[:-p] << _U(2 * p)) | part[p:]
+            p *= 2
+    return out
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` values in a row."""
+    p = 1
+    while 2 * p <= width:
+        x, p = np.minimum(x[:-p], x[p:]), 2 * p
+    return np.minimum(x[: len(x) - (width - p)], x[width - p :]) if p < width else x
+
+
 class Windows:
-    """The valid windows of a batch of texts: `at` (offset in the flat text), `seed` (hash), and the 128 bits of each."""
+    """The valid windows of a batch of texts: `at` (offset in the flat text) and `key`, the shard of each at this level."""
 
-    def __init__(self, texts: pa.StringArray) -> None:
+    def __init__(self, texts: pa.StringArray, window: int, level: int) -> None:
         raw = [t.encode("ascii", "replace") + b" " for t in texts.to_pylist()]  # one byte a letter
         self.flat = b"".join(raw)
         self.begin = np.cumsum([0, *map(len, raw)])[:-1]
+        self.window, self.level = window, level
         letters = _LETTERS[np.frombuffer(self.flat, np.uint8)]
-        n = len(letters) - WINDOW + 1
-        if n <= 0:
-            self.at = np.zeros(0, np.int64)
-            self.seed = self.high = self.low = np.zeros(0, _U)
+        if len(letters) < window:
+            self.at, self.key = np.zeros(0, np.int64), np.zeros(0, _U)
             return
-        code, bad = (letters & 3).astype(_U), np.r_[0, np.cumsum(letters > 3)]
-        for k in (1, 2, 4, 8, 16):  # the code of SEED letters, by doubling
-            code = (code[:-k] << _U(2 * k)) | code[k:]
-        mixed = (code ^ (code >> _U(31))) * _U(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-        least = mixed ^ (mixed >> _U(32))
-        for k in (1, 2, 4, 8, 16, 1):  # the least of the WINDOW - SEED + 1 seeds of a window
-            least = np.minimum(least[:-k], least[k:])
-        self.at = np.nonzero(bad[WINDOW:] == bad[:-WINDOW])[0]
-        self.seed, self.high, self.low = least[self.at], code[self.at], code[self.at + SEED]
+        seed = min(SEED, window)
+        code, bad = _codes(letters & 3, seed), np.r_[0, np.cumsum(letters > 3)]
+        if level < BY_WINDOW:
+            key = _least(_mixed(code, level), window - seed + 1)
+        else:
+            n, key = len(letters) - window + 1, np.zeros(len(letters) - window + 1, _U)
+            for i in sorted({*range(0, window - seed, seed), window - seed}):
+                key = _mixed(key ^ code[i : i + n], level)
+        self.at = np.nonzero(bad[window:] == bad[:-window])[0]
+        self.key = key[self.at]
 
     def row(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begin, at, "right") - 1
@@ -59,67 +91,64 @@ class Windows:
         """The first window of each segment and the one behind its last."""
         if not len(self.at):
             return self.at, self.at
-        cut = np.nonzero((self.seed[1:] != self.seed[:-1]) | (self.at[1:] != self.at[:-1] + 1))[0] + 1
+        new = (self.key[1:] != self.key[:-1]) | (self.at[1:] != self.at[:-1] + 1) | (self.level >= BY_WINDOW)
+        cut = np.nonzero(new)[0] + 1
         return np.r_[0, cut], np.r_[cut, len(self.at)]
 
 
-def _count_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        w = Windows(batch.column(1))
-        first, _ = w.segments()
-        seed, n = np.unique(w.seed[first], return_counts=True)
-        often = n >= max(4, n.sum() // (4 * HOT_SHARE))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[seed[often].view(np.int64), 0]), pa.array(np.r_[n[often], n.sum()]), pa.array(np.r_[np.zeros(often.sum(), bool), True])], names=["seed", "n", "all"])
+SEGMENT = "key BIGINT, text STRING, low BIGINT, high BIGINT, n BIGINT, hot BOOLEAN, ids ARRAY<BIGINT>, starts ARRAY<INT>"
+PART = "key BIGINT, text STRING, low BIGINT, high BIGINT, n BIGINT, hot BOOLEAN, outer_key BIGINT, outer_text STRING, start INT"
 
 
-SEGMENT = "seed BIGINT, text STRING, ids ARRAY<BIGINT>, starts ARRAY<INT>, high BIGINT, low BIGINT"
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-def _segments(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per distinct segment of a batch; windows of hot seeds as rows without text."""
+def _segments(batches: Iterator[pa.RecordBatch], window: int, least: int) -> Iterator[pa.RecordBatch]:
+    """One row per distinct segment of a batch of records (id, text), with its places."""
     for batch in batches:
-        w = Windows(batch.column(1))
+        w = Windows(batch.column(1), window, 0)
         ids = batch.column(0).to_numpy()
         first, end = w.segments()
-        is_hot = np.isin(w.seed[first], hot)
-        yield from _window_rows(w, ids, np.repeat(is_hot, end - first), None)
-        first, end = first[~is_hot], end[~is_hot]
         start, row = w.at[first], w.row(w.at[first])
-        stop, seed = w.at[end - 1] + WINDOW, w.seed[first].view(np.int64)
+        stop, key = w.at[end - 1] + window, w.key[first].view(np.int64)
         place = start - w.begin[row]
         found: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
-        for s, a, b, r, p in zip(seed.tolist(), start.tolist(), stop.tolist(), ids[row].tolist(), place.tolist()):
+        for s, a, b, r, p in zip(key.tolist(), start.tolist(), stop.tolist(), ids[row].tolist(), place.tolist()):
             where = found.setdefault((s, w.flat[a:b]), ([], []))
             where[0].append(r)
             where[1].append(p)
-        n = len(found)
+        held = [v[0] for v in found.values()]
+        n = np.array([len(v) for v in held], np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1].decode() for k in found], pa.string()), pa.array([v[0] for v in found.values()], pa.list_(pa.int64())), pa.array([v[1] for v in found.values()], pa.list_(pa.int32())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-            names=[c.split()[0] for c in SEGMENT.split(", ")],
+            [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1].decode() for k in found], pa.string()), pa.array([min(v) for v in held], pa.int64()), pa.array([max(v) for v in held], pa.int64()), pa.array(n), pa.array(n >= least), pa.array(held, pa.list_(pa.int64())), pa.array([v[1] for v in found.values()], pa.list_(pa.int32()))],
+            names=_names(SEGMENT),
         )
 
 
-def _window_rows(w: Windows, ids: np.ndarray, which: np.ndarray, starts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """The chosen windows, one row for each distinct value of the batch; `starts`: the place of each text in its record."""
-    i = np.nonzero(which)[0]
-    if not len(i):
-        return
-    i = i[np.lexsort((w.low[i], w.high[i]))]
-    high, low, row = w.high[i], w.low[i], w.row(w.at[i])
-    place = w.at[i] - w.begin[row] + (0 if starts is None else starts[row])
-    cut = np.nonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])[0]
-    ends = pa.array(np.r_[cut, len(i)].astype(np.int32))
-    n = len(cut)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array((high[cut] ^ low[cut] * _U(0x9E3779B97F4A7C15)).view(np.int64)), pa.nulls(n, pa.string()), pa.ListArray.from_arrays(ends, pa.array(ids[row], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.array(high[cut].view(np.int64)), pa.array(low[cut].view(np.int64))],
-        names=[c.split()[0] for c in SEGMENT.split(", ")],
-    )
+def _parts(batches: Iterator[pa.RecordBatch], window: int, level: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The segments (key, text, low, high) of shards that are too large, cut at the next level: one row per place."""
+    for batch in batches:
+        w = Windows(batch.column(1), window, level)
+        first, end = w.segments()
+        row = w.row(w.at[first])
+        outer = batch.column(0).to_numpy()[row]
+        key = w.key[first] if level >= BY_WINDOW else _mixed(w.key[first] ^ outer.view(_U), level)
+        text = [w.flat[a:b].decode() for a, b in zip(w.at[first].tolist(), (w.at[end - 1] + window).tolist())]
+        named = list(zip(key.tolist(), text))
+        often = Counter(named)
+        low, high = batch.column(2).to_numpy()[row], batch.column(3).to_numpy()[row]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(text, pa.string()), pa.array(low), pa.array(high), pa.array(np.ones(len(row), np.int64)), pa.array([often[x] >= least for x in named], pa.bool_()), pa.array(outer), batch.column(1).take(pa.array(row)), pa.array((w.at[first] - w.begin[row]).astype(np.int32))],
+            names=_names(PART),
+        )
 
 
 class SuffixAutomaton:
     """Of several texts over four letters: state 0 is empty; `follow` has four entries a state, -1 for none."""
 
-    def __init__(self) -> None:
+    def __init__(self, window: int) -> None:
+        self.window = window
         self.follow, self.link, self.size = [-1, -1, -1, -1], [-1], [0]
 
     def add(self, text: bytes) -> None:
@@ -156,137 +185,131 @@ class SuffixAutomaton:
         return copy
 
     def windows(self, text: bytes) -> list[int]:
-        """Streaming `text`: the state of each window, that is of the last WINDOW letters at each place."""
-        follow, link, size, v, out = self.follow, self.link, self.size, 0, []
+        """Streaming `text`: the state of each window, that is of the last letters at each place."""
+        follow, link, size, window, v, out = self.follow, self.link, self.size, self.window, 0, []
         for n, c in enumerate(text, 1):
             v = follow[4 * v + c]
-            while size[link[v]] >= WINDOW:
+            while size[link[v]] >= window:
                 v = link[v]
-            if n >= WINDOW:
+            if n >= window:
                 out.append(v)
         return out
 
 
 _TO_LETTERS = bytes(_LETTERS.tolist())
-FOUND = "read_id BIGINT, span_start INT, span_end INT, text STRING, high BIGINT, low BIGINT"
+FOUND = "key BIGINT, text STRING, low BIGINT, high BIGINT, n BIGINT, span_start INT, span_end INT"
 
 
-def _shard_rows(rows: list[tuple]) -> Iterator[tuple]:
-    """(id, start, end) of the shared spans of one shard; rows: (text, ids, starts)."""
-    lowest = min(min(ids) for _, ids, _ in rows)
-    if all(min(ids) == max(ids) == lowest for _, ids, _ in rows):
+def _shard_rows(texts: dict[str, list[int]], window: int) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end) of the shared spans of one shard; texts: {text: [smallest id, largest id, places]}."""
+    lowest = min(v[0] for v in texts.values())
+    if all(v[0] == v[1] == lowest for v in texts.values()):
         return
-    automaton = SuffixAutomaton()
-    texts = sorted({t for t, _, _ in rows})
-    coded = {t: t.encode().translate(_TO_LETTERS) for t in texts}
-    for t in texts:
-        automaton.add(coded[t])
-    path = {t: automaton.windows(coded[t]) for t in texts}
+    automaton = SuffixAutomaton(window)
+    coded = {t: t.encode().translate(_TO_LETTERS) for t in sorted(texts)}
+    for c in coded.values():
+        automaton.add(c)
+    path = {t: automaton.windows(c) for t, c in coded.items()}
     low: dict[int, int] = {}
     high: dict[int, int] = {}
-    for t, ids, _ in rows:
-        a, b = min(ids), max(ids)
-        for v in path[t]:
+    for t, states in path.items():
+        a, b, _ = texts[t]
+        for v in states:
             if a < low.get(v, a + 1):
                 low[v] = a
             if b > high.get(v, b - 1):
                 high[v] = b
-    for t, ids, starts in rows:
-        shared = [low[v] != high[v] for v in path[t]]
-        spans, i = [], 0
+    for t, states in path.items():
+        shared, i = [low[v] != high[v] for v in states], 0
         while i < len(shared):
             if shared[i]:
                 j = i
                 while j < len(shared) and shared[j]:
                     j += 1
-                spans.append((i, j - 1 + WINDOW))
+                yield t, i, j - 1 + window
                 i = j
             i += 1
-        for r, s in zip(ids, starts):
-            for a, b in spans:
-                yield r, s + a, s + b
 
 
-def _out(rows: list[tuple]) -> pa.RecordBatch:
-    r, a, b, t = zip(*rows) if rows else ((), (), (), ())
-    n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(t, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=[c.split()[0] for c in FOUND.split(", ")])
+def _match(batches: Iterator[pa.RecordBatch], window: int, most_letters: float) -> Iterator[pa.RecordBatch]:
+    """Per shard its texts with a shared span, one row a span; of a shard that is too large its distinct texts, without a span."""
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    out: list[tuple] = []
+    now, held, letters, large = None, {}, 0, False
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)], names=_names(FOUND))
 
-def _match(batches: Iterator[pa.RecordBatch], most_letters: int) -> Iterator[pa.RecordBatch]:
-    """Per seed the spans found; for a shard that is too large its segments, with their text, and no span end."""
-    out: list[tuple] = []
-    now, held, letters, large = None, [], 0, False
+    def passed_on() -> list[tuple]:
+        return [(now, t, *v, None, None) for t, v in held.items()]
 
-    def passed_on(t: str, ids: list[int], starts: list[int]) -> Iterator[tuple]:
-        return ((r, s, None, t) for r, s in zip(ids, starts))
+    def closed() -> list[tuple]:
+        return passed_on() if large else [(now, t, *held[t], a, b) for t, a, b in _shard_rows(held, window)] if held else []
 
     for batch in batches:
-        for seed, *row in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            if seed != now:
-                out += [(*x, None) for x in _shard_rows(held)] if held else []
-                now, held, letters, large = seed, [], 0, False
-            letters += len(row[0])
-            if letters > most_letters and not large:
-                large = True
-                for r in held:
-                    out += passed_on(*r)
-                held = []
-            if large:
-                out += passed_on(*row)
+        for key, text, low, high, n in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            if key != now:
+                out += closed()
+                now, held, letters, large = key, {}, 0, False
+            known = held.get(text)
+            if known:
+                known[0], known[1], known[2] = min(known[0], low), max(known[1], high), known[2] + n
             else:
-                held.append(tuple(row))
+                held[text] = [low, high, n]
+                letters += len(text)
+                if letters > most_letters:
+                    large = True
+                    out += passed_on()
+                    held, letters = {}, 0
             if len(out) > 20_000:
-                yield _out(out)
+                yield batch_of(out)
                 out = []
-    out += [(*x, None) for x in _shard_rows(held)] if held else []
-    yield _out(out)
-
-
-def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        w = Windows(batch.column(2))
-        yield from _window_rows(w, batch.column(0).to_numpy(), np.ones(len(w.at), bool), batch.column(1).to_numpy())
-
-
-def shared_spans(df: DataFrame, record: str, text: str) -> DataFrame:
-    """(read_id, span_start, span_end): the maximal runs of positions of a record that lie in a window of WINDOW letters
+    out += closed()
+    yield batch_of(out)
+
+
+def _found(segments: DataFrame, window: int, level: int, most_letters: int, least: int) -> DataFrame:
+    """(key, text, n, span_start, span_end): the shared spans of the distinct texts of `segments`."""
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = float("inf") if level >= BY_WINDOW else most_letters
+    shards = segments.select("key", "text", "low", "high", "n").repartition(n, "key").sortWithinPartitions("key")
+    matched = stage(shards.mapInArrow(lambda b: _match(b, window, limit), FOUND), "span-matches")
+    spans = matched.where("span_end is not null").select("key", "text", "n", "span_start", "span_end")
+    large = matched.where("span_end is null")
+    if level >= BY_WINDOW or large.isEmpty():
+        return spans
+    cut = large.select("key", "text", "low", "high").mapInArrow(lambda b: _parts(b, window, level + 1, least), PART)
+    parts = stage(cut, "span-parts")
+    inner = _placed(parts, _found(parts, window, level + 1, most_letters, least), least)
+    at = [(F.col("start") + F.col(c)).alias(c) for c in ("span_start", "span_end")]
+    sums = large.groupBy("key", "text").agg(F.sum("n").alias("n"))  # a text may have been passed on more than once
+    whole = inner.select(F.col("outer_key").alias("key"), F.col("outer_text").alias("text"), *at).distinct()
+    return spans.unionByName(whole.join(sums.hint("merge"), ["key", "text"]).select(*spans.columns))
+
+
+def _placed(segments: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """The segments beside each span of their text; those that a batch has often are spread by salt."""
+    salt = F.when(F.col("hot"), F.pmod(F.hash(*(c for c in segments.columns if c not in ("key", "text"))), F.lit(SALTS))).otherwise(0)
+    salts = F.when(F.col("n") >= least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = segments.withColumn("salt", salt.cast("int")).drop("low", "high", "n", "hot")
+    return spread.join(found.withColumn("salt", F.explode(salts)).drop("n").hint("merge"), ["key", "text", "salt"])
+
+
+def shared_spans(df: DataFrame, record: str, text: str, window: int = WINDOW) -> DataFrame:
+    """(read_id, span_start, span_end): the maximal runs of positions of a record that lie in a window of `window` letters
     A, C, G, T which also stands in a record of another id. Start 0-based, end exclusive.
 
     Rows with the same id are one record; null texts and ids are left out; texts shorter than the window give nothing.
     """
-    spark, most_letters = df.sparkSession, SHARD_LETTERS
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most_letters, least = SHARD_LETTERS, HOT_LEAST
     rows = df.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(F.col(record).cast("long").alias("id"), F.col(text).alias("text"))
-    counts = rows.mapInArrow(_count_seeds, "seed BIGINT, n BIGINT, all BOOLEAN").groupBy("seed", "all").agg(F.sum("n").alias("n"))
-    total = F.sum(F.when(F.col("all"), F.col("n"))).over(Window.partitionBy())
-    often = counts.where(F.col("all") | (F.col("n") >= HOT_LEAST)).withColumn("total", total)
-    hot = np.array([r[0] for r in often.where(f"not all and n * {HOT_SHARE} > total").select("seed").collect()], np.int64).view(_U)  # fewer than HOT_SHARE
-
-    cut = rows.mapInArrow(lambda b: _segments(b, hot), SEGMENT)
-    if len(hot):
-        cut = stage(cut, "span-segments")
-    shards = cut.where("text is not null").repartition(n, "seed").sortWithinPartitions("seed")
-    found = stage(shards.mapInArrow(lambda b: _match(b, most_letters), FOUND), "span-matches")
-    large = found.where("text is not null").select("read_id", "span_start", "text").mapInArrow(_windows_of, SEGMENT)
-    apart = large.unionByName(cut.where("text is null")) if len(hot) else large
-    spans = found.where("text is null").select("read_id", "span_start", "span_end")
-    if len(hot) or found.where("text is not null").limit(1).count():
-        spans = spans.unionByName(_by_value(apart))
+    segments = stage(rows.mapInArrow(lambda b: _segments(b, window, least), SEGMENT), "span-segments")
+    placed = _placed(segments, _found(segments, window, 0, most_letters, least), least)
+    one = placed.select(F.explode(F.arrays_zip("ids", "starts")).alias("x"), "span_start", "span_end")
+    spans = one.select(F.col("x.ids").alias("read_id"), (F.col("x.starts") + F.col("span_start")).alias("span_start"), (F.col("x.starts") + F.col("span_end")).alias("span_end"))
     return joined(spans.distinct())
 
 
-def _by_value(windows: DataFrame) -> DataFrame:
-    """The spans of the windows that two records have, grouped by the windows' value; a hot value is spread by salt."""
-    low, high = F.array_min("ids").alias("a"), F.array_max("ids").alias("b")
-    value = windows.select("high", "low", low, high).groupBy("high", "low").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b")
-    salted = value.select("high", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    spread = windows.withColumn("salt", F.pmod(F.hash("ids", "starts"), F.lit(SALTS)))
-    kept = spread.join(salted, ["high", "low", "salt"], "left_semi")
-    one = kept.select(F.explode(F.arrays_zip("ids", "starts")).alias("x"))
-    return one.select(F.col("x.ids").alias("read_id"), F.col("x.starts").alias("span_start"), (F.col("x.starts") + WINDOW).alias("span_end"))
-
-
 def joined(spans: DataFrame) -> DataFrame:
     """Spans of a record that overlap or touch, as one."""
     by = Window.partitionBy("read_id").orderBy("span_start", "span_end")
@@ -296,8 +319,8 @@ def joined(spans: DataFrame) -> DataFrame:
     return runs.groupBy("read_id", "run").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("run")
 
 
-def shared_shares(df: DataFrame, record: str, text: str) -> DataFrame:
+def shared_shares(df: DataFrame, record: str, text: str, window: int = WINDOW) -> DataFrame:
     """(read_id, bases, shared_bases): for each record, how many of its letters are shared. Of several texts of one id the longest counts."""
-    sums = shared_spans(df, record, text).groupBy("read_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared_bases"))
+    sums = shared_spans(df, record, text, window).groupBy("read_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared_bases"))
     sizes = df.where(F.col(record).isNotNull()).groupBy(F.col(record).cast("long").alias("read_id")).agg(F.coalesce(F.max(F.length(text)), F.lit(0)).alias("bases"))
     return sizes.join(sums, "read_id", "left").select("read_id", "bases", F.coalesce("shared_bases", F.lit(0)).alias("shared_bases"))

@@ -121,14 +121,14 @@ def some_reads(seed, n=60):
     return [*rows, rows[0], (None, rows[1][1]), (900, None), (901, ""), (902, "ü" + rows[2][1]), (903, "ACGT" * 40), (904, "ACGT" * 30)]
 
 
-@pytest.mark.parametrize("seed,letters,least,share", [(1, 300_000, 5000, 1000), (2, 300_000, 5000, 1000), (3, 500, 5000, 1000), (4, 300_000, 2, 60), (5, 400, 2, 60)])
-def test_spans_equal_brute_force(spark, monkeypatch, seed, letters, least, share):
+@pytest.mark.parametrize("seed,letters,least,window", [(1, 300_000, 64, 64), (2, 300_000, 2, 64), (3, 500, 64, 64), (4, 100, 2, 64), (5, 400, 2, 40), (6, 60, 1, 100), (7, 300_000, 3, 20)])
+def test_spans_equal_brute_force(spark, monkeypatch, seed, letters, least, window):
     monkeypatch.setattr(spans, "SHARD_LETTERS", letters)
     monkeypatch.setattr(spans, "HOT_LEAST", least)
-    monkeypatch.setattr(spans, "HOT_SHARE", share)
     rows = some_reads(seed)
     df = spark.createDataFrame([(*x, "s") for x in rows], "read_id LONG, reads STRING, seed STRING").repartition(3)
-    assert {tuple(x) for x in spans.shared_spans(df, "read_id", "reads").collect()} == brute_spans(rows)
+    got = spans.shared_spans(df, "read_id", "reads", window).collect()
+    assert len(got) == len(set(got)) and {tuple(x) for x in got} == brute_spans(rows, window)
 
 
 def test_spans_of_nothing(spark):
