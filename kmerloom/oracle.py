@@ -78,6 +78,129 @@ RECORDS = f"""lines AS (SELECT record_id, regexp_replace(coalesce(raw_line, ''),
         SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT three THEN 'columns' WHEN NOT regexp_matches(header, '\\A@[!-~]') THEN 'header'
             WHEN NOT regexp_full_match(seq, '[ACGTN]+') THEN 'seq' WHEN NOT regexp_full_match(quality, '[!-~]+') THEN 'quality' WHEN length(seq) <> length(quality) THEN 'length' END AS reason FROM typed)"""
 
+def _rc(x: str) -> str:
+    return f"translate(reverse({x}), 'ACGT', 'TGCA')"
+
+
+def _canonical(x: str) -> str:
+    return f"least({x}, {_rc(x)})"
+
+
+_ENCODED = "regexp_replace(translate(seq, 'NWKSYMR', 'AAAAAAA'), '[^ACGT]', '~', 'g')"
+
+
+def _rewritten(name: str, source: str, fixes: str) -> str:
+    """`name` (read_id, seq): the reads of `source` that have `fixes` (read_id, spot, base), with these written in."""
+    return f"""{name} AS MATERIALIZED (
+        SELECT read_id, string_agg(coalesce(base, substring(seq, CAST(p + 1 AS BIGINT), 1)), '' ORDER BY p) AS seq
+        FROM (SELECT read_id, seq, unnest(range(length(seq))) AS p FROM {source} SEMI JOIN {fixes} USING (read_id)) LEFT JOIN (SELECT read_id, spot AS p, base FROM {fixes}) USING (read_id, p) GROUP BY read_id)"""
+
+
+def _regions(i: str, source: str, longest_first: bool) -> str:
+    """t (the reads, encoded), r (regions with their turn and neighbours), solid (reads whose every base is solid)."""
+    order = "hi - lo DESC" if longest_first else "hi - lo"
+    return f"""t{i} AS MATERIALIZED (SELECT read_id, seq, {_ENCODED} AS enc, length(seq) AS n FROM {source}),
+    h{i} AS MATERIALIZED (
+        SELECT read_id, pos FROM (SELECT read_id, pos, substring(enc, CAST(pos + 1 AS BIGINT), 16) AS g FROM (SELECT read_id, enc, unnest(range(0, n - 15)) AS pos FROM t{i})) x JOIN tr ON tr.canonical = {_canonical("x.g")}),
+    r{i} AS MATERIALIZED (
+        SELECT read_id, lo, hi, lag(hi) OVER w AS before, lead(lo) OVER w AS behind, row_number() OVER (PARTITION BY read_id ORDER BY {order}, lo) AS turn
+        FROM (SELECT read_id, min(pos) AS lo, max(pos) AS hi FROM (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS run FROM h{i}) GROUP BY read_id, run)
+        WINDOW w AS (PARTITION BY read_id ORDER BY lo)),
+    solid{i} AS MATERIALIZED (SELECT read_id FROM r{i} JOIN t{i} USING (read_id) GROUP BY read_id HAVING min(lo) = 0 AND max(hi) = any_value(n) - 16 AND bool_and(behind IS NULL OR behind <= hi + 16))"""
+
+
+def _tests(walks: str, ahead: int) -> str:
+    """For each walk (with work, s and right): its k-mer (base '') and each other base with the k-mers that must be trusted; the first is the changed one."""
+    spot = "s + CASE WHEN toright THEN 15 ELSE 0 END"
+    near = f"""CASE WHEN base = '' THEN [s] WHEN toright THEN list_concat([s], CASE WHEN length(work) - s - 1 < 16 THEN [] ELSE range(s + 1, s + 2 + least(length(work) - s - 17, {ahead - 1})) END)
+        ELSE list_concat([s], CASE WHEN s - 1 <= 0 THEN [] ELSE range(greatest(0, s - 1 - {ahead}), s - 1) END) END"""
+    return f"""SELECT *, substring(mutant, CAST(q + 1 AS BIGINT), 16) AS g FROM (
+            SELECT *, CASE WHEN base = '' THEN work ELSE substring(work, 1, CAST(spot AS BIGINT)) || base || substring(work, CAST(spot + 2 AS BIGINT)) END AS mutant, unnest({near}) AS q
+            FROM (SELECT *, {spot} AS spot, substring(work, CAST(s + 1 AS BIGINT), 16) AS own FROM {walks}), (VALUES ('', 0), ('A', 1), ('C', 2), ('G', 3), ('T', 4)) AS b(base, letter) WHERE base <> substring(work, CAST(spot + 1 AS BIGINT), 1))"""
+
+
+def _judged(walks: str, keys: str, kept: str, ahead: int) -> str:
+    """One row a walk: multiplicity of its own k-mer, and the base that is chosen, if any."""
+    held = ", ".join(f"any_value({c}) AS {c}" for c in kept.split(", "))
+    return f"""SELECT {keys}, {held}, max(m) FILTER (base = '') AS trusted,
+            CASE WHEN count(m) FILTER (base <> '') = 1 THEN any_value(base) FILTER (base <> '' AND m IS NOT NULL)
+                ELSE arg_max(base, m * 10 + CASE WHEN {_rc("own")} <= own THEN letter ELSE 5 - letter END) FILTER (base <> '' AND m IS NOT NULL AND ok) END AS pick
+        FROM (
+            SELECT {keys}, base, {held}, any_value(own) AS own, any_value(letter) AS letter, max(m) FILTER (q = s) AS m, coalesce(bool_and(m IS NOT NULL) FILTER (q <> s), true) AS ok
+            FROM (SELECT x.*, tr.multiplicity AS m FROM ({_tests(walks, ahead)}) x LEFT JOIN tr ON tr.canonical = {_canonical("x.g")}) GROUP BY {keys}, base)
+        GROUP BY {keys}"""
+
+
+def _pass(i: str, source: str, allowed: int, longest_first: bool) -> str:
+    """p (read_id, seq, n): the reads of `source` after one pass; n is the number of logged changes, -1 if all bases were solid.
+
+    A left walk is made twice, as after a right walk without a change (L) and as after one with (F), and the right one is taken.
+    """
+    state = "work, s, stop, made, first, anchor, n, step"
+    walk = f"""SELECT read_id, turn, way, way = 'R' AS toright, {state} FROM walk{i} WHERE go AND CASE WHEN way = 'R' THEN s <= stop ELSE s >= stop END"""
+    return f"""{_regions(i, source, longest_first)},
+    walk{i}(read_id, turn, way, work, s, stop, made, first, anchor, n, step, go) AS (
+        SELECT read_id, turn, way, enc, CASE WHEN way = 'R' THEN hi + 1 ELSE lo - 1 END, CASE WHEN way = 'R' THEN least(t.n - 16, coalesce(behind - 16, t.n)) ELSE coalesce(before + 16, 0) END,
+            CAST([] AS STRUCT(spot BIGINT, base VARCHAR)[]), CAST(NULL AS BIGINT), CASE WHEN way = 'F' THEN CAST(-1000000000 AS BIGINT) END, CAST(0 AS BIGINT), CAST(0 AS BIGINT), true
+        FROM r{i} JOIN t{i} t USING (read_id), (VALUES ('R'), ('L'), ('F')) AS v(way)
+        WHERE read_id NOT IN (SELECT read_id FROM solid{i})
+        UNION ALL
+        SELECT read_id, turn, way,
+            CASE WHEN trusted IS NOT NULL OR pick IS NULL OR over THEN work ELSE substring(work, 1, CAST(spot AS BIGINT)) || pick || substring(work, CAST(spot + 2 AS BIGINT)) END,
+            s + CASE WHEN way = 'R' THEN 1 ELSE -1 END, stop,
+            CASE WHEN trusted IS NOT NULL OR pick IS NULL THEN made WHEN over THEN list_append(made, struct_pack(spot := spot, base := pick))[: len(made) + 1 - n2] ELSE list_append(made, struct_pack(spot := spot, base := pick)) END,
+            CASE WHEN trusted IS NOT NULL OR pick IS NULL THEN first ELSE coalesce(first, spot) END,
+            CASE WHEN trusted IS NOT NULL OR pick IS NULL THEN anchor WHEN near THEN coalesce(anchor, spot) ELSE spot END,
+            CASE WHEN trusted IS NOT NULL OR pick IS NULL THEN n ELSE n2 END, step + 1, trusted IS NOT NULL OR (pick IS NOT NULL AND NOT over)
+        FROM (SELECT *, near AND n + 1 > {allowed} AS over, CASE WHEN near THEN n + 1 ELSE 0 END AS n2 FROM (
+            SELECT *, abs(spot - coalesce(anchor, spot)) < 16 AS near FROM (SELECT *, CAST(s + CASE WHEN way = 'R' THEN 15 ELSE 0 END AS BIGINT) AS spot FROM ({_judged(f"({walk})", "read_id, turn, way", state, 5 - allowed)}))))),
+    last{i} AS MATERIALIZED (SELECT read_id, turn, way, arg_max(made, step) AS made, max(first) AS first FROM walk{i} GROUP BY read_id, turn, way),
+    log{i} AS MATERIALIZED (
+        SELECT read_id, c.spot AS spot, c.base AS base, turn * 4000000 + CASE WHEN way = 'R' THEN 0 ELSE 2000000 END + j AS place FROM (
+            SELECT read_id, turn, way, unnest(made) AS c, generate_subscripts(made, 1) AS j
+            FROM last{i} JOIN (SELECT read_id, turn, first IS NOT NULL AS changed FROM last{i} WHERE way = 'R') USING (read_id, turn) WHERE way = 'R' OR way = CASE WHEN changed THEN 'F' ELSE 'L' END)),
+    fix{i} AS MATERIALIZED (SELECT read_id, spot, arg_max(base, place) AS base FROM log{i} GROUP BY read_id, spot),
+    {_rewritten(f"new{i}", f"t{i}", f"fix{i}")},
+    p{i} AS MATERIALIZED (
+        SELECT read_id, coalesce(new{i}.seq, t.seq) AS seq, CASE WHEN s.read_id IS NOT NULL THEN -1 ELSE coalesce(c.n, 0) END AS n
+        FROM t{i} t LEFT JOIN new{i} USING (read_id) LEFT JOIN solid{i} s USING (read_id) LEFT JOIN (SELECT read_id, count(*) AS n FROM log{i} GROUP BY read_id) c USING (read_id))"""
+
+
+def _vote(i: str, source: str) -> str:
+    """v (read_id, seq, most): the reads of `source` after the vote, and the most votes that one change had."""
+    return f"""s{i} AS MATERIALIZED (SELECT read_id, seq, {_ENCODED} AS enc FROM {source}),
+    g{i} AS (SELECT read_id, pos, substring(enc, CAST(pos + 1 AS BIGINT), 16) AS g FROM (SELECT read_id, enc, unnest(range(0, length(enc) - 15)) AS pos FROM s{i})),
+    m{i} AS (
+        SELECT read_id, pos + j AS spot, base, substring(g, 1, j) || base || substring(g, j + 2) AS g
+        FROM (SELECT read_id, pos, g, CAST(unnest(range(16)) AS INTEGER) AS j FROM g{i} WHERE {_canonical("g")} NOT IN (SELECT canonical FROM tr)), {_BASES} WHERE substring(g, j + 1, 1) <> base),
+    c{i} AS MATERIALIZED (SELECT read_id, spot, base, count(*) AS votes FROM m{i} JOIN tr ON tr.canonical = {_canonical("m" + i + ".g")} GROUP BY read_id, spot, base),
+    b{i} AS MATERIALIZED (SELECT *, max(votes) OVER (PARTITION BY read_id) AS most FROM c{i}),
+    won{i} AS MATERIALIZED (SELECT read_id, spot, max(base) AS base FROM b{i} WHERE votes = most AND most >= 3 GROUP BY read_id, spot HAVING count(*) <> 2),
+    {_rewritten(f"kept{i}", f"s{i}", f"won{i}")},
+    v{i} AS MATERIALIZED (
+        SELECT read_id, coalesce(k.seq, s.seq) AS seq, coalesce(most, 0) AS most FROM s{i} s LEFT JOIN kept{i} k USING (read_id) LEFT JOIN (SELECT read_id, any_value(most) AS most FROM b{i} GROUP BY read_id) USING (read_id))"""
+
+
+_WALKED = f"""{TRUSTED}, tr AS MATERIALIZED (SELECT canonical, multiplicity FROM trusted), live1 AS MATERIALIZED (SELECT read_id, seq FROM reads WHERE length(seq) >= 16)"""
+
+
+def _correction(rounds: int = 4) -> str:
+    """corrected (read_id, corrected): all reads after the whole correction."""
+    parts, ended = [_WALKED], []
+    for i in range(1, rounds + 1):
+        a, b = f"{i}a", f"{i}b"
+        parts += [_pass(a, f"live{i}", i, True), f"mid{i} AS MATERIALIZED (SELECT read_id, seq FROM p{a} WHERE n > 0)", _pass(b, f"mid{i}", i, False)]
+        parts += [f"open{i} AS MATERIALIZED (SELECT read_id, seq FROM p{a} WHERE n = 0 UNION ALL SELECT read_id, seq FROM p{b} WHERE n >= 0)", _vote(str(i), f"open{i}")]
+        parts += [f"live{i + 1} AS MATERIALIZED (SELECT read_id, seq FROM v{i} WHERE most > 0)"]
+        ended += [f"SELECT read_id, seq FROM p{a} WHERE n = -1", f"SELECT read_id, seq FROM p{b} WHERE n = -1", f"SELECT read_id, seq FROM v{i} WHERE most = 0"]
+    ended.append(f"SELECT read_id, seq FROM live{rounds + 1}")
+    parts.append(f"ended AS MATERIALIZED ({' UNION ALL '.join(ended)})")
+    parts.append("corrected AS MATERIALIZED (SELECT read_id, coalesce(e.seq, r.seq) AS corrected FROM reads r LEFT JOIN ended e USING (read_id))")
+    return ", ".join(parts)
+
+
+CORRECTED = _correction()
+
 ORACLE = {
     "reads_latest": f"WITH {READS} SELECT * FROM reads",
     "read_lengths_offsets": f"""WITH {READS}, o AS (SELECT read_id, coalesce(length(seq), 0) AS n, sum(coalesce(length(seq), 0)) OVER (ORDER BY read_id ROWS UNBOUNDED PRECEDING) AS e FROM reads)
@@ -141,6 +264,14 @@ ORACLE = {
         crowded AS (SELECT read_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY read_id, start) AS n FROM spread) WHERE n > 2)
         SELECT read_id, pos, base FROM won ANTI JOIN crowded USING (read_id, pos)""",
     "vote_diagnostics": f"WITH {CANDIDATES} SELECT count(DISTINCT read_id) AS reads, max(votes) AS most, CAST(sum(votes) AS BIGINT) AS votes FROM votes",
+    "correct_reads_full": f"WITH RECURSIVE {CORRECTED} SELECT read_id, header, qual, corrected FROM corrected JOIN reads USING (read_id)",
+    "corrections_made": f"""WITH RECURSIVE {CORRECTED},
+        d AS (SELECT run_id, len(list_filter(range(1, length(seq) + 1), lambda i: substring(seq, i, 1) <> substring(corrected, i, 1))) AS n FROM corrected JOIN reads USING (read_id) WHERE seq IS NOT NULL)
+        SELECT run_id, count(*) AS n_reads, count(*) FILTER (n > 0) AS reads_changed, CAST(sum(n) AS BIGINT) AS bases_changed FROM d GROUP BY run_id""",
+    "tp_fp_fn_full": f"""WITH RECURSIVE {CORRECTED}, {PARSED},
+        t AS (SELECT p.seq AS r, reads.seq AS o, corrected AS c, unnest(range(1, least(length(p.seq), length(reads.seq), length(corrected)) + 1)) AS i FROM reads JOIN corrected USING (read_id) JOIN parsed p USING (read_id) WHERE reads.seq IS NOT NULL AND p.seq IS NOT NULL),
+        s AS (SELECT substring(r, i, 1) AS r, substring(o, i, 1) AS o, substring(c, i, 1) AS c FROM t)
+        SELECT count(*) FILTER (o <> r AND c = r) AS tp, count(*) FILTER (o = r AND c <> r) AS fp, count(*) FILTER (o <> r AND c <> r) AS fn FROM s""",
     "solid_changes": f"""WITH {TWO_SIDED},
         win2 AS (SELECT read_id, i - 1 AS pos, substring(s, i, 16) AS kmer FROM (SELECT read_id, s, unnest(range(1, length(s) - 14)) AS i FROM (SELECT read_id, translate(seq, 'NWKSYMR', 'AAAAAAA') AS s FROM fixed WHERE length(seq) >= 16))),
         hit2 AS (SELECT read_id, pos FROM win2 WHERE regexp_full_match(kmer, '[ACGT]+') AND least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) IN (SELECT canonical FROM trusted)),
