@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-KEYS_A_BLOCK, COLUMNS = 512, 640
+KEYS_A_BLOCK, COLUMNS, FIRST = 512, 640, 6
 _U = np.uint64
 
 
@@ -80,19 +80,24 @@ class Ribbon:
                 self.words[:, :, i // 64] = state.T
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        """For each key, whether it is (or, rarely, seems) in the set."""
+        """For each key, whether it is (or, rarely, seems) in the set. FIRST bits one by one, as most absent keys fail there, the rest at once."""
         out = np.zeros(len(keys), bool)
-        if not self.size:
+        if not self.size or not len(keys):
             return out
         block, start, band, print_ = self._equation(keys)
         left = np.arange(len(keys))
         at = block * (COLUMNS // 64 + 1) + (start >> 6)
         low = (start & 63).astype(_U)
-        for j in range(self.bits):
-            w = self.words[j].reshape(-1)
+        words = self.words.reshape(self.bits, -1)
+        for j in range(min(FIRST, self.bits)):
+            w = words[j]
             window = (w[at] >> low) | ((w[at + 1] << _U(1)) << (_U(63) - low))
             same = (np.bitwise_count(window & band) & 1) == ((print_ >> _U(j)) & _U(1))
             left, at, low, band, print_ = left[same], at[same], low[same], band[same], print_[same]
+        if len(left) and self.bits > FIRST:
+            window = (words[FIRST:, at] >> low) | ((words[FIRST:, at + 1] << _U(1)) << (_U(63) - low))
+            bit = (print_ >> np.arange(FIRST, self.bits, dtype=_U)[:, None]) & _U(1)
+            left = left[((np.bitwise_count(window & band) & 1) == bit).all(0)]
         out[left] = True
         if len(self.bumped):
             i = np.searchsorted(self.bumped, keys)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.ribbon import Ribbon
 
-BITS, SEAL, GROW, GENERATION_ROWS, MOST_GENERATIONS, AUDIT_KEYS = 32, 1 << 12, 4, 512, 4096, 20_000
+BITS, SEAL, GROW, ASK, GENERATION_ROWS, MOST_GENERATIONS, AUDIT_KEYS = 32, 1 << 12, 4, 16, 512, 4096, 20_000
 PACKET_ROWS = 200
 
 
@@ -138,24 +138,41 @@ def _generations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int,
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch], bits: int, seal: int, shards: int, audit: bool) -> Iterator[pa.RecordBatch]:
-    now, state = None, None
-    for shard, generation, keys, arrivals, places in _generations(batches):
-        if generation < 0:
-            a, p = arrivals, places
-        else:
-            if shard != now:
-                if audit and state:
-                    yield _audited(state.audit(now, shards))
-                now, state = shard, Shard(bits, seal)
-            o = np.lexsort((places, arrivals))
-            keys, arrivals, places = keys.view(np.uint64)[o], arrivals[o], places[o]
-            order, first = _split(keys)
-            firsts = order[first]
-            old = np.r_[order[~first], firsts[~state.new_among(keys[firsts])]]
-            a, p = arrivals[old], places[old]
+    """Generations are asked about together until they hold SEAL keys, or an ASK-th of all so far: their own repeats are found by sorting."""
+    now, state, waiting, size = None, None, [], 0
+
+    def asked() -> Iterator[pa.RecordBatch]:
+        if not waiting:
+            return
+        keys, arrivals, places = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        o = np.lexsort((places, arrivals))
+        keys, arrivals, places = keys.view(np.uint64)[o], arrivals[o], places[o]
+        order, first = _split(keys)
+        firsts = order[first]
+        old = np.r_[order[~first], firsts[~state.new_among(keys[firsts])]]
+        yield from given(arrivals[old], places[old])
+
+    def given(a: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not audit:
             for i in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000], pa.int64()), pa.array(p[i : i + 50_000], pa.int32())], names=["arrival_no", "pos"])
+
+    for shard, generation, keys, arrivals, places in _generations(batches):
+        if generation < 0:
+            yield from given(arrivals, places)
+            continue
+        if shard != now:
+            yield from asked()
+            if audit and state:
+                yield _audited(state.audit(now, shards))
+            now, state, size = shard, Shard(bits, seal), 0
+        waiting.append((keys, arrivals, places))
+        size += len(keys)
+        if size >= max(seal, state.keys // ASK):
+            yield from asked()
+            size = 0
+    yield from asked()
     if audit and state:
         yield _audited(state.audit(now, shards))
 
