@@ -134,10 +134,10 @@ def counters(sketch: DataFrame) -> DataFrame:
     return sketch.where("kind = 1").select(F.col("place").alias("cell"), "n").unionByName(fallen).groupBy("cell").agg(F.sum("n").alias("below"))
 
 
-def merged(sketch: DataFrame) -> DataFrame:
-    """(value, lower, upper) of the residents of the merged sketch, at most BUCKETS * SLOTS rows."""
+def merged(sketch: DataFrame, light: DataFrame | None = None) -> DataFrame:
+    """(value, lower, upper) of the residents of the merged sketch, at most BUCKETS * SLOTS rows. `light`: its counters, if they are at hand."""
     tasks = sketch.where("kind = 2").agg(F.count("*").alias("tasks")).scalar()
-    both = _ranked(sketch).where(f"rank <= {SLOTS}").join(counters(sketch), "cell", "left")
+    both = _ranked(sketch).where(f"rank <= {SLOTS}").join(counters(sketch) if light is None else light, "cell", "left")
     upper = F.col("n") + F.when(F.col("whole") < tasks, F.coalesce("below", F.lit(0))).otherwise(0)
     return both.select("value", F.col("n").alias("lower"), upper.alias("upper"))
 
@@ -149,11 +149,12 @@ def most_frequent(df: DataFrame, value: str, weight: str | None, top: int) -> Da
     lower bound is at least every counter and the upper bound of every other resident.
     """
     sketch = heavy_light(df, value, weight)
-    residents = stage(merged(sketch), "heavy-residents")
+    light = stage(counters(sketch), "heavy-counters")
+    residents = stage(merged(sketch, light), "heavy-residents")
     turn = F.row_number().over(Window.orderBy(F.desc("lower"), "value"))  # at most BUCKETS * SLOTS rows
     ranked = residents.withColumn("turn", turn)
     others = ranked.where(F.col("turn") > top).agg(F.coalesce(F.max("upper"), F.lit(0)).alias("m")).scalar()
-    unheld = counters(sketch).agg(F.coalesce(F.max("below"), F.lit(0)).alias("m")).scalar()
+    unheld = light.agg(F.coalesce(F.max("below"), F.lit(0)).alias("m")).scalar()
     rows = ranked.where(F.col("turn") <= top).select("value", F.col("lower").alias("estimate"), "lower", "upper", (F.col("lower") >= F.greatest(others, unheld)).alias("certain"))
     return rows.orderBy(F.desc("estimate"), "value")
 
@@ -168,8 +169,9 @@ def at_least_share(df: DataFrame, value: str, weight: str | None, share_per_mill
     """
     sketch = heavy_light(df, value, weight)
     least = total_of(sketch).scalar() * share_per_mille
-    candidates = merged(sketch).where(F.col("upper") * 1000 >= least).select(F.col("value").alias("v"), F.lit(True).alias("listed"))
-    crowded = stage(counters(sketch).where(F.col("below") * 1000 >= least).select("cell", F.lit(True).alias("crowded")), "heavy-cells")
+    light = stage(counters(sketch), "heavy-counters")
+    candidates = merged(sketch, light).where(F.col("upper") * 1000 >= least).select(F.col("value").alias("v"), F.lit(True).alias("listed"))
+    crowded = light.where(F.col("below") * 1000 >= least).select("cell", F.lit(True).alias("crowded"))
     w = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1)
     rows = df.select(F.col(value).cast("string").alias("v"), w.alias("w")).where("v is not null")
     if crowded.isEmpty():
