@@ -40,3 +40,20 @@ def unique_rate(alignments: DataFrame) -> DataFrame:
 def mapped_with_errors(alignments: DataFrame) -> DataFrame:
     """One row (n): mapped alignments whose edit distance is over 0."""
     return alignments.agg(F.count_if(((F.col("flag").bitwiseAND(4)) == 0) & (F.col("nm") > 0)).alias("n"))
+
+
+def aligned_confusion(pairs: DataFrame) -> DataFrame:
+    """One row (tp, fp, fn) over the places of the reference that both alignments of a read cover.
+
+    `pairs` has the arrays of places `original_at` and `corrected_at`, the starts and seqs of both (original_start, ...),
+    and `reference`, the stretch that the original covers. A base lies as far into its seq as its place is behind the
+    start, so gaps and clipped ends shift it; what falls outside a seq or the stretch doesn't count.
+    """
+    each = pairs.select("*", F.explode(F.array_intersect("original_at", "corrected_at")).alias("place"))
+    i, j = F.col("place") - F.col("original_start"), F.col("place") - F.col("corrected_start")
+    size = F.length("reference")
+    inside = (i >= 0) & (i < F.length("original")) & (i < size) & (j >= 0) & (j < F.length("corrected")) & (j < size)
+    at = lambda c, k: F.substring(c, k + 1, F.lit(1))
+    rows = each.where(inside).select(at("reference", i).alias("r"), at("original", i).alias("o"), at("corrected", j).alias("c"))
+    wrong, right = F.col("o") != F.col("r"), F.col("c") == F.col("r")
+    return rows.agg(F.count_if(wrong & right).alias("tp"), F.count_if(~wrong & ~right).alias("fp"), F.count_if(wrong & ~right).alias("fn"))

@@ -39,6 +39,21 @@ def candidates(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame
     return weak.join(neighbours(spectrum, k), "forward").select("read_id", (F.col("start") + F.col("at")).alias("pos"), "base", "start", "multiplicity")
 
 
+def best_of_kmer(reads: DataFrame, spectrum: DataFrame, last_wins: bool = False, k: int = B.K) -> DataFrame:
+    """(read_id, start, pos, base, multiplicity): for each place of an untrusted k-mer the change to the most frequent trusted one.
+
+    Of equal ones the first in the order of the k-mer's canonical strand, so the last letter where the other strand is
+    the smaller one (or the same); with `last_wins` the last letter of the alphabet.
+    """
+    kmer = F.col("kmer")
+    weak = untrusted(reads, spectrum, k).select("read_id", F.col("pos").alias("start"), "forward", (B.reverse_complement(kmer) <= kmer).alias("backward"))
+    found = weak.join(neighbours(spectrum, k), "forward")
+    letter = F.ascii("base")
+    rank = letter if last_wins else F.when(F.col("backward"), letter).otherwise(-letter)
+    best = F.max(F.struct("multiplicity", rank.alias("rank"), "base")).alias("best")
+    return found.groupBy("read_id", "start", (F.col("start") + F.col("at")).alias("pos")).agg(best).select("read_id", "start", "pos", "best.base", "best.multiplicity")
+
+
 def votes(found: DataFrame) -> DataFrame:
     """(read_id, pos, base, votes): how many untrusted k-mers a change would make trusted."""
     return found.groupBy("read_id", "pos", "base").agg(F.count("*").alias("votes"))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +34,16 @@ class Spectrum:
     """Trusted k-mers as sorted keys with their multiplicities."""
 
     def __init__(self, keys: np.ndarray, multiplicity: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.multiplicity = keys[order], multiplicity[order]
+        if len(keys) and (np.diff(keys) < 0).any():
+            order = np.argsort(keys)
+            keys, multiplicity = keys[order], multiplicity[order]
+        self.keys, self.multiplicity = keys, multiplicity
 
     def many(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(keys), np.int64)
         i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[i] == keys, self.multiplicity[i], 0)
+        return np.where(self.keys[i] == keys, self.multiplicity[i].astype(np.int64), 0)
 
 
 class Unknown(Exception):
@@ -259,22 +262,42 @@ def _schema(df: DataFrame, keep: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
 
+def _shared(spectrum: DataFrame) -> Broadcast:
+    """The spectrum as two arrays for the tasks, sorted here once."""
+    table = spectrum.toArrow()
+    keys, multiplicity = table["key"].to_numpy(), table["multiplicity"].to_numpy()
+    order = np.argsort(keys)
+    return spectrum.sparkSession.sparkContext.broadcast((keys[order], multiplicity[order].astype(np.uint8)))
+
+
 def corrected(reads: DataFrame, trusted: DataFrame, keep: list[str], k: int = B.K) -> DataFrame:
     """(keep, corrected): reads after the correction; no shuffle of the reads.
 
     Null reads stay null, reads shorter than k and reads whose every base is solid stay as they are, so do all letters
     that need no change. `trusted` (key, multiplicity) is sent to the tasks if it has no more than BROADCAST_KMERS rows
-    (12 bytes each); a larger one is asked by joins.
+    (9 bytes each); a larger one is asked by joins.
     """
-    spark = reads.sparkSession
     spectrum = stage(trusted.select("key", F.col("multiplicity").cast("int").alias("multiplicity")), "spectrum")
     if spectrum.count() > BROADCAST_KMERS:
         return corrected_by_joins(reads, spectrum, keep, k)
-    table = spectrum.toArrow()
-    shared = spark.sparkContext.broadcast((table["key"].to_numpy(), table["multiplicity"].to_numpy()))
+    shared = _shared(spectrum)
     return reads.select(*keep, "seq").mapInArrow(lambda b: _correct(b, k, lambda: Spectrum(*shared.value)), f"{_schema(reads, keep)}, corrected STRING")
 
 
+def pass_codes(reads: DataFrame, trusted: DataFrame, keep: list[str], k: int = B.K) -> DataFrame:
+    """(keep, code) of the first pass over reads of k letters or more: -1 if every base is solid, else the number of changes it logs."""
+    shared = _shared(stage(trusted.select("key", F.col("multiplicity").cast("int").alias("multiplicity")), "spectrum"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spectrum = Spectrum(*shared.value)
+        for batch in batches:
+            logs = [Read(s, k, spectrum).one_sided(1, ROUNDS, True) for s in batch.column(batch.num_columns - 1).to_pylist()]
+            codes = pa.array([-1 if log is None else len(log) for log in logs], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], codes], names=[*batch.schema.names[:-1], "code"])
+
+    return reads.where(F.length("seq") >= k).select(*keep, "seq").mapInArrow(run, f"{_schema(reads, keep)}, code INT")
+
+
 def _attempt(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seqs, known = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 VERSION = ["loaded_at", "seq", "qual", "header", "sequenced_at", "run_id", "sample_id", "lane"]
-BLOCK = 1 << 16
+BLOCK, FAN, LEVELS = 1 << 16, 1 << 16, 2
 
 
 def latest(seq_reads: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -22,17 +22,35 @@ def latest(seq_reads: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return seq_reads.where(F.col("read_id").isNotNull()).groupBy("read_id").agg(best).select("read_id", *(f"r.{c}" for c in named))
 
 
+def _before_blocks(sums: DataFrame) -> DataFrame:
+    """(_block, _before): what all blocks before a block sum up to. Blocks of blocks of FAN each, so no window holds more than FAN rows, however sparse the keys."""
+    levels, upto = [sums], Window.partitionBy("_up").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(LEVELS):
+        up = levels[-1].groupBy(F.floor(F.col("_block") / FAN).alias("_block")).agg(F.sum("_sum").alias("_sum"))
+        levels.append(up)
+    before = None
+    for level in reversed(levels):
+        placed = level.withColumn("_up", F.floor(F.col("_block") / FAN))
+        if before is None:  # the topmost level: 2 ** 63 keys are fewer than FAN blocks there
+            placed = placed.withColumn("_up", F.lit(0).cast("long"))
+        inside = placed.select("_block", "_up", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_inside"))
+        if before is None:
+            before = inside.select("_block", F.col("_inside").alias("_before"))
+        else:
+            outer = before.select(F.col("_block").alias("_up"), F.col("_before").alias("_outer"))
+            before = inside.join(outer, "_up").select("_block", (F.col("_inside") + F.col("_outer")).alias("_before"))
+    return before
+
+
 def with_running(df: DataFrame, key: str, value: str | None = None, into: str = "before", block: int = BLOCK) -> DataFrame:
     """Add the number of rows (or the sum of `value`, nulls as 0) before each row, in the order of the whole-number `key`.
 
-    In two steps, so that no task sees more than the rows of one block of keys: sums of the blocks, added up over the few
+    In steps, so that no task sees more than the rows of one block of keys: sums of the blocks, added up over blocks of
     blocks, and the order within each block. Rows with equal keys come in the order of `value`. `key` must not be null.
     """
     rows = df.withColumn("_block", F.floor(F.col(key) / block))
     v = F.coalesce(F.col(value).cast("long"), F.lit(0)) if value else F.lit(1).cast("long")
-    sums = rows.groupBy("_block").agg(F.sum(v).alias("_sum"))
-    upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_block", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
+    offsets = _before_blocks(rows.groupBy("_block").agg(F.sum(v).alias("_sum")))
     order = [key, value] if value else [key]
     inside = F.coalesce(F.sum(v).over(Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_inside", inside).join(offsets, "_block").withColumn(into, F.col("_before") + F.col("_inside")).drop("_block", "_before", "_inside")

@@ -119,7 +119,10 @@ def parse_one(line: str | None) -> tuple:
 
 
 def parse_many(text: str | None) -> list[tuple]:
-    """(start, then as parse_one) of each record of a stream; empty lines between records are no records."""
+    """(start, then as parse_one, resumed_at) of each record of a stream; empty lines between records are no records.
+
+    resumed_at is where reading goes on after a broken quote: all from start to there belongs to that fault; else null.
+    """
     text = (text or "").replace("\r\n", "\n")
     grammar, at, out = Grammar(text, True), 0, []
     while at < grammar.size:
@@ -129,10 +132,10 @@ def parse_many(text: str | None) -> list[tuple]:
         try:
             fields, end = grammar.record(at)
             reason, column = fault_of(fields)
-            out.append((at, *_row(fields, reason, -1 if reason is None else at, column)))
+            out.append((at, *_row(fields, reason, -1 if reason is None else at, column), None))
         except SyntaxFault as e:
             end = grammar.anchor(at)
-            out.append((at, *_row(None, "quoting", e.at, -1)))
+            out.append((at, *_row(None, "quoting", e.at, -1), end))
         at = end
     return out
 
@@ -170,20 +173,30 @@ def load_records(df: DataFrame, line: str = "raw_line", into: str = "parsed") ->
     return parsed.where(F.col(f"{into}.reason").isNull()), parsed.where(F.col(f"{into}.reason").isNotNull())
 
 
+def as_streams(df: DataFrame, file: str, number: str, tie: str, line: str, lines: int = 64) -> DataFrame:
+    """(`file`, block, body): the lines of each file put together again, `lines` line numbers a text, so that no file is one row.
+
+    Lines come in the order of `number`, then `tie`; a null line is an empty one, a null number comes first in a block of its own.
+    """
+    of_block = F.array_sort(F.collect_list(F.struct(F.col(number).alias("a"), F.col(tie).alias("b"), F.coalesce(F.col(line), F.lit("")).alias("c"))))
+    grouped = df.groupBy(file, F.floor(F.col(number) / lines).alias("block")).agg(of_block.alias("held"))
+    return grouped.select(file, "block", F.array_join("held.c", "\n").alias("body"))
+
+
 def parse_streams(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """One row per record of the texts in column `text`, with the columns `keep`, record_start and those of PARSED.
+    """One row per record of the texts in column `text`, with the columns `keep`, record_start, those of PARSED and resumed_at.
 
     A syntax error becomes one row with reason `quoting` and its place; reading goes on at the next validated record
-    start. Null and empty texts give no rows.
+    start, resumed_at (null for all other rows). Null and empty texts give no rows.
     """
-    named = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "record_start INT", PARSED])
+    named = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "record_start INT", PARSED, "resumed_at INT"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [parse_many(t) for t in b.column(0).to_pylist()]
             at = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
-            rows = _structs([r for rows in found for r in rows], ["record_start", *_NAMES], [pa.int32(), *(f.type for f in _TYPE)])
+            rows = _structs([r for rows in found for r in rows], ["record_start", *_NAMES, "resumed_at"], [pa.int32(), *(f.type for f in _TYPE), pa.int32()])
             kept = [b.column(i + 1).take(at) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, *rows.flatten()], names=[*keep, "record_start", *_NAMES])
+            yield pa.RecordBatch.from_arrays([*kept, *rows.flatten()], names=[*keep, "record_start", *_NAMES, "resumed_at"])
 
     return df.select(F.col(text).alias("_text"), *keep).mapInArrow(run, named)

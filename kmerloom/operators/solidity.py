@@ -53,9 +53,10 @@ def ranked_regions(regions: DataFrame, longest_first: bool) -> DataFrame:
     return regions.withColumn("turn", F.row_number().over(Window.partitionBy("read_id").orderBy(span, "lo")))
 
 
-def all_solid(solids: DataFrame) -> DataFrame:
-    """(read_id, all_solid)."""
-    return solids.groupBy("read_id").agg(F.bool_and("solid").alias("all_solid"))
+def all_solid(solids: DataFrame, reads: DataFrame | None = None) -> DataFrame:
+    """(read_id, all_solid). Empty reads have no base that isn't solid; they are among `solids` only by `reads`. Null reads have no row."""
+    told = solids.groupBy("read_id").agg(F.bool_and("solid").alias("all_solid"))
+    return told if reads is None else told.unionByName(reads.where("seq = ''").select("read_id", F.lit(True).alias("all_solid")))
 
 
 def diagnostics(solids: DataFrame) -> DataFrame:

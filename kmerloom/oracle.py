@@ -201,6 +201,67 @@ def _correction(rounds: int = 4) -> str:
 
 CORRECTED = _correction()
 
+_STEPS = f"""{_WALKED}, {_regions("x", "live1", True)},
+    tips AS (
+        SELECT read_id, lo, toright, enc AS work, CASE WHEN toright THEN hi + 1 ELSE lo - 1 END AS s
+        FROM rx JOIN tx USING (read_id), (VALUES (true), (false)) AS v(toright)
+        WHERE CASE WHEN toright THEN hi + 1 <= n - 16 AND (behind IS NULL OR hi + 16 < behind) ELSE lo >= 1 AND (before IS NULL OR lo - 1 > before + 15) END)"""
+_CONFIRMED = f"""{_STEPS}, told AS (
+        SELECT read_id, lo, toright, any_value(spot) AS pos, base, max(m) FILTER (q = s) AS multiplicity, coalesce(bool_and(m IS NOT NULL) FILTER (q <> s), true) AS confirmed
+        FROM (SELECT x.*, tr.multiplicity AS m FROM ({_tests("tips", 4)}) x LEFT JOIN tr ON tr.canonical = {_canonical("x.g")}) WHERE base <> '' GROUP BY read_id, lo, toright, base)
+    SELECT read_id, lo, CAST(pos AS INTEGER) AS pos, base, multiplicity, confirmed FROM told WHERE multiplicity IS NOT NULL"""
+_CODES = f"{_WALKED}, {_pass('x', 'live1', 1, True)}"
+
+
+def _best_of_kmer(rank: str) -> str:
+    return f"""WITH {CANDIDATES}, k AS (
+            SELECT m.read_id, m.start, m.pos, m.base, t.multiplicity, CASE WHEN {rank} THEN ascii(m.base) ELSE -ascii(m.base) END AS rank
+            FROM (SELECT *, {_canonical("m")} AS canonical FROM mutants) m JOIN trusted t USING (canonical) JOIN weak w ON w.read_id = m.read_id AND w.pos = m.start)
+        SELECT read_id, start, pos, base, multiplicity FROM (SELECT *, row_number() OVER (PARTITION BY read_id, start, pos ORDER BY multiplicity DESC, rank DESC) AS turn FROM k) WHERE turn = 1"""
+
+
+def _two_sided_round(i: str, source: str) -> str:
+    """fixed (read_id, seq): the reads of `source` after one more round of the two-sided fix."""
+    return f"""tw{i} AS MATERIALIZED (SELECT read_id, seq, length(seq) AS n, translate(seq, 'NWKSYMR', 'AAAAAAA') AS enc FROM {source} WHERE length(seq) >= 16),
+    hw{i} AS MATERIALIZED (SELECT DISTINCT read_id, pos FROM (SELECT read_id, pos, substring(enc, CAST(pos + 1 AS BIGINT), 16) AS g FROM (SELECT read_id, enc, unnest(range(0, n - 15)) AS pos FROM tw{i})) x JOIN tr2 ON tr2.canonical = {_canonical("x.g")}),
+    ow{i} AS (SELECT read_id, enc, n, p FROM (SELECT read_id, enc, n, unnest(range(n)) AS p FROM tw{i}) x WHERE NOT EXISTS (SELECT 1 FROM hw{i} h WHERE h.read_id = x.read_id AND h.pos BETWEEN x.p - 15 AND x.p)),
+    yw{i} AS (
+        SELECT read_id, p, base, substring(t, CAST(least(p, n - 16) + 1 AS BIGINT), 16) AS r, substring(t, CAST(greatest(p - 15, 0) + 1 AS BIGINT), 16) AS l
+        FROM (SELECT *, substring(enc, 1, CAST(p AS BIGINT)) || base || substring(enc, CAST(p + 2 AS BIGINT)) AS t FROM ow{i}, {_BASES} WHERE substring(enc, CAST(p + 1 AS BIGINT), 1) <> base)),
+    zw{i} AS (SELECT read_id, p, min(base) AS base FROM yw{i} JOIN tr2 a ON a.canonical = {_canonical("r")} JOIN tr2 b ON b.canonical = {_canonical("l")} GROUP BY read_id, p HAVING count(*) = 1),
+    fw{i} AS (SELECT read_id, min(p) AS p, arg_min(base, p) AS base FROM zw{i} GROUP BY read_id),
+    fixed{i} AS MATERIALIZED (SELECT read_id, CASE WHEN p IS NULL THEN seq ELSE substring(seq, 1, CAST(p AS BIGINT)) || base || substring(seq, CAST(p + 2 AS BIGINT)) END AS seq FROM {source} LEFT JOIN fw{i} USING (read_id))"""
+
+
+_TWICE = f"{TWO_SIDED}, tr2 AS MATERIALIZED (SELECT canonical FROM trusted), {_two_sided_round('2', 'fixed')}"
+_WRITTEN = f"""stored AS ({READS.removeprefix("reads AS (").rstrip()[:-1]}),
+    reads AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY read_id) - 1 AS ordinal, read_id, regexp_replace(coalesce(header, ''), '[\r\n]', ' ', 'g') AS header, coalesce(seq, '') AS seq, coalesce(qual, '') AS qual
+        FROM stored WHERE length(coalesce(seq, '')) = length(coalesce(qual, '')))"""
+_SUFFIX = "CASE WHEN regexp_matches(split_part(header, ' ', 1), '(^|[.-])[0-9]{1,18}$') THEN CAST(regexp_extract(split_part(header, ' ', 1), '[0-9]+$') AS BIGINT) - 1 END"
+_STREAM_FIELD = '(?:"(?:[^"]|"")*"|[^",\\n]*)'
+_STREAM_HEAD = '(?:@(?:[!#-+\\x2d-~][^",\\n]*)?,|"@(?:[!#-~]|"")(?:[^"]|"")*",|"@",)'
+_STREAMS = f"""blocks AS (
+        SELECT raw_file, CAST(floor(line_no / 64) AS BIGINT) AS block, replace(string_agg(coalesce(raw_line, ''), chr(10) ORDER BY line_no NULLS FIRST, record_id NULLS FIRST), chr(13) || chr(10), chr(10)) AS body
+        FROM raw_records GROUP BY raw_file, block),
+    walk(raw_file, block, body, record_start, rec, resumed_at, pos) AS (
+        SELECT raw_file, block, body, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(0 AS BIGINT) FROM blocks
+        UNION ALL
+        SELECT raw_file, block, body, a, rec, CASE WHEN ok THEN NULL ELSE least(a + coalesce(jump, length(rest)), length(body)) END, a + CASE WHEN ok THEN length(rec) ELSE coalesce(jump, length(rest)) END
+        FROM (
+            SELECT *, CASE WHEN ok THEN regexp_extract(rest, '(?s)^({_STREAM_FIELD}(?:,{_STREAM_FIELD})*)(?:\n|\\z)', 1) END AS rec,
+                CASE WHEN NOT ok AND regexp_matches(rest, '(?s)\n{_STREAM_HEAD}{_STREAM_FIELD},{_STREAM_FIELD}(?:\n|\\z)') THEN length(regexp_extract(rest, '(?s)^(.*?)\n{_STREAM_HEAD}{_STREAM_FIELD},{_STREAM_FIELD}(?:\n|\\z)', 1)) + 1 END AS jump
+            FROM (
+                SELECT *, regexp_matches(rest, '(?s)^{_STREAM_FIELD}(?:,{_STREAM_FIELD})*(?:\n|\\z)') AS ok
+                FROM (SELECT raw_file, block, body, pos + length(regexp_extract(substring(body, pos + 1), '^\n*')) AS a, substring(body, pos + length(regexp_extract(substring(body, pos + 1), '^\n*')) + 1) AS rest FROM walk)
+                WHERE rest <> ''))),
+    split AS (SELECT raw_file, block, record_start, rec, resumed_at, regexp_full_match(rec, '(?s){_THREE}') AS three, {", ".join(f"regexp_extract(rec, '(?s)^{_THREE}\\z', {i}) AS f{i}" for i in (1, 2, 3))} FROM walk WHERE record_start IS NOT NULL),
+    typed AS (SELECT *, {", ".join(f"{_VALUE.format(f'f{i}')} AS {n}" for i, n in ((1, "header"), (2, "seq"), (3, "quality")))} FROM split),
+    judged AS (
+        SELECT *, CASE WHEN resumed_at IS NOT NULL THEN 'quoting' WHEN NOT three THEN 'columns' WHEN NOT regexp_matches(header, '\\A@[!-~]') THEN 'header'
+            WHEN NOT regexp_full_match(seq, '[ACGTN]+') THEN 'seq' WHEN NOT regexp_full_match(quality, '[!-~]+') THEN 'quality' WHEN length(seq) <> length(quality) THEN 'length' END AS reason FROM typed)"""
+_MAPPED = "coalesce(length(seq), 0) > 0"
+
 ORACLE = {
     "reads_latest": f"WITH {READS} SELECT * FROM reads",
     "read_lengths_offsets": f"""WITH {READS}, o AS (SELECT read_id, coalesce(length(seq), 0) AS n, sum(coalesce(length(seq), 0)) OVER (ORDER BY read_id ROWS UNBOUNDED PRECEDING) AS e FROM reads)
@@ -247,7 +308,7 @@ ORACLE = {
         FROM (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS run FROM solids WHERE solid) GROUP BY read_id, run HAVING count(*) >= 16""",
     "regions_ping_order": f"WITH {REGIONS} SELECT read_id, lo, hi, span, CAST(row_number() OVER (PARTITION BY read_id ORDER BY span DESC, lo) AS INTEGER) AS turn FROM regions",
     "regions_pong_order": f"WITH {REGIONS} SELECT read_id, lo, hi, span, CAST(row_number() OVER (PARTITION BY read_id ORDER BY span, lo) AS INTEGER) AS turn FROM regions",
-    "all_solid_reads": f"WITH {SOLID} SELECT read_id, bool_and(solid) AS all_solid FROM solids GROUP BY read_id",
+    "all_solid_reads": f"WITH {SOLID} SELECT read_id, bool_and(solid) AS all_solid FROM solids GROUP BY read_id UNION ALL SELECT read_id, true FROM reads WHERE seq = ''",
     "solid_diagnostics": f"""WITH {SOLID}, per AS (SELECT read_id, count(*) AS n, count(*) FILTER (solid) AS s FROM solids GROUP BY read_id)
         SELECT count(*) AS reads, CAST(coalesce(sum(n), 0) AS BIGINT) AS bases, CAST(coalesce(sum(s), 0) AS BIGINT) AS solid_bases, count(*) FILTER (s < n) AS error_reads, CAST(coalesce(sum(n - s), 0) AS BIGINT) AS unsolid_bases FROM per""",
     "mutation_candidates": f"WITH {CANDIDATES} SELECT read_id, pos, base, start, multiplicity FROM candidates",
@@ -264,6 +325,32 @@ ORACLE = {
         crowded AS (SELECT read_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY read_id, start) AS n FROM spread) WHERE n > 2)
         SELECT read_id, pos, base FROM won ANTI JOIN crowded USING (read_id, pos)""",
     "vote_diagnostics": f"WITH {CANDIDATES} SELECT count(DISTINCT read_id) AS reads, max(votes) AS most, CAST(sum(votes) AS BIGINT) AS votes FROM votes",
+    "best_alternative_strand": _best_of_kmer(f"{_rc('w.kmer')} <= w.kmer"),
+    "best_alternative_last": _best_of_kmer("true"),
+    "lookahead_confirmed": f"WITH {_CONFIRMED} AND toright",
+    "lookbehind_confirmed": f"WITH {_CONFIRMED} AND NOT toright",
+    "one_sided_first_step": f"""WITH {_STEPS} SELECT read_id, lo, toright AS to_right, CAST(s + CASE WHEN toright THEN 15 ELSE 0 END AS INTEGER) AS pos, pick AS base
+        FROM ({_judged("tips", "read_id, lo, toright", "s, work", 4)}) WHERE pick IS NOT NULL""",
+    "one_sided_codes": f"WITH RECURSIVE {_CODES} SELECT read_id, CAST(n AS INTEGER) AS code FROM px",
+    "one_sided_report": f"""WITH RECURSIVE {_CODES} SELECT count(*) FILTER (n = -1) AS all_solid, count(*) FILTER (n = 0) AS unchanged, count(*) FILTER (n > 0) AS changed, CAST(coalesce(sum(n) FILTER (n > 0), 0) AS BIGINT) AS changes FROM px""",
+    "two_sided_applied_twice": f"WITH {_TWICE} SELECT read_id, seq FROM fixed2",
+    "tp_fp_fn_twice": f"""WITH {_TWICE}, {PARSED},
+        t AS (SELECT p.seq AS r, reads.seq AS o, fixed2.seq AS c, unnest(range(1, least(length(p.seq), length(reads.seq), length(fixed2.seq)) + 1)) AS i FROM reads JOIN fixed2 USING (read_id) JOIN parsed p USING (read_id) WHERE reads.seq IS NOT NULL AND p.seq IS NOT NULL),
+        s AS (SELECT substring(r, i, 1) AS r, substring(o, i, 1) AS o, substring(c, i, 1) AS c FROM t)
+        SELECT count(*) FILTER (o <> r AND c = r) AS tp, count(*) FILTER (o = r AND c <> r) AS fp, count(*) FILTER (o <> r AND c <> r) AS fn FROM s""",
+    "fastq_range": f"WITH {_WRITTEN} SELECT ordinal, header, seq, qual FROM reads WHERE ordinal BETWEEN 250 AND 749",
+    "correct_fastq": f"WITH RECURSIVE {CORRECTED.replace(READS, _WRITTEN)} SELECT ordinal, header, corrected AS seq, qual FROM corrected JOIN reads USING (read_id)",
+    "fastq_by_suffix": f"""WITH {_WRITTEN}, o AS (SELECT read_id AS row_index, max(reads) AS other FROM parse_results WHERE reads IS NOT NULL GROUP BY read_id)
+        SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, header, other AS seq, qual FROM (SELECT *, {_SUFFIX} AS row_index FROM reads) JOIN o USING (row_index) WHERE length(other) = length(qual)""",
+    "sam_rates": f"""WITH {READS}, a AS (SELECT {_MAPPED} AS mapped, CASE WHEN coalesce(qual, '') = '' THEN 0 ELSE greatest(ascii(qual) - 33, 0) END AS mapq, length(regexp_replace(seq, '[ACGTRYKMSWacgtn]', '', 'g')) AS nm FROM reads)
+        SELECT count(*) AS total, count(*) FILTER (mapq >= 1) AS uniquely, CAST(count(*) FILTER (mapq >= 1) * 100 // count(*) AS BIGINT) AS percent, count(*) FILTER (mapped AND nm > 0) AS with_errors FROM a""",
+    "sam_confusion": f"""WITH RECURSIVE {CORRECTED}, {PARSED},
+        p AS (SELECT read_id, x.seq AS o, corrected AS c, 'ACGTACG' || p.seq AS whole, length(x.seq) AS n, length(x.seq) > 10 AND read_id % 3 = 1 AS gap, CASE WHEN length(x.seq) > 10 AND read_id % 5 = 2 THEN 2 ELSE 0 END AS clip
+            FROM (SELECT reads.*, corrected FROM reads JOIN corrected USING (read_id)) x JOIN (SELECT read_id, seq FROM parsed WHERE seq IS NOT NULL) p USING (read_id) WHERE length(x.seq) > 0),
+        t AS (SELECT o, c, substring(whole, 8, CAST(n + CASE WHEN gap THEN 2 ELSE 0 END AS BIGINT)) AS r, clip, unnest(CASE WHEN gap THEN list_concat(range(0, 4), range(6, n + 2)) ELSE range(0, n) END) AS i, n FROM p),
+        s AS (SELECT substring(r, i + 1, 1) AS r, substring(o, i + 1, 1) AS o, substring(c, i - clip + 1, 1) AS c FROM t WHERE i >= clip AND i < n AND i < length(r))
+        SELECT count(*) FILTER (o <> r AND c = r) AS tp, count(*) FILTER (o = r AND c <> r) AS fp, count(*) FILTER (o <> r AND c <> r) AS fn FROM s""",
+    "p5_streams": f"WITH RECURSIVE {_STREAMS} SELECT raw_file, block, CAST(record_start AS INTEGER) AS record_start, CASE WHEN reason IS NULL THEN header END AS header, CASE WHEN reason IS NULL THEN seq END AS seq, CASE WHEN reason IS NULL THEN quality END AS quality, reason, CAST(resumed_at AS INTEGER) AS resumed_at FROM judged",
     "correct_reads_full": f"WITH RECURSIVE {CORRECTED} SELECT read_id, header, qual, corrected FROM corrected JOIN reads USING (read_id)",
     "corrections_made": f"""WITH RECURSIVE {CORRECTED},
         d AS (SELECT run_id, len(list_filter(range(1, length(seq) + 1), lambda i: substring(seq, i, 1) <> substring(corrected, i, 1))) AS n FROM corrected JOIN reads USING (read_id) WHERE seq IS NOT NULL)

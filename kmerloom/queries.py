@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators import evaluate, kmers, mutations, reads, records, solidity, spectrum
+from kmerloom.operators import evaluate, kmers, mutations, onesided, reads, records, solidity, spectrum, steps
 from kmerloom.oracle import ORACLE as ORACLE
 from kmerloom.plans import correction
-from kmerloom.sources import fastq
+from kmerloom.sources import alignments, fastq
 from kmerloom.streaming import counts as stream
-from kmerloom.tables import shared_folder, table
+from kmerloom.tables import remove_at_end, shared_folder, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -248,7 +248,9 @@ def regions_pong_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def all_solid_reads(spark: SparkSession, d: str) -> DataFrame:
-    return solidity.all_solid(solid_bases(spark, d))
+    """Empty reads too: they have no base that isn't solid."""
+    rows, trusted = _read_and_spectrum(spark, d)
+    return solidity.all_solid(solidity.solid_bases(rows, trusted), rows)
 
 
 @query
@@ -272,6 +274,51 @@ def best_alternative(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("turn", F.row_number().over(by)).where("turn = 1").drop("turn")
 
 
+@query
+def best_alternative_strand(spark: SparkSession, d: str) -> DataFrame:
+    """For each place of an untrusted k-mer, the most frequent of its changes; of equal ones the first on the canonical strand."""
+    return mutations.best_of_kmer(*_read_and_spectrum(spark, d))
+
+
+@query
+def best_alternative_last(spark: SparkSession, d: str) -> DataFrame:
+    """The same, of equal ones the last in the alphabet."""
+    return mutations.best_of_kmer(*_read_and_spectrum(spark, d), last_wins=True)
+
+
+@query
+def lookahead_confirmed(spark: SparkSession, d: str) -> DataFrame:
+    """The bases that make the k-mer behind a trusted region trusted, and whether the k-mers that follow confirm them."""
+    found = steps.first_steps(*_read_and_spectrum(spark, d), ahead=4)
+    return found.where("to_right").select("read_id", "lo", "pos", "base", "multiplicity", "confirmed")
+
+
+@query
+def lookbehind_confirmed(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the k-mer before a trusted region, confirmed by those that come before."""
+    found = steps.first_steps(*_read_and_spectrum(spark, d), ahead=4)
+    return found.where("not to_right").select("read_id", "lo", "pos", "base", "multiplicity", "confirmed")
+
+
+@query
+def one_sided_first_step(spark: SparkSession, d: str) -> DataFrame:
+    """The first change of each one-sided walk of the first pass."""
+    return steps.chosen(steps.first_steps(*_read_and_spectrum(spark, d), ahead=4))
+
+
+@query
+def one_sided_codes(spark: SparkSession, d: str) -> DataFrame:
+    """What the first one-sided pass returns for each read of 16 letters or more: -1 if all is solid, else how many changes it logs."""
+    return onesided.pass_codes(*_read_and_spectrum(spark, d), ["read_id"])
+
+
+@query
+def one_sided_report(spark: SparkSession, d: str) -> DataFrame:
+    """The return codes of the first pass: reads that are all solid, without a change, with changes, and all changes."""
+    code = F.col("code")
+    return one_sided_codes(spark, d).agg(F.count_if(code == -1).alias("all_solid"), F.count_if(code == 0).alias("unchanged"), F.count_if(code > 0).alias("changed"), F.coalesce(F.sum(F.when(code > 0, code)), F.lit(0)).alias("changes"))
+
+
 @query
 def vote_matrix(spark: SparkSession, d: str) -> DataFrame:
     return mutations.votes(mutation_candidates(spark, d))
@@ -323,6 +370,13 @@ def two_sided_applied(spark: SparkSession, d: str) -> DataFrame:
     return mutations.two_sided_corrected(rows, trusted, rounds=1)
 
 
+@query
+def two_sided_applied_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Reads after both rounds of the two-sided fix."""
+    rows, trusted = _read_and_spectrum(spark, d)
+    return mutations.two_sided_corrected(rows, trusted)
+
+
 @query
 def correct_reads_full(spark: SparkSession, d: str) -> DataFrame:
     return correction.correct(_reads(spark, d, "seq", "header", "qual"), ["read_id", "header", "qual"])
@@ -379,6 +433,15 @@ def tp_fp_fn_full(spark: SparkSession, d: str) -> DataFrame:
     return correction.confusion(*_two_versions(spark, d))
 
 
+@query
+def tp_fp_fn_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Both rounds of two-sided fixes judged with the parsed reads as reference."""
+    rows, trusted = _read_and_spectrum(spark, d)
+    fixed = mutations.two_sided_corrected(rows, trusted).select("read_id", F.col("seq").alias("corrected"))
+    _, parsed = _two_versions(spark, d)
+    return evaluate.confusion(rows.withColumnRenamed("seq", "original").join(fixed, "read_id").join(parsed.withColumnRenamed("seq", "reference"), "read_id"))
+
+
 def _alignments(spark: SparkSession, d: str) -> DataFrame:
     """Reads in the form of alignments: flag 4 without a sequence, the first quality as mapping quality, the number of N as edit distance."""
     flag = F.when(F.col("seq").isNull(), 4).otherwise(0)
@@ -395,6 +458,98 @@ def mapped_with_errors(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.mapped_with_errors(_alignments(spark, d))
 
 
+# FASTQ, SAM and FASTA text: written to the shared folder from the tables, and read
+
+
+def _fastq(spark: SparkSession, d: str) -> DataFrame:
+    """All reads with their headers as FASTQ, in the order of read_id, and read again with their numbers. Records of unequal lengths are malformed."""
+    spark.dataSource.register(fastq.FastqDataSource)
+    path = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
+    fastq.write_fastq(_reads(spark, d, "seq", "qual", "header"), path, order="read_id")
+    remove_at_end(spark, path)
+    return fastq.with_ordinals(spark.read.format("fastq").option("split", 1 << 20).load(path)).drop("file", "byte_offset")
+
+
+def _rewritten(spark: SparkSession, records: DataFrame, seq: str, order: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
+    fastq.write_fastq(records, path, seq=seq, order=order)
+    remove_at_end(spark, path)
+    return fastq.with_ordinals(spark.read.format("fastq").option("split", 1 << 20).load(path)).select(F.col("read_id").alias("ordinal"), "header", "seq", "qual")
+
+
+@query
+def fastq_range(spark: SparkSession, d: str) -> DataFrame:
+    """500 records of the file from number 250 on."""
+    return _fastq(spark, d).where("read_id >= 250 and read_id < 750").select(F.col("read_id").alias("ordinal"), "header", "seq", "qual")
+
+
+@query
+def correct_fastq(spark: SparkSession, d: str) -> DataFrame:
+    """FASTQ in, the whole correction, FASTQ out in the same order with the same headers and qualities, read again."""
+    records = stage(_fastq(spark, d), "fastq-records")
+    done = correction.correct(records, ["read_id", "header", "qual"])
+    return _rewritten(spark, done, "corrected", "read_id")
+
+
+@query
+def fastq_by_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """FASTQ records with the parsed read that the number in their header names, written under the old header and quality, read again."""
+    records = _fastq(spark, d).withColumn("row_index", B.id_suffix(F.col("header")))
+    other = table(spark, d, "parse_results").where("reads is not null").groupBy(F.col("read_id").alias("row_index")).agg(F.max("reads").alias("other"))
+    return _rewritten(spark, records.join(other, "row_index"), "other", "read_id")
+
+
+def _sam(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = f"{shared_folder(spark)}/sam-{uuid.uuid4().hex}"
+    head = spark.range(1).select(F.lit("@HD\tVN:1.6").alias("value"))
+    head.unionByName(alignments.sam_lines(rows)).write.text(path)
+    remove_at_end(spark, path)
+    return alignments.sam(spark.read.text(path))
+
+
+FLANK = "ACGTACG"
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    """Reads (read_id, seq, mapq, gap, clipped) as alignments, each to a sequence of its own behind FLANK: some with a gap, some with their ends clipped."""
+    n, there = F.length("seq"), F.length("seq") > 10
+    plain = F.concat(n.cast("string"), F.lit("M"))
+    gap = F.concat(F.lit("4M2D"), (n - 4).cast("string"), F.lit("M"))
+    clip = F.concat(F.lit("2S"), (n - 2).cast("string"), F.lit("M"))
+    mapped = F.coalesce(n, F.lit(0)) > 0
+    cigar = F.when(there & F.col("gap"), gap).when(there & F.col("clipped"), clip).otherwise(plain)
+    start = F.when(there & F.col("clipped") & ~F.col("gap"), len(FLANK) + 2).otherwise(len(FLANK))
+    return rows.select(F.col("read_id").alias("qname"), F.when(mapped, 0).otherwise(4).alias("flag"), F.when(mapped, F.concat(F.lit("r"), "read_id")).alias("rname"), F.when(mapped, start).alias("start"),
+                       "mapq", F.when(mapped, cigar).alias("cigar"), "seq", F.when(mapped, F.length(F.translate("seq", "ACGTRYKMSWacgtn", ""))).alias("nm"))
+
+
+def _originals(spark: SparkSession, d: str) -> DataFrame:
+    mapq = F.greatest(F.ascii("qual") - 33, F.lit(0))
+    return _aligned(_reads(spark, d, "seq", "qual").select("read_id", "seq", F.coalesce(mapq, F.lit(0)).alias("mapq"), (F.pmod("read_id", F.lit(3)) == 1).alias("gap"), F.lit(False).alias("clipped")))
+
+
+@query
+def sam_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of unique mappings, and mapped reads with errors, of alignments read from SAM text."""
+    found = _sam(spark, _originals(spark, d))
+    return evaluate.unique_rate(found).crossJoin(evaluate.mapped_with_errors(found).withColumnRenamed("n", "with_errors"))  # one row each
+
+
+@query
+def sam_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """The whole correction judged by alignments of the reads before and after it (SAM text) to reference sequences (FASTA text)."""
+    rows, parsed = _two_versions(spark, d)
+    fixed = correction.correct(rows, ["read_id"]).select("read_id", F.col("corrected").alias("seq"), F.lit(60).alias("mapq"), F.lit(False).alias("gap"), (F.pmod("read_id", F.lit(5)) == 2).alias("clipped"))
+    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    parsed.where("seq is not null").select(F.concat(F.lit(">r"), "read_id", F.lit(" parsed\n" + FLANK), "seq").alias("value")).write.text(path)
+    remove_at_end(spark, path)
+    before = alignments.reference_stretch(_sam(spark, _originals(spark, d)).where("flag & 4 = 0"), alignments.fasta(spark, path))
+    after = _sam(spark, _aligned(fixed)).where("flag & 4 = 0")
+    first = before.select("qname", "reference", F.col("seq").alias("original"), F.col("start").alias("original_start"), alignments.aligned_positions(F.col("start"), F.col("cigar")).alias("original_at"))
+    second = after.select("qname", F.col("seq").alias("corrected"), F.col("start").alias("corrected_start"), alignments.aligned_positions(F.col("start"), F.col("cigar")).alias("corrected_at"))
+    return evaluate.aligned_confusion(first.join(second, "qname"))
+
+
 # Rows that fail to parse
 
 
@@ -409,3 +564,11 @@ def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     """The valid rows, typed."""
     good, _ = records.load_records(table(spark, d, "raw_records").select("record_id", "raw_line"))
     return good.select("record_id", "parsed.header", "parsed.seq", "parsed.quality")
+
+
+@query
+def p5_streams(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each file as texts of up to 64 lines, parsed as they stand: every record, every fault, and where reading went on after a broken quote."""
+    texts = records.as_streams(table(spark, d, "raw_records"), "raw_file", "line_no", "record_id", "raw_line")
+    parsed = records.parse_streams(texts, "body", ["raw_file", "block"])
+    return parsed.select("raw_file", "block", "record_start", "header", "seq", "quality", "reason", "resumed_at")

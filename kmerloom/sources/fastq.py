@@ -14,15 +14,19 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from kmerloom.operators.reads import with_running
 
 SCHEMA = "file STRING, byte_offset BIGINT, header STRING, seq STRING, qual STRING"
-SPLIT = 64 << 20
+SPLIT, BATCH = 64 << 20, 5_000
+_NAMES = ["file", "byte_offset", "header", "seq", "qual"]
+_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
 
 @dataclass
@@ -72,8 +76,10 @@ class FastqReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         return [Range(p, i, i + self.split) for p in self.paths for i in range(0, max(os.path.getsize(p), 1), self.split)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return _records(partition, self.strict)
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        records = _records(partition, self.strict)
+        while rows := list(islice(records, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
 @dataclass
@@ -94,7 +100,8 @@ class FastqWriter(DataSourceWriter):
         path, n = os.path.join(self.folder, f"_part-{uuid.uuid4().hex}"), 0
         with open(path, "w", encoding="utf-8", newline="\n") as f:
             for row in iterator:
-                f.write(f"@{row.header or ''}\n{row.seq or ''}\n+\n{row.qual or ''}\n")
+                header = (row.header or "").replace("\r", " ").replace("\n", " ")
+                f.write(f"@{header}\n{row.seq or ''}\n+\n{row.qual or ''}\n")
                 n += 1
         return Part(path, n)
 
@@ -132,8 +139,11 @@ class FastqDataSource(DataSource):
 
 
 def with_ordinals(records: DataFrame) -> DataFrame:
-    """Records of one file with read_id, their 0-based number in it, found without reading the file in one task."""
-    return with_running(records, "byte_offset", into="read_id", block=16 << 20)
+    """Records with read_id, their 0-based number, found without reading a file in one task. Several files count one after the other, by name."""
+    turn = F.row_number().over(Window.orderBy("file")) - 1  # one row a file
+    files = records.select("file").distinct().withColumn("_turn", turn.cast("long"))
+    placed = records.join(files, "file").withColumn("_at", F.col("_turn") * (1 << 44) + F.col("byte_offset"))
+    return with_running(placed, "_at", into="read_id", block=16 << 20).drop("_turn", "_at")
 
 
 def record_range(records: DataFrame, start: int, count: int) -> DataFrame:

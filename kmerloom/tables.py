@@ -28,9 +28,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as a table of the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read of the files, not a recomputation. An empty `df` gives an
-    empty table of the same schema.
+    empty table of the same schema. The table is removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system remove `path` when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

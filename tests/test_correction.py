@@ -5,9 +5,10 @@ import pytest
 from brute import canon, correct, counts, enc, grams, rc
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators import kmers, mutations, onesided, solidity, spectrum
+from kmerloom.operators import kmers, mutations, onesided, solidity, spectrum, steps
 from kmerloom.plans import correction
 
 
@@ -105,6 +106,44 @@ def test_pipeline_joins_and_broadcast_agree(spark):
     assert sum(want[i] != s for i, s, _ in rows) > 5
 
 
+@pytest.mark.parametrize("k", [8, 13])
+def test_first_steps_and_codes_equal_the_walk(spark, k):
+    seqs = [*noisy(k, k, letters="ACGTN", errors=0.04), "ACG", "", "acgt" * 9, "A" * 30]
+    spec = {g: n % 5 + 1 for g, n in counts(seqs, k).items() if n >= 2}
+    trusted = spark.createDataFrame([(key(g), n) for g, n in spec.items()], "key LONG, multiplicity INT")
+    df = spark.createDataFrame([*enumerate(seqs), (900, None)], "read_id INT, seq STRING").withColumn("lo", F.lit("x"))
+    want, codes = set(), {}
+    for i, s in enumerate(seqs):
+        if len(s) < k:
+            continue
+        read = onesided.Read(s, k, held(spec))
+        log = read.one_sided(1, 4, True)
+        codes[i] = -1 if log is None else len(log)
+        text = read.digits()
+        hit = read.multiplicities([text[j : j + k] for j in range(len(text) - k + 1)]) > 0
+        solid = np.array([hit[max(0, t - k + 1) : t + 1].any() for t in range(len(text))])
+        for lo in np.nonzero(hit & ~np.r_[False, hit[:-1]])[0].tolist():
+            hi = lo + int(np.argmin(np.r_[hit[lo:], False])) - 1
+            for right, start, end in ((True, hi + 1, k - 1), (False, lo - 1, 0)):
+                if 0 <= start <= len(text) - k and not solid[start + end]:
+                    digit = read.choice(list(text), text[start : start + k], start, start + end, end, 4)
+                    want |= {(i, lo, right, start + end, onesided._LETTER[digit])} if digit else set()
+    found = steps.first_steps(df.drop("lo"), trusted, 4, k)
+    assert {(r.read_id, r.lo, r.to_right, r.pos, r.base) for r in steps.chosen(found).collect()} == want and len(want) > 5
+    assert {r.read_id: r.code for r in onesided.pass_codes(df, trusted, ["read_id"], k).collect()} == codes
+    assert steps.chosen(steps.first_steps(df.drop("lo").limit(0), trusted, 4, k)).count() == 0
+
+
+def test_the_best_change_of_a_kmer(spark):
+    rows = spark.createDataFrame([(1, "ACGTACGTT"), (2, None), (3, "AC")], "read_id INT, seq STRING")
+    near = ["ACGTACGTC", "ACGTACGTG", "ACGAACGTT", "ACGGACGTT"]
+    trusted = spark.createDataFrame([(key(canon(g)), 4 if g != "ACGAACGTT" else 3) for g in near], "key LONG, multiplicity INT")
+    forward = canon("ACGTACGTT") == "ACGTACGTT"
+    got = {(r.pos, r.base, r.multiplicity) for r in mutations.best_of_kmer(rows, trusted, k=9).collect()}
+    assert got == {(8, "C" if forward else "G", 4), (3, "G", 4)}
+    assert (8, "G", 4) in {(r.pos, r.base, r.multiplicity) for r in mutations.best_of_kmer(rows, trusted, last_wins=True, k=9).collect()}
+
+
 def test_the_whole_correction_is_judged(spark):
     seqs = noisy(3, 16, genome=400, reads=120, size=80, errors=0.01)
     df = spark.createDataFrame([*enumerate(seqs), (500, None), (501, "ACG")], "read_id INT, seq STRING")

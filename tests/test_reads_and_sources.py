@@ -31,6 +31,13 @@ def test_running_order_over_many_blocks(spark):
     assert reads.with_running(df.limit(0), "k").count() == 0
 
 
+def test_running_order_of_sparse_keys(spark):
+    r = random.Random(4)
+    keys = sorted({r.randrange(-(2**63), 2**63) for _ in range(400)} | {0, 1, 2, 2**63 - 1, -(2**63)})
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k LONG, v INT")
+    assert {x.k: x.before for x in reads.with_running(df, "k", block=1 << 16).collect()} == {k: i for i, k in enumerate(keys)}
+
+
 def test_even_ranges_and_zip(spark):
     df = spark.range(10).withColumnRenamed("id", "read_id")
     assert [tuple(r) for r in reads.even_ranges(df, 3).orderBy("part").collect()] == [(1, 0, 3, 4), (2, 4, 6, 3), (3, 7, 9, 3)]
@@ -59,6 +66,11 @@ def test_fastq_splits_agree_and_bad_records_are_dropped(spark, tmp_path):
     assert spark.read.format("fastq").load(out).count() == 303
     df.limit(4).select("header", "seq", "qual").write.format("fastq").mode("overwrite").save(out)
     assert spark.read.format("fastq").load(out).count() == 4
+    several = fastq.with_ordinals(spark.read.format("fastq").load(out)).orderBy("read_id").collect()
+    assert [x.read_id for x in several] == list(range(len(several)))
+    odd = spark.createDataFrame([("a\nb", "AC", "FF"), (None, None, None)], "header STRING, seq STRING, qual STRING")
+    fastq.write_fastq(odd, str(tmp_path / "odd"))
+    assert {(x.header, x.seq) for x in spark.read.format("fastq").load(str(tmp_path / "odd")).collect()} == {("a b", "AC"), ("", "")}
     open(tmp_path / "empty.fastq", "w").close()
     assert spark.read.format("fastq").load(str(tmp_path / "empty.fastq")).count() == 0
 
@@ -73,6 +85,16 @@ def test_sam_and_rates(spark):
     assert tuple(evaluate.unique_rate(df.limit(0)).first()) == (0, 0, None)
 
 
+def test_confusion_on_aligned_places(spark):
+    from pyspark.sql import functions as F
+
+    places = lambda start, cigar: spark.range(1).select(alignments.aligned_positions(F.lit(start), F.lit(cigar)).alias("p")).first().p
+    assert places(5, "2S3M1I2D2=1X4N1M") == [5, 6, 7, 10, 11, 12, 17] and places(3, "*") == [] and places(0, "4H") == []
+    rows = [([2, 3, 4, 5], [3, 4, 5, 9], 2, 3, "ACGT", "CGTA", "ACCTT"), ([7], [8], 7, 8, "A", "C", "A"), ([1, 2], [1, 2], 1, 1, "AG", "AC", "AG")]
+    df = spark.createDataFrame(rows, "original_at ARRAY<INT>, corrected_at ARRAY<INT>, original_start INT, corrected_start INT, original STRING, corrected STRING, reference STRING")
+    assert tuple(evaluate.aligned_confusion(df).first()) == (0, 1, 1) and tuple(evaluate.aligned_confusion(df.limit(0)).first()) == (0, 0, 0)
+
+
 def test_diff_and_confusion(spark):
     a = spark.createDataFrame([(1, "ACG"), (2, "A"), (3, None), (4, None)], "read_id INT, seq STRING")
     b = spark.createDataFrame([(1, "ACT"), (3, None), (4, "A"), (9, "A")], "read_id INT, seq STRING")
