@@ -5,7 +5,7 @@ without a final mark at or just under one length, few on either side. Values at
 cut (an ellipsis, also in brackets) are no final mark.
 
 A transfer that breaks off leaves no spike. For the other values without a final mark, a logistic regression tells from
-the last sentence whether it ends inside a word or sentence. It is fitted on at most FIT_ROWS and PLAIN_ROWS of the table's own rows:
+the last sentence whether it ends inside a word or sentence. It is fitted on about FIT_ROWS and PLAIN_ROWS of the table's own rows:
 last sentences of texts with a final mark, as they are (without the mark) and cut at a random place, and the texts of
 sources that mostly have no final mark, such as captions. A source may also lack them because it mostly breaks off: a
 first regression, of the ends of the marked sentences alone, tells, and only sources of whose texts no more than PLAIN_CUT
@@ -19,16 +19,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.llm import logistic
 from kmerloom.tables import stage
 
 NEAR, RING, LEAST, SHARE, EXCESS, NARROW = 3, 40, 8, 0.35, 4.0, 0.6  # see spikes
 FIT_ROWS, FIT_FEATURES, PLAIN_ROWS, PLAIN_WEIGHT, LOOKS_CUT, PLAIN_CUT = 30_000, 1 << 17, 15_000, 4.0, 0.9, 0.2
+FIT_PENALTY = 1e-3
 
 # Fixed patterns: what may stand behind the last word of a whole text, and marks that a cut leaves. Long runs are
 # taken at once and only from their start, so that a text of nothing but blanks or brackets costs linear time and no stack.
@@ -39,32 +38,59 @@ _CLOSING = rf"(?=[{_CLOSE}<])(?<![{_CLOSE}]){_AFTER_TAG}(?:[{_CLOSE}]++|</?\w+/?
 _SPACE = rf"(?=[{_BLANK}<])(?<![{_BLANK}]){_AFTER_TAG}(?:[{_BLANK}]++|</?\w+/?>)++$"
 _MARKER = r"(?<![\s…])(?<!\.\.\.)(?:\s*+(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\(\.\.\.\)))++$"
 _OPENING = rf"^(?:[{_BLANK}]++|</?\w+/?>|&nbsp;)*+"
-_FINAL = r"[.!?。！？]$"
-_FINALS = r"(?<![.!?。！？:：])[.!?。！？:：]++([\"'”»“’)\]」』）]*+)$"
+_FINAL_MARKS = ".!?。！？"
+_MARKERS = ("...", "…", "...]", "…]", "...)")  # what a text must end with for _MARKER to match
+_FINAL_SIGNS, _CLOSERS = ".!?。！？:：", r"\"'”»“’)\]」』）"
+_FINALS = rf"(?<![{_FINAL_SIGNS}])[{_FINAL_SIGNS}]++([{_CLOSERS}]*+)$"
 _SENTENCE_END = r"(?s)^.*(?:[.!?][\"'”»“’)]*\s+|[。！？][」』）]*|\n)(?=\S)"
 
 
+def _ends(text: Column, last: str) -> Column:
+    """Whether the last character is one of the class `last`: most texts need no pattern over all of them."""
+    return F.rlike(F.substring(text, -1, 1), F.lit(f"[{last}]"))
+
+
+def _without(text: Column, pattern: str, last: str) -> Column:
+    """The text without what `pattern` matches at its end, which can only be where it ends with one of the class `last`."""
+    return F.when(_ends(text, last), F.regexp_replace(text, pattern, "")).otherwise(text)
+
+
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, _CLOSING, "")
+    return _without(text, _CLOSING, _CLOSE + ">")
 
 
 def has_final_mark(text: Column) -> Column:
     """Whether a sentence ends at the end of the text; closing quotes, brackets, tags and white space don't count."""
-    return F.rlike(_bare(text), F.lit(_FINAL)) & ~has_marker(text)
+    return _ends(_bare(text), _FINAL_MARKS) & ~has_marker(text)
 
 
 def has_marker(text: Column) -> Column:
     """Whether the text ends with an ellipsis of any form."""
-    return F.rlike(F.regexp_replace(text, _SPACE, ""), F.lit(_MARKER))
+    return _marked(_without(text, _SPACE, _BLANK + ">"))
+
+
+def _marked(text: Column) -> Column:
+    may = F.endswith(text, F.lit(_MARKERS[0]))
+    for m in _MARKERS[1:]:
+        may = may | F.endswith(text, F.lit(m))
+    return may & F.rlike(text, F.lit(_MARKER))
 
 
 def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """What the rest works on, staged so that each text is read and matched once: (key, source, chars, bytes, final, marker, text_hash, sentence, follows)."""
-    t = F.col(text)
-    rows = df.where(F.rlike(F.coalesce(t, F.lit("")), F.lit(r"[^\s\p{Z}\p{Cf}\p{Cc}]")))
-    named = rows.select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"),
-                        has_final_mark(t).alias("final"), has_marker(t).alias("marker"), F.xxhash64(t).alias("text_hash"), _bare_sentence(t).alias("last"))
-    return stage(named.select("key", "source", "chars", "bytes", "final", "marker", "text_hash", "last.sentence", "last.follows"), "truncation-rows")
+    t = F.col("t")
+    rows = df.where(F.rlike(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\s\p{Z}\p{Cf}\p{Cc}]")))
+    named = rows.select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("t"))
+    sized = named.select("key", "source", F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), F.xxhash64(t).alias("text_hash"), _bare(t).alias("closed"),
+                         _without(t, _SPACE, _BLANK + ">").alias("spaced"), F.when(F.rlike(F.substring(t, -4, 4), F.lit(r"\S $")), " ").otherwise("").alias("space"))
+    marked = sized.withColumn("marker", _marked(F.col("spaced"))).withColumn("final", _ends(F.col("closed"), _FINAL_MARKS) & ~F.col("marker"))
+    bare = marked.withColumn("bare", F.when(F.col("marker"), F.regexp_replace("spaced", _MARKER, "")).otherwise(F.col("spaced")))
+    pair, one_mark = F.substring("bare", -2, 2), F.lit(rf"(?s)^[^{_FINAL_SIGNS}][{_FINAL_SIGNS}]$")
+    some = F.rlike(F.substring("bare", -1, 1), F.lit(rf"[{_FINAL_SIGNS}{_CLOSERS}]"))
+    plain = F.when(F.rlike(pair, one_mark), F.expr("substring(bare, 1, length(bare) - 1)")).when(some, F.regexp_replace("bare", _FINALS, "$1")).otherwise(F.col("bare"))
+    last = bare.withColumn("bare", plain).withColumn("last", F.regexp_replace("bare", _SENTENCE_END, ""))
+    sentence = F.concat(F.regexp_replace(F.regexp_replace("last", _OPENING, ""), r"&nbsp;|[\p{Z}\t]", " "), "space")
+    return stage(last.select("key", "source", "chars", "bytes", "final", "marker", "text_hash", sentence.alias("sentence"), (F.length("last") < F.length("bare")).alias("follows")), "truncation-rows")
 
 
 def lengths(rows: DataFrame) -> DataFrame:
@@ -125,27 +151,32 @@ def features(sentence: Column, follows: Column) -> Column:
     return F.concat(F.array(*parts), bag)
 
 
-def _bare_sentence(text: Column) -> Column:
-    """(sentence, follows): the last sentence without final marks and what closes it (a single space at the end is kept: cuts leave it), and whether another one stands before it."""
-    bare = F.regexp_replace(F.regexp_replace(text, _SPACE, ""), _MARKER, "")
-    bare = F.regexp_replace(bare, _FINALS, "$1")
-    last = F.regexp_replace(bare, _SENTENCE_END, "")
-    space = F.when(F.rlike(text, F.lit(r"\S $")), " ").otherwise("")
-    sentence = F.concat(F.regexp_replace(F.regexp_replace(last, _OPENING, ""), r"&nbsp;|[\p{Z}\t]", " "), space)
-    return F.struct(sentence.alias("sentence"), (F.length(last) < F.length(bare)).alias("follows"))
+def _able(final: bool) -> Column:
+    return (F.col("final") if final else ~F.col("final")) & (F.length("sentence") >= 3)
+
+
+def per_source(rows: DataFrame) -> DataFrame:
+    """(source, open, marked, unmarked): the share of rows without a final mark, and about how many texts that can be taught have one or not."""
+    texts = {name: F.approx_count_distinct(F.when(_able(final), F.col("text_hash")), 0.02).alias(name) for name, final in (("marked", True), ("unmarked", False))}
+    return stage(rows.groupBy("source").agg(F.avg((~F.col("final")).cast("int")).alias("open"), *texts.values()), "truncation-sources")
 
 
-def _sample(rows: DataFrame, n: int) -> DataFrame:
-    """(source, follows, sentence, marker, text_hash) of n texts, by their hash; copies count once."""
+def _sample(rows: DataFrame, n: int, texts: int | None = None) -> DataFrame:
+    """(source, follows, sentence, marker, text_hash) of about n texts, those of the smallest hashes; copies count once.
+
+    Hashes spread evenly over their range, so a share of the range holds that share of the texts. `texts` tells how many
+    there are, if that is known.
+    """
     able = rows.where(F.length("sentence") >= 3)
-    last = able.select("text_hash").distinct().orderBy("text_hash").limit(n).agg(F.max("text_hash")).first()[0]
-    one = able.where(F.col("text_hash") <= F.lit(last)).groupBy("text_hash").agg(F.min(F.struct("source", "follows", "sentence", "marker")).alias("r"))
-    return one.select("r.*", "text_hash")
+    known = able.agg(F.approx_count_distinct("text_hash", 0.02)).first()[0] if texts is None else texts
+    share = n / max(known, n)
+    below = able.where(F.col("text_hash") <= F.lit(min(int(-(2.0**63) + share * 2.0**64), 2**63 - 1)))
+    return below.groupBy("text_hash").agg(F.min(F.struct("source", "follows", "sentence", "marker")).alias("r")).select("r.*", "text_hash")
 
 
-def _examples(rows: DataFrame) -> DataFrame:
-    """(sentence, follows, label, weight): 1 = cut. Last sentences of FIT_ROWS texts with a final mark, whole and cut."""
-    s = _sample(rows.where("final"), FIT_ROWS)
+def _examples(rows: DataFrame, texts: int) -> DataFrame:
+    """(sentence, follows, label, weight): 1 = cut. Last sentences of FIT_ROWS of the `texts` with a final mark, whole and cut."""
+    s = _sample(rows.where("final"), FIT_ROWS, texts)
     n, h = F.length("sentence"), F.xxhash64("text_hash")
     cut_at = F.when(n >= 8, 2 + F.pmod(h, n - 3)).otherwise(1 + F.pmod(h, n - 2)).cast("int")
     early = F.when(F.pmod(h, F.lit(16)) == 0, 1 + F.pmod(F.xxhash64("sentence"), F.least(n - 2, F.lit(7)))).cast("int")  # short cuts are rare among the others
@@ -153,12 +184,12 @@ def _examples(rows: DataFrame) -> DataFrame:
     return whole.unionByName(s.select("sentence", "follows", F.explode(F.array_compact(F.array(cut_at, early))).alias("n")).select(F.substring("sentence", F.lit(1), F.col("n")).alias("sentence"), "follows", F.lit(1.0).alias("label"), F.lit(1.0).alias("weight")))
 
 
-def _plain_examples(rows: DataFrame, plain_sources: DataFrame, marked: DataFrame) -> DataFrame:
-    """The same of PLAIN_ROWS texts without a final mark, as whole; from those of the sources that don't mostly break off.
+def _plain_examples(rows: DataFrame, plain_sources: DataFrame, texts: int, marked: DataFrame) -> DataFrame:
+    """The same of PLAIN_ROWS of the `texts` without a final mark, as whole; from those of the sources that don't mostly break off.
 
     `marked` has the examples with final marks, whose ends tell.
     """
-    s = stage(_sample(rows.where("not final").join(plain_sources, "source", "left_semi"), PLAIN_ROWS), "truncation-plain")
+    s = stage(_sample(rows.where("not final").join(plain_sources, "source", "left_semi"), PLAIN_ROWS, texts), "truncation-plain")
     look = _fitted(marked, lambda r: endings(r["sentence"])) if not s.isEmpty() else None
     if look is None:
         return marked.limit(0)
@@ -170,11 +201,10 @@ def _plain_examples(rows: DataFrame, plain_sources: DataFrame, marked: DataFrame
 def _fitted(examples: DataFrame, seen: Callable[[DataFrame], Column]) -> Callable[[DataFrame], DataFrame] | None:
     """What adds to rows the probability p of a cut by what is `seen` of them; none if the examples have but one label."""
     fit_on = stage(examples.select("label", "weight", seen(examples).alias("features")), "truncation-fit")
-    if fit_on.select("label").distinct().count() < 2:
+    found = logistic.fitted(fit_on, FIT_FEATURES, FIT_PENALTY)
+    if found is None:
         return None
-    term = HashingTF(numFeatures=FIT_FEATURES, inputCol="features", outputCol="vector")
-    model = LogisticRegression(featuresCol="vector", weightCol="weight", maxIter=40, regParam=1e-3).fit(term.transform(fit_on))
-    return lambda df: model.transform(term.transform(df.withColumn("features", seen(df)))).select(*df.columns, vector_to_array("probability")[1].alias("p"))
+    return lambda df: df.select(*df.columns, logistic.probability(seen(df), found, df.sparkSession.sparkContext).alias("p"))
 
 
 def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -191,9 +221,11 @@ def truncated(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     held = stage(open_rows, "truncation-open")
     cut = held.where("why is not null").select("key", "source", "text_hash", "why")
 
-    plain = rows.groupBy("source").agg(F.avg((~F.col("final")).cast("int")).alias("open")).where("open > 0.5").join(at.select("source"), "source", "left_anti")
-    marked = stage(_examples(rows), "truncation-marked")
-    odds = _fitted(marked.unionByName(_plain_examples(rows, plain.select("source"), marked)), lambda r: features(r["sentence"], r["follows"]))
+    sources = per_source(rows)
+    plain = sources.where("open > 0.5").join(at.select("source"), "source", "left_anti")
+    texts = sources.join(plain.select("source", F.lit(1).alias("plain")), "source", "left").agg(F.sum("marked").alias("marked"), F.sum(F.when(F.col("plain") == 1, F.col("unmarked"))).alias("plain")).first()
+    marked = stage(_examples(rows, texts.marked or 0), "truncation-marked")
+    odds = _fitted(marked.unionByName(_plain_examples(rows, plain.select("source"), texts.plain or 0, marked)), lambda r: features(r["sentence"], r["follows"]))
     if odds is not None:
         rest = held.where(F.col("why").isNull() & F.rlike("sentence", F.lit(r"\p{L}")))  # numbers and signs alone end inside no word or sentence
         scored = stage(odds(rest).select("key", "source", "text_hash", "p"), "truncation-scored")

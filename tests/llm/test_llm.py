@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kmerloom.llm import encoding, heavy, packing, seen, sketches, spans, truncation
+from kmerloom.llm import encoding, heavy, logistic, packing, seen, sketches, spans, truncation
 from kmerloom.llm.ribbon import Ribbon
 
 
@@ -305,6 +305,24 @@ def test_dearest_way_is_the_best():
 # 8
 
 
+def test_logistic_regression(spark):
+    r = random.Random(8)
+    rows = []
+    for _ in range(1500):
+        words = [r.choice("abcdefgh") for _ in range(r.randrange(1, 7))]
+        odds = 1.5 * words.count("a") - 2 * words.count("b") + 0.3
+        rows.append((float(r.random() < 1 / (1 + np.exp(-odds))), 1.0, words))
+    df = spark.createDataFrame(rows, "label DOUBLE, weight DOUBLE, features ARRAY<STRING>").repartition(3)
+    found = logistic.fitted(df, 1 << 12, 1e-6)
+    scored = df.select("label", logistic.probability(F.col("features"), found, spark.sparkContext).alias("p")).toPandas()
+    assert abs(scored.p.mean() - scored.label.mean()) < 0.01
+    alone = spark.createDataFrame([(["a"],), (["b"],), (["h"],)], "features ARRAY<STRING>")
+    a, b, h = (x.p for x in alone.select(logistic.probability(F.col("features"), found, spark.sparkContext).alias("p")).collect())
+    logit = lambda p: np.log(p / (1 - p))
+    assert abs(logit(a) - logit(h) - 1.5) < 0.5 and abs(logit(b) - logit(h) + 2) < 0.5
+    assert logistic.fitted(df.where("label = 1"), 64, 1e-3) is None and logistic.fitted(df.limit(0), 64, 1e-3) is None
+
+
 def test_truncation(spark):
     r = random.Random(9)
     nouns, verbs = ["filter", "sample", "report", "archive", "sensor", "plate"], ["checks", "moves", "covers", "follows"]
