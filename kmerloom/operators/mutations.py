@@ -16,17 +16,17 @@ def untrusted(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
 
 
 def neighbours(spectrum: DataFrame, k: int = B.K) -> DataFrame:
-    """(forward, at, base, multiplicity): every k-mer, as a number of digits, that differs from a trusted one only at `at`, where that has `base`.
+    """(forward, at, base, multiplicity, near_key): every k-mer, as a number of digits, that differs from a trusted one, of key near_key, only at `at`, where that has `base`.
 
     Both strands of the trusted k-mers are mutated; a palindromic one has only one.
     """
     kmer = B.key_kmer(F.col("key"))
-    strands = spectrum.select("multiplicity", F.explode(F.array_distinct(F.array("key", B.kmer_key(B.reverse_complement(kmer))))).alias("trusted"))
+    strands = spectrum.select(F.col("key").alias("near_key"), "multiplicity", F.explode(F.array_distinct(F.array("key", B.kmer_key(B.reverse_complement(kmer))))).alias("trusted"))
     powers = F.array(*(F.lit(10**i) for i in range(k - 1, -1, -1)))
-    each = strands.select("multiplicity", "trusted", F.posexplode(powers).alias("at", "power"))
+    each = strands.select("near_key", "multiplicity", "trusted", F.posexplode(powers).alias("at", "power"))
     digit = each.withColumn("digit", F.expr("trusted div power % 10"))
     other = digit.select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("other")).where("other <> digit")
-    return other.select(F.expr("trusted + (other - digit) * power").alias("forward"), "at", B.decode_digits(F.col("digit").cast("string")).alias("base"), "multiplicity")
+    return other.select(F.expr("trusted + (other - digit) * power").alias("forward"), "at", B.decode_digits(F.col("digit").cast("string")).alias("base"), "multiplicity", "near_key")
 
 
 def candidates(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:

@@ -2,8 +2,10 @@
 
 The walk of a read looks at k-mers that depend on its own changes, so it can't be a join. It runs in Arrow batches
 against the trusted spectrum, which a task has as two sorted arrays (`Spectrum`). A spectrum that is too large for that is
-asked by joins instead (`corrected_by_joins`): a walk that meets an unknown k-mer notes it and stops, the noted k-mers of
-all reads are looked up at once, and the walks start over, until none is open.
+asked by joins instead (`corrected_by_joins`): each distinct read first gets the multiplicities of its windows and of all
+trusted k-mers one change away from an untrusted one, which is all that most walks look at. A walk that needs another
+k-mer notes it, guesses and goes on to the end of its pass, noting what else it would need; the noted k-mers of all reads
+are looked up at once, and the walks start over, until none is open.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
+from kmerloom.operators import kmers, mutations
 from kmerloom.tables import stage
 
 ROUNDS, LEAST_VOTES, BROADCAST_KMERS = 4, 3, 20_000_000
@@ -33,18 +36,23 @@ def key_of(kmer: str) -> int:
 class Spectrum:
     """Trusted k-mers as sorted keys with their multiplicities."""
 
+    asks = False
+
     def __init__(self, keys: np.ndarray, multiplicity: np.ndarray) -> None:
         if len(keys) and (np.diff(keys) < 0).any():
             order = np.argsort(keys)
             keys, multiplicity = keys[order], multiplicity[order]
         self.keys, self.multiplicity = keys, multiplicity
 
-    def many(self, keys: np.ndarray) -> np.ndarray:
+    def many(self, keys: np.ndarray, guess: int = 0) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(keys), np.int64)
         i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[i] == keys, self.multiplicity[i].astype(np.int64), 0)
 
+    def settle(self) -> None:
+        """Whether all that was asked is known: here always."""
+
 
 class Unknown(Exception):
     """The multiplicities of these keys are needed."""
@@ -55,16 +63,28 @@ class Unknown(Exception):
 
 
 class Asked(Spectrum):
-    """Multiplicities known from joins; unknown keys stop the walk."""
+    """Multiplicities known from joins: those of `keys`, and 0 for all others among `told`. Keys that are neither are noted in `wanted` and guessed."""
+
+    asks = True
+
+    def __init__(self, keys: np.ndarray, multiplicity: np.ndarray, told: np.ndarray) -> None:
+        super().__init__(keys, multiplicity)
+        self.told, self.wanted = told, set()
 
-    def __init__(self, known: dict[int, int]) -> None:
-        self.known = known
+    def many(self, keys: np.ndarray, guess: int = 0) -> np.ndarray:
+        found = super().many(keys)
+        unknown = found == 0
+        if len(self.told) and unknown.any():
+            i = np.minimum(np.searchsorted(self.told, keys), len(self.told) - 1)
+            unknown &= self.told[i] != keys
+        if unknown.any():
+            self.wanted.update(keys[unknown].tolist())
+            found = np.where(unknown, guess, found)
+        return found
 
-    def many(self, keys: np.ndarray) -> np.ndarray:
-        missing = [k for k in map(int, keys) if k not in self.known]
-        if missing:
-            raise Unknown(missing)
-        return np.array([self.known[int(k)] for k in keys], np.int64)
+    def settle(self) -> None:
+        if self.wanted:
+            raise Unknown(sorted(self.wanted))
 
 
 class Read:
@@ -76,8 +96,8 @@ class Read:
     def digits(self) -> str:
         return "".join(_DIGIT.get(c, "9") for c in self.seq)
 
-    def multiplicities(self, kmers: list[str]) -> np.ndarray:
-        return self.spectrum.many(np.array([key_of(x) for x in kmers], np.int64))
+    def multiplicities(self, kmers: list[str], guess: int = 0) -> np.ndarray:
+        return self.spectrum.many(np.array([key_of(x) for x in kmers], np.int64), guess)
 
     def corrected(self) -> str:
         k = self.k
@@ -86,6 +106,7 @@ class Read:
         for allowed in range(1, ROUNDS + 1):
             for longest_first in (True, False):
                 found = self.one_sided(allowed, ROUNDS + 1 - allowed, longest_first)
+                self.spectrum.settle()
                 if found is None:
                     return "".join(self.seq)
                 if not found:
@@ -93,6 +114,7 @@ class Read:
                 for at, digit in found:
                     self.seq[at] = _LETTER[digit]
             most, changes = self.vote()
+            self.spectrum.settle()
             if most == 0:
                 break
             if most >= LEAST_VOTES:
@@ -129,7 +151,9 @@ class Read:
             if solid[at]:
                 break
             kmer = "".join(work[s : s + k])
-            if self.multiplicities([kmer])[0]:
+            if self.multiplicities([kmer], guess=1)[0]:
+                if self.spectrum.asks and key_of(kmer) in self.spectrum.wanted:
+                    self.choice(work, kmer, s, at, end, ahead)  # in case that it isn't trusted
                 continue
             digit = self.choice(work, kmer, s, at, end, ahead)
             if digit is None:
@@ -154,6 +178,9 @@ class Read:
             others.reverse()
         found = self.multiplicities([kmer[:end] + d + kmer[end + 1 :] for d in others])
         options = [(d, int(m)) for d, m in zip(others, found) if m > 0]
+        if self.spectrum.asks and self.spectrum.wanted:
+            for d in others:
+                self.confirmed(work, s, at, d, end, ahead)
         if len(options) <= 1:
             return options[0][0] if options else None
         best, most = None, 0
@@ -298,35 +325,72 @@ def pass_codes(reads: DataFrame, trusted: DataFrame, keep: list[str], k: int = B
     return reads.where(F.length("seq") >= k).select(*keep, "seq").mapInArrow(run, f"{_schema(reads, keep)}, code INT")
 
 
+def _told(seq: str, k: int, trusted: np.ndarray) -> np.ndarray:
+    """The keys of a read's windows and of all k-mers one change away from those that aren't among the `trusted`, sorted."""
+    d = np.array([int(_DIGIT.get(c, "9")) for c in seq], np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(d, k)
+    comp = np.array([0, 4, 3, 2, 1, 5, 6, 7, 8, 9])
+    power = 10 ** np.arange(k - 1, -1, -1, dtype=np.int64)
+    base = np.array([1, 2, 3, 4])
+    own = np.minimum(windows @ power, comp[windows] @ power[::-1])
+    weak = windows[~np.isin(own, trusted)]
+    f = (weak @ power)[:, None, None] + (base - weak[:, :, None]) * power[None, :, None]
+    b = (comp[weak] @ power[::-1])[:, None, None] + (comp[base] - comp[weak][:, :, None]) * power[::-1][None, :, None]
+    return np.unique(np.r_[np.minimum(f, b).ravel(), own])
+
+
+_STATE = "id BIGINT, seq STRING, keys ARRAY<BIGINT>, counts ARRAY<INT>, told ARRAY<BIGINT>"
+
+
 def _attempt(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seqs, known = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         done, ask = [], []
-        for seq, pairs in zip(seqs, known):
+        for _, seq, keys, counts, told in zip(*(c.to_pylist() for c in batch.columns)):
             try:
-                done.append(Read(seq, k, Asked(dict(pairs or []))).corrected())
+                known = np.array(keys, np.int64)
+                near = np.union1d(_told(seq, k, known), np.array(told, np.int64))
+                done.append(Read(seq, k, Asked(known, np.array(counts, np.int64), near)).corrected())
                 ask.append([])
             except Unknown as e:
                 done.append(None)
-                ask.append(sorted(set(e.keys)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.string()), pa.array(ask, pa.list_(pa.int64()))], names=["seq", "known", "corrected", "ask"])
+                ask.append(e.keys)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.string()), pa.array(ask, pa.list_(pa.int64()))], names=[*batch.schema.names, "corrected", "ask"])
+
+
+def _gathered(found: DataFrame) -> DataFrame:
+    """(id, keys, counts) of rows (id, key, multiplicity)."""
+    pairs = F.sort_array(F.collect_set(F.struct("key", F.col("multiplicity").cast("int").alias("m"))))
+    return found.groupBy("id").agg(pairs.alias("p")).select("id", F.col("p.key").alias("keys"), F.col("p.m").alias("counts"))
 
 
 def corrected_by_joins(reads: DataFrame, spectrum: DataFrame, keep: list[str], k: int = B.K) -> DataFrame:
-    """As `corrected`, for a spectrum of any size: distinct reads are walked, what they ask for is joined, until all are done."""
-    columns = "seq STRING, known MAP<BIGINT,INT>, corrected STRING, ask ARRAY<BIGINT>"
-    todo = reads.where("seq is not null").select("seq").distinct().withColumn("known", F.lit(None).cast("map<bigint,int>"))
+    """As `corrected`, for a spectrum of any size: distinct reads are walked, what they ask for is joined, until all are done.
+
+    A round answers everything that the open passes of all reads ask for. A pass of a read takes one round more for each
+    of its changes within k bases of another, and each vote after a change one; there are at most 2 * ROUNDS passes and
+    ROUNDS votes, so the number of rounds doesn't grow with the number of reads.
+    """
+    texts = stage(reads.where(F.length("seq") >= k).select("seq").distinct().withColumn("id", F.monotonically_increasing_id()), "correction-reads")
+    windows = kmers.windows(texts, k, ["id"]).where("key is not null")
+    hit = windows.join(spectrum, "key").select("id", "key", "multiplicity")
+    weak = windows.join(spectrum.select("key"), "key", "left_anti").select("id", "forward")
+    near = weak.join(mutations.neighbours(spectrum, k), "forward").select("id", F.col("near_key").alias("key"), "multiplicity")
+    # A read that nothing trusted is near to stays as it is.
+    known = _gathered(hit.unionByName(near))
+    todo = texts.join(known, "id").select("id", "seq", "keys", "counts", F.array().cast("array<bigint>").alias("told"))
     finished: list[DataFrame] = []
     while True:
-        tried = stage(todo.mapInArrow(lambda b: _attempt(b, k), columns), "correction-round")
+        tried = stage(todo.mapInArrow(lambda b: _attempt(b, k), f"{_STATE}, corrected STRING, ask ARRAY<BIGINT>"), "correction-round")
         finished.append(tried.where("corrected is not null").select("seq", "corrected"))
-        todo = tried.where("corrected is null")
-        if not todo.limit(1).count():
+        still = tried.where("corrected is null")
+        if still.isEmpty():
             break
-        asked = todo.select("seq", F.explode("ask").alias("key")).join(spectrum, "key", "left")
-        new = asked.groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("key", F.coalesce("multiplicity", F.lit(0)).alias("m")))).alias("new"))
-        todo = todo.join(new, "seq").select("seq", F.when(F.col("known").isNull(), F.col("new")).otherwise(F.map_concat("known", "new")).alias("known"))
+        new = _gathered(still.select("id", F.explode("ask").alias("key")).join(spectrum, "key").select("id", "key", "multiplicity"))
+        answered = still.drop("corrected").join(new.select("id", F.col("keys").alias("k2"), F.col("counts").alias("c2")), "id", "left")
+        more = lambda a, b, kind: F.concat(a, F.coalesce(b, F.array().cast(f"array<{kind}>")))
+        todo = answered.select("id", "seq", more("keys", F.col("k2"), "bigint").alias("keys"), more("counts", F.col("c2"), "int").alias("counts"), F.concat("told", "ask").alias("told"))
     every = finished[0]
-    for more in finished[1:]:
-        every = every.unionByName(more)
-    return reads.join(every, "seq", "left").select(*keep, "corrected")
+    for part in finished[1:]:
+        every = every.unionByName(part)
+    named = every.withColumnRenamed("corrected", "_corrected")
+    return reads.join(named, "seq", "left").select(*keep, F.coalesce("_corrected", "seq").alias("corrected"))
