@@ -33,13 +33,27 @@ def key_of(kmer: str) -> int:
     return int(min(kmer, kmer.translate(_PAIR)[::-1]))
 
 
+def digits_of(seq: str) -> np.ndarray:
+    """The letters of a read as digits, 9 for other letters."""
+    return np.array([int(_DIGIT.get(c, "9")) for c in seq], np.int64)
+
+
+_COMPLEMENT = np.array([0, 4, 3, 2, 1, 5, 6, 7, 8, 9])
+
+
+def keys_of(windows: np.ndarray) -> np.ndarray:
+    """The canonical keys of k-mers given as rows of digits."""
+    power = 10 ** np.arange(windows.shape[1] - 1, -1, -1, dtype=np.int64)
+    return np.minimum(windows @ power, _COMPLEMENT[windows] @ power[::-1])
+
+
 class Spectrum:
     """Trusted k-mers as sorted keys with their multiplicities."""
 
     asks = False
 
-    def __init__(self, keys: np.ndarray, multiplicity: np.ndarray) -> None:
-        if len(keys) and (np.diff(keys) < 0).any():
+    def __init__(self, keys: np.ndarray, multiplicity: np.ndarray, in_order: bool = False) -> None:
+        if not in_order:
             order = np.argsort(keys)
             keys, multiplicity = keys[order], multiplicity[order]
         self.keys, self.multiplicity = keys, multiplicity
@@ -285,11 +299,11 @@ def _correct(batches: Iterator[pa.RecordBatch], k: int, get: Callable[[], Spectr
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seqs, pa.string())], names=[*batch.schema.names[:-1], "corrected"])
 
 
-def _schema(df: DataFrame, keep: list[str]) -> str:
+def schema_of(df: DataFrame, keep: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
 
-def _shared(spectrum: DataFrame) -> Broadcast:
+def shared_spectrum(spectrum: DataFrame) -> Broadcast:
     """The spectrum as two arrays for the tasks, sorted here once."""
     table = spectrum.toArrow()
     keys, multiplicity = table["key"].to_numpy(), table["multiplicity"].to_numpy()
@@ -307,27 +321,27 @@ def corrected(reads: DataFrame, trusted: DataFrame, keep: list[str], k: int = B.
     spectrum = stage(trusted.select("key", F.col("multiplicity").cast("int").alias("multiplicity")), "spectrum")
     if spectrum.count() > BROADCAST_KMERS:
         return corrected_by_joins(reads, spectrum, keep, k)
-    shared = _shared(spectrum)
-    return reads.select(*keep, "seq").mapInArrow(lambda b: _correct(b, k, lambda: Spectrum(*shared.value)), f"{_schema(reads, keep)}, corrected STRING")
+    shared = shared_spectrum(spectrum)
+    return reads.select(*keep, "seq").mapInArrow(lambda b: _correct(b, k, lambda: Spectrum(*shared.value, in_order=True)), f"{schema_of(reads, keep)}, corrected STRING")
 
 
 def pass_codes(reads: DataFrame, trusted: DataFrame, keep: list[str], k: int = B.K) -> DataFrame:
     """(keep, code) of the first pass over reads of k letters or more: -1 if every base is solid, else the number of changes it logs."""
-    shared = _shared(stage(trusted.select("key", F.col("multiplicity").cast("int").alias("multiplicity")), "spectrum"))
+    shared = shared_spectrum(stage(trusted.select("key", F.col("multiplicity").cast("int").alias("multiplicity")), "spectrum"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spectrum = Spectrum(*shared.value)
+        spectrum = Spectrum(*shared.value, in_order=True)
         for batch in batches:
             logs = [Read(s, k, spectrum).one_sided(1, ROUNDS, True) for s in batch.column(batch.num_columns - 1).to_pylist()]
             codes = pa.array([-1 if log is None else len(log) for log in logs], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], codes], names=[*batch.schema.names[:-1], "code"])
 
-    return reads.where(F.length("seq") >= k).select(*keep, "seq").mapInArrow(run, f"{_schema(reads, keep)}, code INT")
+    return reads.where(F.length("seq") >= k).select(*keep, "seq").mapInArrow(run, f"{schema_of(reads, keep)}, code INT")
 
 
 def _told(seq: str, k: int, trusted: np.ndarray) -> np.ndarray:
     """The keys of a read's windows and of all k-mers one change away from those that aren't among the `trusted`, sorted."""
-    d = np.array([int(_DIGIT.get(c, "9")) for c in seq], np.int64)
+    d = digits_of(seq)
     windows = np.lib.stride_tricks.sliding_window_view(d, k)
     comp = np.array([0, 4, 3, 2, 1, 5, 6, 7, 8, 9])
     power = 10 ** np.arange(k - 1, -1, -1, dtype=np.int64)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators import evaluate, kmers, mutations, onesided, reads, records, solidity, spectrum, steps
+from kmerloom.operators import evaluate, interior, kmers, mutations, onesided, reads, records, solidity, spectrum, steps
 from kmerloom.oracle import ORACLE as ORACLE
 from kmerloom.plans import correction
 from kmerloom.sources import alignments, fastq
@@ -363,6 +363,12 @@ def two_sided_interior(spark: SparkSession, d: str) -> DataFrame:
     return mutations.interior_fixes(mutations.two_sided(rows, trusted), rows)
 
 
+@query
+def two_sided_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The same from left to right, each place judged on the read with the fixes before it."""
+    return interior.interior_in_order(*_read_and_spectrum(spark, d))
+
+
 @query
 def two_sided_applied(spark: SparkSession, d: str) -> DataFrame:
     """Reads after one round of the two-sided fix."""

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators import kmers, mutations, onesided, solidity, spectrum, steps
+from kmerloom.operators import interior, kmers, mutations, onesided, solidity, spectrum, steps
 from kmerloom.plans import correction
 
 
@@ -134,6 +134,32 @@ def test_first_steps_and_codes_equal_the_walk(spark, k):
     assert steps.chosen(steps.first_steps(df.drop("lo").limit(0), trusted, 4, k)).count() == 0
 
 
+def in_order(seq, spec, k):
+    """Brute force: interior bases from left to right, solid ones by the read as it came."""
+    ok = lambda g: canon(g) is not None and canon(g) in spec
+    text, out = list(enc(seq)), []
+    hit = [ok("".join(text[i : i + k])) for i in range(len(text) - k + 1)]
+    for p in range(k - 1, len(text) - k + 1):
+        if any(hit[p - k + 1 : p + 1]):
+            continue
+        found = [b for b in "ACGT" if b != text[p] and ok("".join(text[p - k + 1 : p]) + b) and ok(b + "".join(text[p + 1 : p + k]))]
+        if len(found) == 1:
+            text[p] = found[0]
+            out.append((p, found[0]))
+    return out
+
+
+def test_interior_fixes_in_order(spark):
+    k = 6
+    seqs = [*noisy(5, k, genome=300, reads=60, size=50, errors=0.08, letters="ACGTN"), "acgt" * 10, "ACG", "", "-" * 30]
+    spec = {g: n for g, n in counts(seqs, k).items() if n >= 3}
+    df = spark.createDataFrame([*enumerate(seqs), (900, None)], "read_id INT, seq STRING").withColumn("pos", F.lit(1))
+    trusted = spark.createDataFrame([(key(g), n) for g, n in spec.items()], "key LONG, multiplicity INT")
+    want = {(i, p, b) for i, s in enumerate(seqs) for p, b in in_order(s, spec, k)}
+    assert {tuple(r) for r in interior.interior_in_order(df, trusted, k).collect()} == want and len(want) > 3
+    assert interior.interior_in_order(df.limit(0), trusted, k).count() == 0 and interior.interior_in_order(df, trusted.limit(0), k).count() == 0
+
+
 def test_the_best_change_of_a_kmer(spark):
     rows = spark.createDataFrame([(1, "ACGTACGTT"), (2, None), (3, "AC")], "read_id INT, seq STRING")
     near = ["ACGTACGTC", "ACGTACGTG", "ACGAACGTT", "ACGGACGTT"]
