@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators.onesided import Spectrum, digits_of, keys_of, schema_of, shared_spectrum
+from kmerloom.operators.lookup import Spectrum, digits_of, keys_of, schema_of, shared_spectrum
 
 _BASES = np.array([1, 2, 3, 4])
 

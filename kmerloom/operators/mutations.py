@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators import kmers, solidity
+from kmerloom.operators import kmers, lookup, solidity
 
 
 def untrusted(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
@@ -78,10 +82,42 @@ def place_winners(voted: DataFrame) -> DataFrame:
 def two_sided(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
     """(read_id, pos, base): changes of an unsolid base that make both of its k-mers trusted.
 
-    The right k-mer starts at the base (or is the read's last), the left one ends there (or is the first). Both lookups
-    are one join: two rows a change, and both must be found.
+    The right k-mer starts at the base (or is the read's last), the left one ends there (or is the first). A spectrum
+    that fits the tasks is looked up read by read, without a shuffle; a larger one is joined.
     """
-    solid = solidity.solid_bases(reads, spectrum, k)
+    held, shared = lookup.small_spectrum(spectrum)
+    if shared is None:
+        return two_sided_by_joins(reads, held, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trusted = lookup.Spectrum(*shared.value, in_order=True)
+        for batch in batches:
+            found = [_two_sided(lookup.digits_of(s), k, trusted) for s in batch.column(1).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found]))
+            at, base = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in (0, 1))
+            letters = pa.array(list(B.LETTERS[:4])).take(pa.array(base))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(at.astype(np.int32)), letters], names=["read_id", "pos", "base"])
+
+    return reads.select("read_id", "seq").where(F.length("seq") >= k).mapInArrow(run, f"{lookup.schema_of(reads, ['read_id'])}, pos INT, base STRING")
+
+
+def _two_sided(d: np.ndarray, k: int, trusted: lookup.Spectrum) -> tuple[np.ndarray, np.ndarray]:
+    """The places and bases (0 to 3) of the two-sided changes of a read given as digits."""
+    windows = np.lib.stride_tricks.sliding_window_view(d, k)
+    at = np.nonzero(~lookup.covered(trusted.many(lookup.keys_of(windows)) > 0, k))[0]
+    right, left = np.minimum(at, len(d) - k), np.maximum(at - (k - 1), 0)
+    rescued = np.zeros((len(at), 4), bool)
+    for base in range(4) if len(at) else ():
+        behind, before = windows[right], windows[left]
+        behind[np.arange(len(at)), at - right] = before[np.arange(len(at)), at - left] = base + 1
+        rescued[:, base] = (d[at] != base + 1) & (trusted.many(lookup.keys_of(behind)) > 0) & (trusted.many(lookup.keys_of(before)) > 0)
+    i, base = np.nonzero(rescued)
+    return at[i], base
+
+
+def two_sided_by_joins(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
+    """As two_sided, for a spectrum of any size. Both lookups are one join: two rows a change, and both must be found."""
+    solid = solidity.solid_bases_by_joins(reads, spectrum, k)
     coded = reads.where(F.length("seq") >= k).select("read_id", B.read_digits(F.col("seq")).alias("d"), F.length("seq").alias("n")).withColumn("r", B.opposite_digits(F.col("d")))
     weak = solid.where("not solid").select("read_id", "pos").join(coded, "read_id")
     right, left = F.least(F.col("pos"), F.col("n") - k), F.greatest(F.col("pos") - (k - 1), F.lit(0))

@@ -14,58 +14,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators import kmers, mutations
+from kmerloom.operators import kmers, lookup, mutations
+from kmerloom.operators.lookup import DIGIT as _DIGIT
+from kmerloom.operators.lookup import PAIR as _PAIR
+from kmerloom.operators.lookup import Spectrum, digits_of, key_of, schema_of, shared_spectrum
 from kmerloom.tables import stage
 
-ROUNDS, LEAST_VOTES, BROADCAST_KMERS = 4, 3, 20_000_000
-_DIGIT = {**dict.fromkeys(B.AMBIGUOUS, "1"), "A": "1", "C": "2", "G": "3", "T": "4"}
+ROUNDS, LEAST_VOTES, BROADCAST_KMERS = 4, 3, lookup.BROADCAST_KMERS
 _LETTER = dict(zip(B.DIGITS, B.LETTERS))
-_PAIR = str.maketrans("1234", "4321")
-
-
-def key_of(kmer: str) -> int:
-    """The canonical key of a k-mer of digits; one with a 9 (another letter) is in no spectrum."""
-    return int(min(kmer, kmer.translate(_PAIR)[::-1]))
-
-
-def digits_of(seq: str) -> np.ndarray:
-    """The letters of a read as digits, 9 for other letters."""
-    return np.array([int(_DIGIT.get(c, "9")) for c in seq], np.int64)
-
-
-_COMPLEMENT = np.array([0, 4, 3, 2, 1, 5, 6, 7, 8, 9])
-
-
-def keys_of(windows: np.ndarray) -> np.ndarray:
-    """The canonical keys of k-mers given as rows of digits."""
-    power = 10 ** np.arange(windows.shape[1] - 1, -1, -1, dtype=np.int64)
-    return np.minimum(windows @ power, _COMPLEMENT[windows] @ power[::-1])
-
-
-class Spectrum:
-    """Trusted k-mers as sorted keys with their multiplicities."""
-
-    asks = False
-
-    def __init__(self, keys: np.ndarray, multiplicity: np.ndarray, in_order: bool = False) -> None:
-        if not in_order:
-            order = np.argsort(keys)
-            keys, multiplicity = keys[order], multiplicity[order]
-        self.keys, self.multiplicity = keys, multiplicity
-
-    def many(self, keys: np.ndarray, guess: int = 0) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[i] == keys, self.multiplicity[i].astype(np.int64), 0)
-
-    def settle(self) -> None:
-        """Whether all that was asked is known: here always."""
 
 
 class Unknown(Exception):
@@ -299,18 +259,6 @@ def _correct(batches: Iterator[pa.RecordBatch], k: int, get: Callable[[], Spectr
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seqs, pa.string())], names=[*batch.schema.names[:-1], "corrected"])
 
 
-def schema_of(df: DataFrame, keep: list[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-
-
-def shared_spectrum(spectrum: DataFrame) -> Broadcast:
-    """The spectrum as two arrays for the tasks, sorted here once."""
-    table = spectrum.toArrow()
-    keys, multiplicity = table["key"].to_numpy(), table["multiplicity"].to_numpy()
-    order = np.argsort(keys)
-    return spectrum.sparkSession.sparkContext.broadcast((keys[order], multiplicity[order].astype(np.uint8)))
-
-
 def corrected(reads: DataFrame, trusted: DataFrame, keep: list[str], k: int = B.K) -> DataFrame:
     """(keep, corrected): reads after the correction; no shuffle of the reads.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators import kmers
+from kmerloom.operators import kmers, lookup
 
 
 def _places() -> WindowSpec:
@@ -22,8 +26,34 @@ def multiplicities(rows: DataFrame, spectrum: DataFrame) -> DataFrame:
 def solid_bases(reads: DataFrame, spectrum: DataFrame, k: int = B.K, both_strands: bool = True) -> DataFrame:
     """(read_id, pos, solid): for every base, whether a trusted k-mer covers it. Empty and null reads have no bases.
 
-    Without `both_strands` a window is looked up as it stands, not by its canonical k-mer.
+    Without `both_strands` a window is looked up as it stands, not by its canonical k-mer. A spectrum that fits the tasks
+    is looked up read by read, without a shuffle; a larger one is joined.
     """
+    held, shared = lookup.small_spectrum(spectrum)
+    if shared is None:
+        return solid_bases_by_joins(reads, held, k, both_strands)
+    power = 10 ** np.arange(k - 1, -1, -1, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trusted = lookup.Spectrum(*shared.value, in_order=True)
+
+        def solid(seq: str) -> np.ndarray:
+            if len(seq) < k:
+                return np.zeros(len(seq), bool)
+            windows = np.lib.stride_tricks.sliding_window_view(lookup.digits_of(seq), k)
+            return lookup.covered(trusted.many(lookup.keys_of(windows) if both_strands else windows @ power) > 0, k)
+
+        for batch in batches:
+            told = [solid(s) for s in batch.column(1).to_pylist()]
+            size = [len(t) for t in told]
+            at = np.concatenate([np.arange(n, dtype=np.int32) for n in size]) if size else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(at), pa.array(np.concatenate(told) if told else np.zeros(0, bool))], names=["read_id", "pos", "solid"])
+
+    return reads.select("read_id", "seq").where("seq <> ''").mapInArrow(run, f"{lookup.schema_of(reads, ['read_id'])}, pos INT, solid BOOLEAN")
+
+
+def solid_bases_by_joins(reads: DataFrame, spectrum: DataFrame, k: int = B.K, both_strands: bool = True) -> DataFrame:
+    """As solid_bases, for a spectrum of any size."""
     key = F.col("key" if both_strands else "forward").alias("key")
     hit = multiplicities(kmers.windows(reads, k, whole=True).select("read_id", "pos", key), spectrum).select("read_id", "pos", (F.col("multiplicity") > 0).alias("hit"))
     return hit.select("read_id", "pos", F.max("hit").over(_places().rowsBetween(-(k - 1), 0)).alias("solid"))

@@ -93,6 +93,20 @@ def test_solid_bases_on_one_strand(spark):
     assert solid(both_strands=False) == (first if canon(read[3:11]) == read[3:11] else second)
 
 
+def test_lookups_by_read_and_by_joins_agree(spark):
+    k = 7
+    seqs = [*noisy(6, k, genome=300, reads=80, size=40, errors=0.07, letters="ACGTN"), "acgt" * 8, "ACG", "", "AC-GTAC" * 4]
+    spec = {g: n for g, n in counts(seqs, k).items() if n >= 3}
+    df = spark.createDataFrame([*enumerate(seqs), (900, None)], "read_id INT, seq STRING").withColumn("key", F.lit("x"))
+    trusted = spark.createDataFrame([(key(g), n) for g, n in spec.items()], "key LONG, multiplicity INT")
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    for both in (True, False):
+        assert rows(solidity.solid_bases(df, trusted, k, both)) == rows(solidity.solid_bases_by_joins(df.drop("key"), trusted, k, both))
+    found = rows(mutations.two_sided(df, trusted, k))
+    assert found == rows(mutations.two_sided_by_joins(df.drop("key"), trusted, k)) and len(found) > 10
+    assert mutations.two_sided(df.limit(0), trusted, k).count() == 0 and mutations.two_sided(df, trusted.limit(0), k).count() == 0
+
+
 def test_pipeline_joins_and_broadcast_agree(spark):
     seqs = noisy(3, 16, genome=400, reads=120, size=80, errors=0.01)
     rows = [(i, s, "k") for i, s in enumerate([*seqs, None, "", "ACG", seqs[0]])]
