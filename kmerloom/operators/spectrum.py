@@ -45,6 +45,22 @@ def cutoff(hist: DataFrame) -> DataFrame:
     return thin.select(F.when(F.col("low") == F.col("high"), F.col("high").cast("bigint")).otherwise(middle).alias("cutoff"))
 
 
+def cutoff_of(hist: dict[int, int]) -> int | None:
+    """The cutoff for a histogram at hand, {multiplicity: k-mers} of no more than 255 entries; the same as `cutoff`, without jobs for so few rows."""
+    if not hist:
+        return None
+    low, high = min(hist), max(hist)
+    if low == high:
+        return high
+    bins = [0] * high
+    for v, n in hist.items():
+        bins[min(high - 1, (v - low) * high // (high - low))] += n
+    valley = next((i for i in range(high - 1) if bins[i + 1] > bins[i]), high - 1)
+    peak = max(range(valley, high), key=lambda i: (bins[i], -i))
+    thin = min(range(valley, peak + 1), key=lambda i: (bins[i], -i))
+    return (2 * low * high + (2 * thin + 1) * (high - low) + 2 * high - 1) // (2 * high)
+
+
 def trusted(counts: DataFrame, at: int | None = None) -> DataFrame:
     """(key, multiplicity) of the k-mers with at least the cutoff `at`; without one it is found from the k-mers seen twice or more."""
     often = counts.where("multiplicity > 1")

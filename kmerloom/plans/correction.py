@@ -13,8 +13,8 @@ from kmerloom.tables import stage
 def trusted_spectrum(reads: DataFrame, k: int = B.K) -> DataFrame:
     """(key, multiplicity), staged: the counts are made once, the cutoff is read from their histogram. Empty if nothing is seen twice."""
     often = stage(kmers.counted(reads, k, least=2), "kmer-counts")
-    found = spectrum.cutoff(spectrum.histogram(often)).first()
-    return often.where(f"multiplicity >= {found.cutoff}") if found else often
+    found = spectrum.cutoff_of(dict(spectrum.histogram(often).collect()))  # multiplicities are 2 to 255
+    return often if found is None else often.where(f"multiplicity >= {found}")
 
 
 def correct(reads: DataFrame, keep: list[str], k: int = B.K) -> DataFrame:

@@ -201,7 +201,14 @@ def test_the_whole_correction_is_judged(spark):
 def test_cutoff(spark, values, want):
     hist = spectrum.histogram(spark.createDataFrame([(v,) for v in values], "multiplicity INT"))
     row = spectrum.cutoff(hist).first()
-    assert (row and row.cutoff) == want
+    assert (row and row.cutoff) == want == spectrum.cutoff_of(dict(hist.collect()))
+
+
+def test_both_cutoffs_agree(spark):
+    r = random.Random(6)
+    for _ in range(12):
+        held = {r.randrange(2, r.choice([6, 40, 256])): r.randrange(1, 30) for _ in range(r.randrange(1, 60))}
+        assert spectrum.cutoff(spark.createDataFrame(list(held.items()), "multiplicity INT, kmers LONG")).first().cutoff == spectrum.cutoff_of(held)
 
 
 @settings(max_examples=40, deadline=None)
