@@ -242,26 +242,26 @@ def cube(partial: DataFrame, groups: list[str], near: list[str], sets: list[list
             yield open_(batch)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: list[pa.DataType] = []
-
-        def unfinished() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kinds[:] = kinds or [f.type for f in batch.schema][: len(named)]
-                ready = batch.filter(batch.column("sketch").is_null())
-                if ready.num_rows:
-                    passed.append(ready.drop_columns(["sketch"]))
-                yield batch.filter(batch.column("sketch").is_valid()).select([*named, "sketch"])
-
-        passed: list[pa.RecordBatch] = []
-        rows: list[tuple[tuple, np.ndarray]] = []
-        for row in _merged_groups(unfinished(), named, k):
-            yield from passed
-            passed.clear()
-            rows.append(row)
-            if len(rows) > 5_000:
+        now, parts, rows, kinds = None, [], [], []
+        for batch in batches:
+            kinds = kinds or [f.type for f in batch.schema][: len(named)]
+            done = batch.filter(batch.column("sketch").is_null())
+            if done.num_rows:
+                yield done.drop_columns(["sketch"])
+            left = batch.filter(batch.column("sketch").is_valid())
+            for *g, b in zip(*(left.column(c).to_pylist() for c in range(len(named) + 1))):
+                if tuple(g) != now:
+                    if parts:
+                        rows.append((now, merge(parts, k)))
+                    now, parts = tuple(g), []
+                parts.append(np.frombuffer(b, np.uint64))
+                if len(parts) > MERGE_AT:
+                    parts = [merge(parts, k)]
+            if len(rows) > 1_000:
                 yield finished(rows, kinds).drop_columns(["sketch"])
                 rows = []
-        yield from passed
+        if parts:
+            rows.append((now, merge(parts, k)))
         if rows:
             yield finished(rows, kinds).drop_columns(["sketch"])
 
