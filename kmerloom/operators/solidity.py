@@ -18,9 +18,15 @@ def _places() -> WindowSpec:
 
 
 def multiplicities(rows: DataFrame, spectrum: DataFrame) -> DataFrame:
-    """Windows with the multiplicity of their k-mer in the spectrum, 0 if it isn't there. Spark broadcasts a small spectrum."""
-    known = spectrum.select("key", F.col("multiplicity").alias("in_spectrum"))
-    return rows.join(known, "key", "left").withColumn("multiplicity", F.coalesce("in_spectrum", F.lit(0))).drop("in_spectrum")
+    """Windows with the multiplicity of their k-mer in the spectrum, 0 if it isn't there. Spark broadcasts a small spectrum.
+
+    Windows without a key (other letters, the ends of reads) are spread over negative keys, which no k-mer has, so that
+    they don't meet in one partition.
+    """
+    known = spectrum.select(F.col("key").alias("_known"), F.col("multiplicity").alias("in_spectrum"))
+    nowhere = -1 - F.pmod(F.xxhash64(*(c for c in rows.columns if c != "key")), F.lit(1 << 20))
+    spread = rows.withColumn("_key", F.coalesce("key", nowhere))
+    return spread.join(known, F.col("_key") == F.col("_known"), "left").withColumn("multiplicity", F.coalesce("in_spectrum", F.lit(0))).drop("in_spectrum", "_key", "_known")
 
 
 def solid_bases(reads: DataFrame, spectrum: DataFrame, k: int = B.K, both_strands: bool = True) -> DataFrame:
