@@ -11,7 +11,7 @@ that, `at_least_share` counts those of the large counters exactly, and `most_fre
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,9 +169,26 @@ def at_least_share(df: DataFrame, value: str, weight: str | None, share_per_mill
     """
     sketch = heavy_light(df, value, weight)
     least = total_of(sketch).scalar() * share_per_mille
+    return _counted(df, value, weight, sketch, lambda n: n * 1000 >= least)
+
+
+def exact_top(df: DataFrame, value: str, weight: str | None, top: int) -> DataFrame:
+    """(value, n): the `top` values by exact count, of equal ones the first by value; fewer if there are no more with a count over 0.
+
+    The lower bounds of the sketch's `top` largest residents tell what count is enough; the values that may reach it are
+    counted in a second pass.
+    """
+    sketch = heavy_light(df, value, weight)
+    enough = merged(sketch).orderBy(F.desc("lower")).limit(top).agg(F.count("*").alias("n"), F.min("lower").alias("least")).first()
+    least = max(enough.least or 1, 1) if enough.n == top else 1
+    return _counted(df, value, weight, sketch, lambda n: n >= least).orderBy(F.desc("n"), "value").limit(top)
+
+
+def _counted(df: DataFrame, value: str, weight: str | None, sketch: DataFrame, reaches: Callable[[Column], Column]) -> DataFrame:
+    """(value, n): the exact counts, over 0, that reach what is asked for."""
     light = stage(counters(sketch), "heavy-counters")
-    candidates = merged(sketch, light).where(F.col("upper") * 1000 >= least).select(F.col("value").alias("v"), F.lit(True).alias("listed"))
-    crowded = light.where(F.col("below") * 1000 >= least).select("cell", F.lit(True).alias("crowded"))
+    candidates = merged(sketch, light).where(reaches(F.col("upper"))).select(F.col("value").alias("v"), F.lit(True).alias("listed"))
+    crowded = light.where(reaches(F.col("below"))).select("cell", F.lit(True).alias("crowded"))
     w = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1)
     rows = df.select(F.col(value).cast("string").alias("v"), w.alias("w")).where("v is not null")
     if crowded.isEmpty():
@@ -180,4 +197,4 @@ def at_least_share(df: DataFrame, value: str, weight: str | None, share_per_mill
         placed = rows.withColumn("cell", _cell(F.xxhash64("v"))).join(F.broadcast(crowded), "cell", "left")
         rows = placed.join(F.broadcast(candidates), "v", "left").where("listed or crowded")
     exact = rows.groupBy("v").agg(F.sum("w").alias("n"))
-    return exact.where((F.col("n") * 1000 >= least) & (F.col("n") > 0)).select(F.col("v").alias("value"), "n")
+    return exact.where(reaches(F.col("n")) & (F.col("n") > 0)).select(F.col("v").alias("value"), "n")

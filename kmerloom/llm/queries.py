@@ -89,6 +89,16 @@ def p4_counts_top(spark: SparkSession, d: str) -> DataFrame:
     return heavy.most_frequent(table(spark, d, "kmer_counts"), "canonical", "multiplicity", TOP)
 
 
+def p4_counts_top_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent canonical k-mers with their exact sums."""
+    return heavy.exact_top(table(spark, d, "kmer_counts"), "canonical", "multiplicity", TOP)
+
+
+def p4_rows_top_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same by rows of kmers."""
+    return heavy.exact_top(table(spark, d, "kmers"), "canonical", None, TOP)
+
+
 def p4_rows_top(spark: SparkSession, d: str) -> DataFrame:
     """The same by rows of kmers."""
     return heavy.most_frequent(table(spark, d, "kmers"), "canonical", None, TOP)
@@ -131,6 +141,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_shares": p2_shares, "p2_spans_40": p2_spans_40, "p2_spans_100": p2_spans_100,
     "p3_found": p3_found, "p3_audit": p3_audit,
     "p4_found": p4_found, "p4_counts_top": p4_counts_top, "p4_rows_top": p4_rows_top,
+    "p4_counts_top_exact": p4_counts_top_exact, "p4_rows_top_exact": p4_rows_top_exact,
     "p6_ids": p6_ids,
     "p7_assigned": p7_assigned, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_shares": p8_shares,
@@ -168,6 +179,9 @@ ORACLE = {
             SELECT arrival_no, pos, kmer, row_number() OVER (PARTITION BY run_id, kmer ORDER BY arrival_no, pos) AS turn
             FROM (SELECT arrival_no, run_id, unnest(kmers) AS kmer, CAST(generate_subscripts(kmers, 1) - 1 AS INTEGER) AS pos FROM parse_results))
         WHERE turn > 1 AND kmer IS NOT NULL""",
+    "p4_counts_top_exact": f"""
+        SELECT canonical AS value, CAST(sum(coalesce(multiplicity, 0)) AS BIGINT) AS n FROM kmer_counts WHERE canonical IS NOT NULL GROUP BY canonical HAVING n > 0 ORDER BY n DESC, canonical LIMIT {TOP}""",
+    "p4_rows_top_exact": f"SELECT canonical AS value, count(*) AS n FROM kmers WHERE canonical IS NOT NULL GROUP BY canonical ORDER BY n DESC, canonical LIMIT {TOP}",
     "p4_found": """
         SELECT canonical FROM kmer_counts WHERE canonical IS NOT NULL GROUP BY canonical
         HAVING coalesce(sum(multiplicity), 0) * 1000 >= 2 * (SELECT coalesce(sum(multiplicity), 0) FROM kmer_counts) AND sum(multiplicity) > 0""",

@@ -206,6 +206,20 @@ def test_no_value_is_missed_at_a_small_share(spark):
     assert heavy.most_frequent(all_, "c", "m", 5).where("certain").count() == 0
 
 
+def test_the_exact_top(spark, monkeypatch):
+    monkeypatch.setattr(heavy, "BUCKETS", 4)
+    monkeypatch.setattr(heavy, "CELLS", 32)
+    r = random.Random(13)
+    rows = [(f"v{min(int(r.paretovariate(0.6)), 900)}", r.choice([1, 2, 3, None])) for _ in range(6000)] + [(None, 900), ("zero", 0)]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "c STRING, m INT, n INT").repartition(5)
+    n = collections.Counter()
+    for c, m in rows:
+        n[c] += m or 0
+    want = sorted(((v, c) for c, v in n.items() if c is not None and v > 0), key=lambda x: (-x[0], x[1]))
+    assert [(x.n, x.value) for x in heavy.exact_top(df, "c", "m", 40).collect()] == want[:40]
+    assert heavy.exact_top(df, "c", "m", 5000).count() == len(want) and heavy.exact_top(df.limit(0), "c", "m", 5).count() == 0
+
+
 def test_the_certain_of_the_most_frequent(spark):
     df = spark.createDataFrame([("a", 500), ("b", 300), (None, 9), ("c", None)] + [(f"x{i}", 1) for i in range(50)], "c STRING, m INT")
     top = heavy.most_frequent(df, "c", "m", 2).collect()
