@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from kmerloom.functions import bases as B
 from kmerloom.tables import stage
 
 BROADCAST_KMERS = 20_000_000
+NEAR_KMERS = 200_000
+BLOCK = 1 << 20
 DIGIT = {**dict.fromkeys(B.AMBIGUOUS, "1"), "A": "1", "C": "2", "G": "3", "T": "4"}
 PAIR = str.maketrans("1234", "4321")
 _DIGIT_OF_BYTE = np.full(256, 9, np.int64)
@@ -37,6 +41,48 @@ def keys_of(windows: np.ndarray) -> np.ndarray:
     return np.minimum(windows @ power, COMPLEMENT[windows] @ power[::-1])
 
 
+def numbers_of(d: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, forward, backward, plain) of all k-mers of the digits `d`, in blocks: as they stand and of the other strand, as numbers, and whether all their letters are A, C, G or T."""
+    for first in range(0, len(d) - k + 1, BLOCK):
+        part = d[first : first + BLOCK + k - 1]
+        n, other = len(part) - k + 1, COMPLEMENT[part]
+        forward, backward, bad = np.zeros(n, np.int64), np.zeros(n, np.int64), np.r_[0, np.cumsum(part == 9)]
+        for i in range(k):
+            forward = forward * 10 + part[i : i + n]
+            backward += other[i : i + n] * 10**i
+        yield first, forward, backward, bad[k:] == bad[:-k]
+
+
+class Near:
+    """K-mers, as numbers of digits, that differ from a trusted one in one place: a table of bytes by hash tells all of these, and some others."""
+
+    def __init__(self, keys: np.ndarray, k: int) -> None:
+        self.shift = np.uint64(64 - min(26, max(16, (len(keys) * k * 6 * 8).bit_length())))
+        self.told = np.zeros(1 << (64 - int(self.shift)), bool)
+        backward, rest = np.zeros(len(keys), np.int64), keys.copy()
+        for _ in range(k):
+            backward, rest = backward * 10 + COMPLEMENT[rest % 10], rest // 10
+        for strand in (keys, backward):
+            for changed, *_ in changed_ones(strand, k):
+                self.told[self._hash(changed)] = True
+
+    def _hash(self, kmers: np.ndarray) -> np.ndarray:
+        return (kmers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def many(self, kmers: np.ndarray) -> np.ndarray:
+        return self.told[self._hash(kmers)]
+
+
+def changed_ones(kmers: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(changed, at, digit, step): k-mers given as numbers with another digit at `at`, `step` more than the one there; all 3 x k changes."""
+    for at in range(k):
+        power = 10 ** (k - 1 - at)
+        own = kmers // power % 10
+        for turn in (1, 2, 3):
+            digit = (own - 1 + turn) % 4 + 1
+            yield kmers + (digit - own) * power, at, digit, digit - own
+
+
 class Spectrum:
     """Trusted k-mers as sorted keys with their multiplicities."""
 
@@ -76,7 +122,7 @@ def shared_spectrum(spectrum: DataFrame) -> Broadcast:
     return spectrum.sparkSession.sparkContext.broadcast((keys[order], multiplicity[order].astype(np.uint8)))
 
 
-def small_spectrum(spectrum: DataFrame) -> tuple[DataFrame, Broadcast | None]:
-    """The spectrum (key, multiplicity), staged, and its arrays for the tasks if it has no more than BROADCAST_KMERS k-mers (9 bytes each)."""
+def small_spectrum(spectrum: DataFrame, most: int | None = None) -> tuple[DataFrame, Broadcast | None]:
+    """The spectrum (key, multiplicity), staged, and its arrays for the tasks if it has no more than `most` k-mers (BROADCAST_KMERS; 9 bytes each)."""
     held = stage(spectrum.select("key", F.col("multiplicity").cast("int").alias("multiplicity")), "spectrum")
-    return held, shared_spectrum(held) if held.count() <= BROADCAST_KMERS else None
+    return held, shared_spectrum(held) if held.count() <= (BROADCAST_KMERS if most is None else most) else None

@@ -33,14 +33,56 @@ def neighbours(spectrum: DataFrame, k: int = B.K) -> DataFrame:
     return other.select(F.expr("trusted + (other - digit) * power").alias("forward"), "at", B.decode_digits(F.col("digit").cast("string")).alias("base"), "multiplicity", "near_key")
 
 
-def candidates(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
-    """(read_id, pos, base, start, multiplicity): changes of one base that turn the untrusted k-mer at `start` into a trusted one.
+def changes_of_windows(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
+    """(read_id, pos, base, start, multiplicity, backward): changes of one base that turn the untrusted k-mer at `start` into a trusted one; backward: its other strand is the smaller one, or the same.
+
+    Up to NEAR_KMERS trusted k-mers are looked up read by read, without a shuffle; more of them are joined.
+    """
+    held, shared = lookup.small_spectrum(spectrum, lookup.NEAR_KMERS)
+    if shared is None:
+        return changes_of_windows_by_joins(reads, held, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trusted = lookup.Spectrum(*shared.value, in_order=True)
+        near = lookup.Near(trusted.keys, k)
+        for batch in batches:
+            seqs = batch.column(1).to_pylist()
+            ends = np.cumsum([len(s) + 1 for s in seqs])
+            for first, forward, backward, plain in lookup.numbers_of(lookup.digits_of("\n".join(seqs)), k):
+                i = np.nonzero(plain)[0]
+                i = i[near.many(forward[i])]
+                i = i[trusted.many(np.minimum(forward[i], backward[i])) == 0]
+                row = np.searchsorted(ends, first + i, side="right")
+                start = first + i - np.r_[0, ends][row]
+                for changed, at, digit, step in lookup.changed_ones(forward[i], k):
+                    multiplicity = trusted.many(np.minimum(changed, backward[i] - step * 10**at))
+                    hit = np.nonzero(multiplicity)[0]
+                    if len(hit):
+                        here, letters = start[hit].astype(np.int32), pa.array(list(B.LETTERS[:4])).take(pa.array(digit[hit] - 1))
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(row[hit])), pa.array(here + np.int32(at)), letters, pa.array(here), pa.array(multiplicity[hit].astype(np.int32)), pa.array((backward[i] <= forward[i])[hit])],
+                            names=["read_id", "pos", "base", "start", "multiplicity", "backward"],
+                        )
+
+    return reads.select("read_id", "seq").where(F.length("seq") >= k).mapInArrow(run, f"{lookup.schema_of(reads, ['read_id'])}, pos INT, base STRING, start INT, multiplicity INT, backward BOOLEAN")
+
+
+def changes_of_windows_by_joins(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
+    """As changes_of_windows, for a spectrum of any size.
 
     The trusted k-mers are mutated, not the untrusted ones: there are far fewer of them, and the windows of the reads join
-    as they are.
+    as they are. Spark doesn't count the rows that `explode` adds, so by its sizes it would send all windows to the driver
+    to be broadcast; hence the hint.
     """
-    weak = untrusted(reads, spectrum, k).select("read_id", F.col("pos").alias("start"), "forward")
-    return weak.join(neighbours(spectrum, k), "forward").select("read_id", (F.col("start") + F.col("at")).alias("pos"), "base", "start", "multiplicity")
+    kmer = F.col("kmer")
+    weak = untrusted(reads, spectrum, k).select("read_id", F.col("pos").alias("start"), "forward", (B.reverse_complement(kmer) <= kmer).alias("backward"))
+    found = weak.hint("merge").join(neighbours(spectrum, k), "forward")
+    return found.select("read_id", (F.col("start") + F.col("at")).alias("pos"), "base", "start", "multiplicity", "backward")
+
+
+def candidates(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
+    """(read_id, pos, base, start, multiplicity): changes of one base that turn the untrusted k-mer at `start` into a trusted one."""
+    return changes_of_windows(reads, spectrum, k).drop("backward")
 
 
 def best_of_kmer(reads: DataFrame, spectrum: DataFrame, last_wins: bool = False, k: int = B.K) -> DataFrame:
@@ -49,13 +91,10 @@ def best_of_kmer(reads: DataFrame, spectrum: DataFrame, last_wins: bool = False,
     Of equal ones the first in the order of the k-mer's canonical strand, so the last letter where the other strand is
     the smaller one (or the same); with `last_wins` the last letter of the alphabet.
     """
-    kmer = F.col("kmer")
-    weak = untrusted(reads, spectrum, k).select("read_id", F.col("pos").alias("start"), "forward", (B.reverse_complement(kmer) <= kmer).alias("backward"))
-    found = weak.join(neighbours(spectrum, k), "forward")
     letter = F.ascii("base")
     rank = letter if last_wins else F.when(F.col("backward"), letter).otherwise(-letter)
     best = F.max(F.struct("multiplicity", rank.alias("rank"), "base")).alias("best")
-    return found.groupBy("read_id", "start", (F.col("start") + F.col("at")).alias("pos")).agg(best).select("read_id", "start", "pos", "best.base", "best.multiplicity")
+    return changes_of_windows(reads, spectrum, k).groupBy("read_id", "start", "pos").agg(best).select("read_id", "start", "pos", "best.base", "best.multiplicity")
 
 
 def votes(found: DataFrame) -> DataFrame:

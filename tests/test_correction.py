@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -7,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kmerloom import queries
 from kmerloom.functions import bases as B
-from kmerloom.operators import interior, kmers, mutations, onesided, solidity, spectrum, steps
+from kmerloom.operators import interior, kmers, lookup, mutations, onesided, solidity, spectrum, steps
 from kmerloom.plans import correction
 
 
@@ -184,6 +186,50 @@ def test_the_best_change_of_a_kmer(spark):
     assert (8, "G", 4) in {(r.pos, r.base, r.multiplicity) for r in mutations.best_of_kmer(rows, trusted, last_wins=True, k=9).collect()}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def some_reads_and_trusted(spark, k):
+    seqs = [*noisy(4, k, reads=60, errors=0.05, letters="ACGTN"), "", "ACG", "acgt" * 9, "\n" * 30, "é" * 30]
+    seqs += [s[:40] + "x" + s[41:] for s in seqs[:9]]
+    spec = {g: n % 5 + 1 for g, n in counts(seqs, k).items() if n >= 4}
+    df = spark.createDataFrame([*enumerate(seqs), (900, None)], "read_id INT, seq STRING")
+    return seqs, spec, df, spark.createDataFrame([(key(g), n) for g, n in spec.items()], "key LONG, multiplicity INT")
+
+
+@pytest.mark.parametrize("most", [lookup.NEAR_KMERS, 0])
+@pytest.mark.parametrize("k", [8, 16])
+def test_candidates_equal_brute_force(spark, monkeypatch, k, most):
+    monkeypatch.setattr(lookup, "NEAR_KMERS", most)
+    seqs, spec, df, trusted = some_reads_and_trusted(spark, k)
+    want = []
+    for i, s in enumerate(seqs):
+        for start, g in enumerate(grams(enc(s), k)):
+            if set(g) <= set("ACGT") and canon(g) not in spec:
+                tried = [(at, b, canon(g[:at] + b + g[at + 1 :])) for at in range(k) for b in "ACGT" if b != g[at]]
+                want += [(i, start + at, b, start, spec[m]) for at, b, m in tried if m in spec]
+    found = mutations.candidates(df, trusted, k)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 100
+    assert mutations.candidates(df.limit(0), trusted, k).count() == 0 and mutations.candidates(df, trusted.limit(0), k).count() == 0
+
+
+def test_kmers_of_digits_in_blocks(monkeypatch):
+    monkeypatch.setattr(lookup, "BLOCK", 7)
+    s = "ACGTTGCANNxACCGTAGGGTACCATTTxGCATGCAAT"
+    got = [(first + i, f, b) for first, *parts in lookup.numbers_of(lookup.digits_of(s), 5) for i, (f, b, plain) in enumerate(zip(*parts)) if plain]
+    assert got == [(i, key(g), key(rc(g))) for i, g in enumerate(grams(enc(s), 5)) if "x" not in g]
+    assert not list(lookup.numbers_of(lookup.digits_of("ACGT"), 5)) and not list(lookup.numbers_of(lookup.digits_of(""), 5))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+@pytest.mark.parametrize("most", [lookup.NEAR_KMERS, 0])
+def test_best_alternative_broadcasts_no_windows(spark, monkeypatch, most):
+    monkeypatch.setattr(lookup, "NEAR_KMERS", most)
+    plan = plan_of(queries.best_alternative(spark, "/root/testdata/sf0.001"))
+    assert "BroadcastHashJoin [forward" not in plan and ("MapInArrow" in plan) == (most > 0)
+
+
 def test_the_whole_correction_is_judged(spark):
     seqs = noisy(3, 16, genome=400, reads=120, size=80, errors=0.01)
     df = spark.createDataFrame([*enumerate(seqs), (500, None), (501, "ACG")], "read_id INT, seq STRING")
