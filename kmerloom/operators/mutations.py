@@ -203,7 +203,7 @@ def applied(reads: DataFrame, fixes: DataFrame) -> DataFrame:
     """Reads with the fixes (read_id, pos, base; one a place) written into seq."""
     lists = fixes.groupBy("read_id").agg(F.collect_list(F.struct("pos", "base")).alias("fixes"))
     fixed = F.aggregate("fixes", F.col("seq"), lambda s, f: F.overlay(s, f["base"], f["pos"] + 1, F.lit(1)))
-    return reads.join(lists, "read_id", "left").withColumn("seq", F.when(F.col("fixes").isNull(), F.col("seq")).otherwise(fixed)).drop("fixes")
+    return reads.hint("merge").join(lists, "read_id", "left").withColumn("seq", F.when(F.col("fixes").isNull(), F.col("seq")).otherwise(fixed)).drop("fixes")
 
 
 def two_sided_corrected(reads: DataFrame, spectrum: DataFrame, rounds: int = 2, k: int = B.K) -> DataFrame:

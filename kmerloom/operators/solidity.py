@@ -105,6 +105,35 @@ def diagnostics(solids: DataFrame) -> DataFrame:
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row (gained, lost, same) over the bases that both have: solid only after, only before, or alike."""
-    both = before.withColumnRenamed("solid", "b").join(after.withColumnRenamed("solid", "a"), ["read_id", "pos"])
+    """One row (gained, lost, same) over the bases that both have: solid only after, only before, or alike.
+
+    Spark takes the bases for as few as the reads and would send them to the driver to be broadcast; hence the hint.
+    """
+    both = before.withColumnRenamed("solid", "b").hint("merge").join(after.withColumnRenamed("solid", "a"), ["read_id", "pos"])
     return both.agg(F.count_if(F.col("a") & ~F.col("b")).alias("gained"), F.count_if(F.col("b") & ~F.col("a")).alias("lost"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+
+
+def changes_in_reads(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
+    """As `changes`, of the bases of the reads (read_id, before, seq) whose letters were `before` and are `seq`, of the same length.
+
+    A spectrum that fits the tasks is looked up read by read, and only counts leave a task; a larger one is joined.
+    """
+    held, shared = lookup.small_spectrum(spectrum)
+    if shared is None:
+        return changes(*(solid_bases_by_joins(reads.select("read_id", F.col(c).alias("seq")), held, k) for c in ("before", "seq")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trusted = lookup.Spectrum(*shared.value, in_order=True)
+
+        def solid(seqs: list[str]) -> np.ndarray:
+            d = lookup.digits_of("\n".join(seqs))
+            hit = [trusted.many(np.minimum(forward, backward)) > 0 for _, forward, backward, _ in lookup.numbers_of(d, k)]
+            return lookup.covered(np.concatenate(hit), k) if hit else np.zeros(len(d), bool)
+
+        for batch in batches:
+            b, a = (solid(batch.column(i).to_pylist()) for i in (0, 1))
+            between = max(0, batch.num_rows - 1)  # no base, so solid in neither
+            yield pa.RecordBatch.from_arrays([pa.array([int(n)]) for n in ((a & ~b).sum(), (b & ~a).sum(), (a == b).sum() - between)], names=["gained", "lost", "same"])
+
+    told = reads.where("before <> ''").select("before", "seq").mapInArrow(run, "gained LONG, lost LONG, same LONG")
+    return told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gained", "lost", "same")))

@@ -400,8 +400,7 @@ def corrections_made(spark: SparkSession, d: str) -> DataFrame:
 def solid_changes(spark: SparkSession, d: str) -> DataFrame:
     """How many bases the two-sided fix makes solid."""
     rows, trusted = _read_and_spectrum(spark, d)
-    after = mutations.two_sided_corrected(rows, trusted, rounds=1)
-    return solidity.changes(solidity.solid_bases(rows, trusted), solidity.solid_bases(after, trusted))
+    return solidity.changes_in_reads(mutations.two_sided_corrected(rows.withColumn("before", F.col("seq")), trusted, rounds=1), trusted)
 
 
 # Evaluation

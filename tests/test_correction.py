@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -230,6 +231,34 @@ def test_best_alternative_broadcasts_no_windows(spark, monkeypatch, most):
     assert "BroadcastHashJoin [forward" not in plan and ("MapInArrow" in plan) == (most > 0)
 
 
+@pytest.mark.parametrize("most", [lookup.BROADCAST_KMERS, 0])
+def test_changes_of_solid_bases(spark, monkeypatch, most):
+    monkeypatch.setattr(lookup, "BROADCAST_KMERS", most)
+    k = 8
+    seqs, spec, _, trusted = some_reads_and_trusted(spark, k)
+    after = [s[:20] + "ACGT"[i % 4] + s[21:] if len(s) > 20 else s for i, s in enumerate(seqs)]
+    seqs, after = zip(*((b, a) if i % 2 else (a, b) for i, (b, a) in enumerate(zip(seqs, after))))
+    df = spark.createDataFrame([*((i, *x) for i, x in enumerate(zip(seqs, after))), (900, None, None)], "read_id INT, before STRING, seq STRING")
+
+    def solid(s):
+        hit = {i for i, g in enumerate(grams(enc(s), k)) if canon(g) in spec}
+        return [any(p - j in hit for j in range(k)) for p in range(len(s))]
+
+    pairs = [x for b, a in zip(seqs, after) for x in zip(solid(b), solid(a))]
+    want = tuple(sum(x) for x in zip(*((a and not b, b and not a, a == b) for b, a in pairs)))
+    found = solidity.changes_in_reads(df, trusted, k)
+    assert tuple(found.first()) == want and min(want) > 0
+    assert tuple(solidity.changes_in_reads(df.limit(0), trusted, k).first()) == (0, 0, 0)
+    assert "BroadcastHashJoin [read_id" not in plan_of(found)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+@pytest.mark.parametrize("most", [lookup.BROADCAST_KMERS, 0])
+def test_solid_changes_broadcasts_no_bases(spark, monkeypatch, most):
+    monkeypatch.setattr(lookup, "BROADCAST_KMERS", most)
+    assert not re.search(r"BroadcastHashJoin \[read_id#\d+L, pos", plan_of(queries.solid_changes(spark, "/root/testdata/sf0.001")))
+
+
 def test_the_whole_correction_is_judged(spark):
     seqs = noisy(3, 16, genome=400, reads=120, size=80, errors=0.01)
     df = spark.createDataFrame([*enumerate(seqs), (500, None), (501, "ACG")], "read_id INT, seq STRING")
