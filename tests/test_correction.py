@@ -224,10 +224,11 @@ def test_kmers_of_digits_in_blocks(monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+@pytest.mark.parametrize("name", ["best_alternative", "mutation_candidates"])
 @pytest.mark.parametrize("most", [lookup.NEAR_KMERS, 0])
-def test_best_alternative_broadcasts_no_windows(spark, monkeypatch, most):
+def test_no_windows_are_broadcast(spark, monkeypatch, most, name):
     monkeypatch.setattr(lookup, "NEAR_KMERS", most)
-    plan = plan_of(queries.best_alternative(spark, "/root/testdata/sf0.001"))
+    plan = plan_of(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "BroadcastHashJoin [forward" not in plan and ("MapInArrow" in plan) == (most > 0)
 
 
