@@ -224,7 +224,7 @@ def test_kmers_of_digits_in_blocks(monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
-@pytest.mark.parametrize("name", ["best_alternative", "mutation_candidates", "best_alternative_strand", "vote_diagnostics", "best_alternative_last", "vote_matrix"])
+@pytest.mark.parametrize("name", ["best_alternative", "mutation_candidates", "best_alternative_strand", "vote_diagnostics", "best_alternative_last", "vote_matrix", "vote_winners"])
 @pytest.mark.parametrize("most", [lookup.NEAR_KMERS, 0])
 def test_no_windows_are_broadcast(spark, monkeypatch, most, name):
     monkeypatch.setattr(lookup, "NEAR_KMERS", most)
