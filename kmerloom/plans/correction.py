@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators import evaluate, kmers, onesided, spectrum
+from kmerloom.operators import evaluate, onesided, spectrum, tally
 from kmerloom.tables import stage
 
 
 def trusted_spectrum(reads: DataFrame, k: int = B.K) -> DataFrame:
     """(key, multiplicity), staged: the counts are made once, the cutoff is read from their histogram. Empty if nothing is seen twice."""
-    often = stage(kmers.counted(reads, k, least=2), "kmer-counts")
+    often = stage(tally.counted(reads, k, least=2), "kmer-counts")
     found = spectrum.cutoff_of(dict(spectrum.histogram(often).collect()))  # multiplicities are 2 to 255
     return often if found is None else often.where(f"multiplicity >= {found}")
 

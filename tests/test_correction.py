@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kmerloom import queries
 from kmerloom.functions import bases as B
-from kmerloom.operators import interior, kmers, lookup, mutations, onesided, solidity, spectrum, steps
+from kmerloom.operators import interior, kmers, lookup, mutations, onesided, solidity, spectrum, steps, tally
 from kmerloom.plans import correction
 
 
@@ -232,6 +232,31 @@ def test_no_windows_are_broadcast(spark, monkeypatch, most, name):
     assert "BroadcastHashJoin [forward" not in plan and ("MapInArrow" in plan) == (most > 0)
 
 
+@pytest.mark.parametrize("k", [5, 8, 16, 18])
+def test_counts_in_tasks_equal_brute_force(spark, monkeypatch, k):
+    for name, small in (("HELD", 90), ("ROWS", 3), ("BLOCK", 40)):
+        monkeypatch.setattr(tally, name, small)
+    seqs, *_ = some_reads_and_trusted(spark, k)
+    seqs += ["A" * 150, "T" * 150, "ACGT" * 30, "-123456789012345678", "acgtacgtacgtacgtacgt", "NNWKSYMRNNWKSYMRNNWKSYMR"]
+    df = spark.createDataFrame([*enumerate(seqs), (900, None)], "read_id INT, seq STRING")
+    want = {key(g): n for g, n in counts(seqs, k).items()}
+    for least in (1, 2):
+        rows = tally.counted(df, k, least).collect()
+        assert {r.key: r.multiplicity for r in rows} == {g: n for g, n in want.items() if n >= least} and len({r.key for r in rows}) == len(rows)
+    assert max(want.values()) == 255 and tally.counted(df.limit(0), k).count() == 0
+    assert tally.counted(df, k).dtypes == kmers.counted(df, k).dtypes
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+@pytest.mark.parametrize("name", ["best_alternative_strand"])
+def test_no_window_is_a_row(spark, monkeypatch, name):
+    def rows(*_, **__):
+        raise AssertionError("the windows of the reads are made rows")
+
+    monkeypatch.setattr(kmers, "windows", rows)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
 @pytest.mark.parametrize("most", [lookup.BROADCAST_KMERS, 0])
 def test_changes_of_solid_bases(spark, monkeypatch, most):
     monkeypatch.setattr(lookup, "BROADCAST_KMERS", most)
