@@ -15,6 +15,7 @@ from kmerloom.tables import stage
 BROADCAST_KMERS = 20_000_000
 NEAR_KMERS = 200_000
 BLOCK = 1 << 20
+MIXES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 DIGIT = {**dict.fromkeys(B.AMBIGUOUS, "1"), "A": "1", "C": "2", "G": "3", "T": "4"}
 PAIR = str.maketrans("1234", "4321")
 _DIGIT_OF_BYTE = np.full(256, 9, np.int64)
@@ -54,7 +55,7 @@ def numbers_of(d: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndar
 
 
 class Near:
-    """K-mers, as numbers of digits, that differ from a trusted one in one place: a table of bytes by hash tells all of these, and some others."""
+    """K-mers, as numbers of digits, that differ from a trusted one in one place: a table of bytes by two hashes tells all of these, and some others."""
 
     def __init__(self, keys: np.ndarray, k: int) -> None:
         self.shift = np.uint64(64 - min(26, max(16, (len(keys) * k * 6 * 8).bit_length())))
@@ -64,13 +65,17 @@ class Near:
             backward, rest = backward * 10 + COMPLEMENT[rest % 10], rest // 10
         for strand in (keys, backward):
             for changed, *_ in changed_ones(strand, k):
-                self.told[self._hash(changed)] = True
+                for mix in MIXES:
+                    self.told[self._hash(changed, mix)] = True
 
-    def _hash(self, kmers: np.ndarray) -> np.ndarray:
-        return (kmers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+    def _hash(self, kmers: np.ndarray, mix: np.uint64) -> np.ndarray:
+        return (kmers.astype(np.uint64) * mix) >> self.shift
 
     def many(self, kmers: np.ndarray) -> np.ndarray:
-        return self.told[self._hash(kmers)]
+        told = self.told[self._hash(kmers, MIXES[0])]
+        first = np.nonzero(told)[0]
+        told[first] = self.told[self._hash(kmers[first], MIXES[1])]
+        return told
 
 
 def changed_ones(kmers: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:

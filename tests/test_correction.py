@@ -215,6 +215,15 @@ def test_candidates_equal_brute_force(spark, monkeypatch, k, most):
     assert mutations.candidates(df.limit(0), trusted, k).count() == 0 and mutations.candidates(df, trusted.limit(0), k).count() == 0
 
 
+def test_few_others_are_told_as_near():
+    r = np.random.default_rng(3)
+    numbers = lambda n: r.integers(1, 5, (n, 16)) @ 10 ** np.arange(15, -1, -1)
+    keys = np.unique(numbers(50_000))
+    near = lookup.Near(keys, 16)
+    assert all(near.many(x).all() for x, *_ in lookup.changed_ones(keys, 16))
+    assert near.many(numbers(200_000)).mean() < 0.04
+
+
 def test_kmers_of_digits_in_blocks(monkeypatch):
     monkeypatch.setattr(lookup, "BLOCK", 7)
     s = "ACGTTGCANNxACCGTAGGGTACCATTTxGCATGCAAT"
@@ -248,7 +257,7 @@ def test_counts_in_tasks_equal_brute_force(spark, monkeypatch, k):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
-@pytest.mark.parametrize("name", ["best_alternative_strand"])
+@pytest.mark.parametrize("name", ["best_alternative_strand", "mutation_candidates"])
 def test_no_window_is_a_row(spark, monkeypatch, name):
     def rows(*_, **__):
         raise AssertionError("the windows of the reads are made rows")
