@@ -257,7 +257,7 @@ def test_counts_in_tasks_equal_brute_force(spark, monkeypatch, k):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
-@pytest.mark.parametrize("name", ["best_alternative_strand", "mutation_candidates", "vote_diagnostics", "best_alternative_last", "vote_matrix"])
+@pytest.mark.parametrize("name", ["best_alternative_strand", "mutation_candidates", "vote_diagnostics", "best_alternative_last", "vote_matrix", "vote_winners"])
 def test_no_window_is_a_row(spark, monkeypatch, name):
     def rows(*_, **__):
         raise AssertionError("the windows of the reads are made rows")
