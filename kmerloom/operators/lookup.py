@@ -13,7 +13,8 @@ from kmerloom.functions import bases as B
 from kmerloom.tables import stage
 
 BROADCAST_KMERS = 20_000_000
-NEAR_KMERS = 200_000
+NEAR_KMERS = 5_000_000
+NEAR_TABLE_KMERS = 200_000
 BLOCK = 1 << 20
 MIXES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 DIGIT = {**dict.fromkeys(B.AMBIGUOUS, "1"), "A": "1", "C": "2", "G": "3", "T": "4"}
@@ -71,6 +72,18 @@ class Near:
     def _hash(self, kmers: np.ndarray, mix: np.uint64) -> np.ndarray:
         return (kmers.astype(np.uint64) * mix) >> self.shift
 
+    def changes(self, d: np.ndarray, k: int, trusted: Spectrum) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, at, digit, multiplicity, backward) of the changes of the untrusted windows of the digits `d`; only those told here are changed."""
+        for first, forward, backward, plain in numbers_of(d, k):
+            i = np.nonzero(plain)[0]
+            i = i[self.many(forward[i])]
+            i = i[trusted.many(np.minimum(forward[i], backward[i])) == 0]
+            for changed, at, digit, step in changed_ones(forward[i], k):
+                multiplicity = trusted.many(np.minimum(changed, backward[i] - step * 10**at))
+                hit = np.nonzero(multiplicity)[0]
+                if len(hit):
+                    yield first + i[hit], at, digit[hit], multiplicity[hit], (backward[i] <= forward[i])[hit]
+
     def many(self, kmers: np.ndarray) -> np.ndarray:
         told = self.told[self._hash(kmers, MIXES[0])]
         first = np.nonzero(told)[0]

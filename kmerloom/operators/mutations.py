@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import bases as B
-from kmerloom.operators import kmers, lookup, solidity
+from kmerloom.operators import kmers, lookup, solidity, tally
 
 
 def untrusted(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
@@ -36,7 +36,8 @@ def neighbours(spectrum: DataFrame, k: int = B.K) -> DataFrame:
 def changes_of_windows(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> DataFrame:
     """(read_id, pos, base, start, multiplicity, backward): changes of one base that turn the untrusted k-mer at `start` into a trusted one; backward: its other strand is the smaller one, or the same.
 
-    Up to NEAR_KMERS trusted k-mers are looked up read by read, without a shuffle; more of them are joined.
+    Up to NEAR_KMERS trusted k-mers are looked up read by read, without a shuffle; more of them are joined. Up to
+    NEAR_TABLE_KMERS tell which windows are near one; of more, all changes of all untrusted windows are looked up.
     """
     held, shared = lookup.small_spectrum(spectrum, lookup.NEAR_KMERS)
     if shared is None:
@@ -44,25 +45,18 @@ def changes_of_windows(reads: DataFrame, spectrum: DataFrame, k: int = B.K) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trusted = lookup.Spectrum(*shared.value, in_order=True)
-        near = lookup.Near(trusted.keys, k)
+        few = len(trusted.keys) <= lookup.NEAR_TABLE_KMERS
+        near = lookup.Near(trusted.keys, k) if few else tally.Trusted(trusted, k)
         for batch in batches:
             seqs = batch.column(1).to_pylist()
-            ends = np.cumsum([len(s) + 1 for s in seqs])
-            for first, forward, backward, plain in lookup.numbers_of(lookup.digits_of("\n".join(seqs)), k):
-                i = np.nonzero(plain)[0]
-                i = i[near.many(forward[i])]
-                i = i[trusted.many(np.minimum(forward[i], backward[i])) == 0]
-                row = np.searchsorted(ends, first + i, side="right")
-                start = first + i - np.r_[0, ends][row]
-                for changed, at, digit, step in lookup.changed_ones(forward[i], k):
-                    multiplicity = trusted.many(np.minimum(changed, backward[i] - step * 10**at))
-                    hit = np.nonzero(multiplicity)[0]
-                    if len(hit):
-                        here, letters = start[hit].astype(np.int32), pa.array(list(B.LETTERS[:4])).take(pa.array(digit[hit] - 1))
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array(row[hit])), pa.array(here + np.int32(at)), letters, pa.array(here), pa.array(multiplicity[hit].astype(np.int32)), pa.array((backward[i] <= forward[i])[hit])],
-                            names=["read_id", "pos", "base", "start", "multiplicity", "backward"],
-                        )
+            ends, d = np.cumsum([len(s) + 1 for s in seqs]), lookup.digits_of("\n".join(seqs))
+            for window, at, digit, multiplicity, backward in near.changes(d, k, trusted) if few else near.changes(d, k):
+                row = np.searchsorted(ends, window, side="right")
+                start, letters = (window - np.r_[0, ends][row]).astype(np.int32), pa.array(list(B.LETTERS[:4])).take(pa.array(digit - 1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), pa.array(start + np.int32(at)), letters, pa.array(start), pa.array(multiplicity.astype(np.int32)), pa.array(backward)],
+                    names=["read_id", "pos", "base", "start", "multiplicity", "backward"],
+                )
 
     return reads.select("read_id", "seq").where(F.length("seq") >= k).mapInArrow(run, f"{lookup.schema_of(reads, ['read_id'])}, pos INT, base STRING, start INT, multiplicity INT, backward BOOLEAN")
 

@@ -19,8 +19,8 @@ BLOCK = 1 << 17
 MIX = 0x9E3779B97F4A7C15
 
 
-def codes_of(d: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """The canonical k-mers of the digits `d`, two bits a letter, in blocks; without those that hold another letter."""
+def strands_of(d: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """As lookup.numbers_of, with two bits a letter."""
     for first in range(0, len(d) - k + 1, BLOCK):
         part = d[first : first + BLOCK + k - 1]
         one = ((part - 1) & 3).astype(np.uint64)
@@ -35,7 +35,50 @@ def codes_of(d: np.ndarray, k: int) -> Iterator[np.ndarray]:
             one, other = one[:-size] << np.uint64(2 * size) | one[size:], other[:-size] | other[size:] << np.uint64(2 * size)
             size *= 2
         bad = np.r_[0, np.cumsum(part == 9)]
-        yield np.minimum(forward, backward)[bad[k:] == bad[:-k]]
+        yield first, forward, backward, bad[k:] == bad[:-k]
+
+
+def codes_of(d: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """The canonical k-mers of the digits `d`, two bits a letter, in blocks; without those that hold another letter."""
+    for _, forward, backward, plain in strands_of(d, k):
+        yield np.minimum(forward, backward)[plain]
+
+
+class Trusted:
+    """Trusted k-mers with two bits a letter; a table of bytes by hash passes over most others."""
+
+    def __init__(self, spectrum: lookup.Spectrum, k: int) -> None:
+        codes, rest = np.zeros(len(spectrum.keys), np.uint64), spectrum.keys.copy()
+        for i in range(k):
+            codes |= (rest % 10 - 1).astype(np.uint64) << np.uint64(2 * i)
+            rest //= 10
+        self.held = lookup.Spectrum(codes, spectrum.multiplicity, in_order=True)
+        self.shift = np.uint64(64 - min(26, max(16, (len(codes) * 16).bit_length())))
+        self.told = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.told[self._hash(codes)] = True
+
+    def _hash(self, codes: np.ndarray) -> np.ndarray:
+        return codes * np.uint64(MIX) >> self.shift
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which ones are trusted, and their multiplicities."""
+        i = np.nonzero(self.told[self._hash(codes)])[0]
+        multiplicity = self.held.many(codes[i])
+        return i[multiplicity > 0], multiplicity[multiplicity > 0]
+
+    def changes(self, d: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, at, digit, multiplicity, backward) of the changes of the untrusted windows of the digits `d`; all 3 x k changes of each are tried."""
+        for first, forward, backward, weak in strands_of(d, k):
+            plain = np.nonzero(weak)[0]
+            weak[plain[self.hits(np.minimum(forward[plain], backward[plain]))[0]]] = False
+            i = np.nonzero(weak)[0]
+            f, b = forward[i], backward[i]
+            for at in range(k):
+                up, down = np.uint64(2 * (k - 1 - at)), np.uint64(2 * at)
+                for turn in np.arange(1, 4, dtype=np.uint64):
+                    hit, multiplicity = self.hits(np.minimum(f ^ turn << up, b ^ turn << down))
+                    if len(hit):
+                        yield first + i[hit], at, ((f[hit] >> up & np.uint64(3)) ^ turn).astype(np.int64) + 1, multiplicity, b[hit] <= f[hit]
 
 
 def numbers_of_codes(codes: np.ndarray, k: int) -> np.ndarray:
