@@ -45,26 +45,34 @@ def codes_of(d: np.ndarray, k: int) -> Iterator[np.ndarray]:
 
 
 class Trusted:
-    """Trusted k-mers with two bits a letter; a table of bytes by hash passes over most others."""
+    """Trusted k-mers with two bits a letter, in the order of a hash that no two share; a table of bytes by hash passes over most others."""
 
     def __init__(self, spectrum: lookup.Spectrum, k: int) -> None:
         codes, rest = np.zeros(len(spectrum.keys), np.uint64), spectrum.keys.copy()
         for i in range(k):
             codes |= (rest % 10 - 1).astype(np.uint64) << np.uint64(2 * i)
             rest //= 10
-        self.held = lookup.Spectrum(codes, spectrum.multiplicity, in_order=True)
-        self.shift = np.uint64(64 - min(26, max(16, (len(codes) * 16).bit_length())))
-        self.told = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.told[self._hash(codes)] = True
-
-    def _hash(self, codes: np.ndarray) -> np.ndarray:
-        return codes * np.uint64(MIX) >> self.shift
+        hashes = codes * np.uint64(MIX)
+        order = np.argsort(hashes)
+        self.hashes, self.multiplicity = np.r_[hashes[order], np.uint64(2**64 - 1)], np.r_[spectrum.multiplicity[order].astype(np.int64), 0]
+        wide, bits = min(26, max(16, (len(codes) * 16).bit_length())), max(1, len(codes).bit_length())
+        self.shift, self.low = np.uint64(64 - wide), np.uint64(64 - bits)
+        self.told = np.zeros(1 << wide, bool)
+        self.told[hashes >> self.shift] = True
+        self.first = np.r_[0, np.cumsum(np.bincount((hashes >> self.low).astype(np.int64), minlength=1 << bits))].astype(np.int32)
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which ones are trusted, and their multiplicities."""
-        i = np.nonzero(self.told[self._hash(codes)])[0]
-        multiplicity = self.held.many(codes[i])
-        return i[multiplicity > 0], multiplicity[multiplicity > 0]
+        hashes = codes * np.uint64(MIX)
+        i = np.nonzero(self.told[hashes >> self.shift])[0]
+        hashes = hashes[i]
+        at = self.first[hashes >> self.low]
+        on = np.nonzero(self.hashes[at] < hashes)[0]
+        while len(on):
+            at[on] += 1
+            on = on[self.hashes[at[on]] < hashes[on]]
+        hit = np.nonzero((self.hashes[at] == hashes) & (self.multiplicity[at] > 0))[0]
+        return i[hit], self.multiplicity[at[hit]]
 
     def changes(self, d: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(window, at, digit, multiplicity, backward) of the changes of the untrusted windows of the digits `d`; all 3 x k changes of each are tried."""
